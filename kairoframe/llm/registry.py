@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, quality
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op8_quality_rules": quality.op8_quality_rules,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
