@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, license_scan, quality
 
 QUERIES = {
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+    "op3_license_scans": license_scan.op3_license_scans,
     "op8_quality_rules": quality.op8_quality_rules,
 }
 SQL = {
