@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, quality
+from . import decontaminate, language_id, license_scan, quality
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_license_scans": license_scan.op3_license_scans,
     "op8_quality_rules": quality.op8_quality_rules,
