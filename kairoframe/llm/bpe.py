@@ -157,36 +157,39 @@ class Pairs:
             i -= 1 if last[i] == OUTSIDE else int(self.size[last[i]])
         return out[::-1]
 
-    def encode_words(self, words: Sequence[Sequence[int]], ids: bool = True) -> tuple[np.ndarray, list[np.ndarray] | None]:
-        """Token count of each word, and its tokens if ``ids``."""
-        counts = np.zeros(len(words), np.int64)
-        out: list = [None] * len(words) if ids else []
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def encode_words(self, flat: np.ndarray, sizes: np.ndarray, ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Token count of each word, and all their tokens in order if ``ids``; ``flat`` has the words' symbols."""
+        counts = np.zeros(len(sizes), np.int64)
+        begin = np.cumsum(sizes) - sizes
         short = np.flatnonzero((sizes <= LONG) & (sizes > 0))
         short = short[np.argsort(-sizes[short], kind="stable")]
+        found = []  # word, its tokens
         for a in range(0, len(short), 1 << 15):
-            self._encode_short(words, short[a : a + (1 << 15)], sizes, counts, out if ids else None)
-        for i in np.flatnonzero(sizes > LONG):
-            last, count = self.prefixes(words[i])
+            rows = short[a : a + (1 << 15)]
+            tokens = self._encode_short(flat, begin[rows], sizes[rows], ids)
+            counts[rows] = tokens[0]
+            if ids:
+                found.append((np.repeat(rows, tokens[0]), tokens[1]))
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            last, count = self.prefixes(flat[begin[i] : begin[i] + sizes[i]].tolist())
             counts[i] = count[-1]
             if ids:
-                out[i] = np.array(self.backtrack(last), np.int64)
-        if ids:
-            for i in np.flatnonzero(sizes == 0):
-                out[i] = np.zeros(0, np.int64)
-        return counts, out if ids else None
-
-    def _encode_short(self, words, rows: np.ndarray, sizes: np.ndarray, counts: np.ndarray, out: list | None) -> None:
-        m, top = len(rows), int(sizes[rows[0]])
-        n_of = sizes[rows]
-        flat = np.fromiter((s for r in rows.tolist() for s in words[r]), np.int64, int(n_of.sum()))
+                found.append((np.full(count[-1], i), np.array(self.backtrack(last), np.int64)))
+        if not ids:
+            return counts, None
+        if not found:
+            return counts, np.zeros(0, np.int64)
+        o = np.argsort(np.concatenate([f[0] for f in found]), kind="stable")
+        return counts, np.concatenate([f[1] for f in found])[o]
+
+    def _encode_short(self, flat: np.ndarray, begin: np.ndarray, n_of: np.ndarray, ids: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        """Counts and tokens of words in order of falling size."""
+        m, top = len(n_of), int(n_of[0])
+        has = np.searchsorted(-n_of, -np.arange(top + 1), side="right")  # words of at least i symbols come first
         sym = np.zeros((top, m), np.int64)
-        off = np.cumsum(n_of) - n_of
-        col = np.repeat(np.arange(m), n_of)
-        sym[np.arange(len(flat)) - np.repeat(off, n_of), col] = flat
-        has = np.searchsorted(-n_of, -np.arange(top + 1), side="right")  # rows of at least i symbols come first
         h = np.zeros((top + 1, m), U64)
         for i in range(top):
+            sym[i, : has[i + 1]] = flat[begin[: has[i + 1]] + i]
             h[i + 1] = h[i] * _B + (sym[i] + 1).astype(U64)
         last = np.full((top + 1, m), OUTSIDE, np.int64)
         count = np.zeros((top + 1, m), np.int32)
@@ -217,21 +220,19 @@ class Pairs:
             if len(todo):
                 raise ValueError("no token ends here")
         each = np.arange(m)
-        counts[rows] = count[n_of, each]
-        if out is None:
-            return
         total = count[n_of, each].astype(np.int64)
+        if not ids:
+            return total, None
         end = np.cumsum(total)
-        flat = np.zeros(int(end[-1]), np.int64)
+        out = np.zeros(int(end[-1]), np.int64)
         at, place, live = n_of.copy(), end - 1, each
         while len(live):
             t = last[at[live], live]
-            flat[place[live]] = t
+            out[place[live]] = t
             place[live] -= 1
             at[live] -= np.where(t == OUTSIDE, 1, self.size[t])
             live = live[at[live] > 0]
-        for r, part in zip(rows.tolist(), np.split(flat, end[:-1]), strict=True):
-            out[r] = part
+        return total, out
 
 
 def from_merges(base: Iterable[str], merges: Iterable[Sequence[str]]) -> tuple[Pairs, dict[str, int], list[str]]:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, quality, token_counts
+from . import decontaminate, html_extract, language_id, license_scan, quality, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
     "op3_license_scans": license_scan.op3_license_scans,
+    "op4_sentencepiece_codec": sentencepiece_codec.op4_sentencepiece_codec,
+    "op5_html_extraction": html_extract.op5_html_extraction,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
 }
