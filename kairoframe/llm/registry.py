@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, license_scan, quality, sentencepiece_codec, token_counts
+from . import decontaminate, html_extract, language_id, license_scan, near_dup, quality, sentencepiece_codec, token_counts
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_html_extraction": html_extract.op5_html_extraction,
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_near_dedup": near_dup.op9_near_dedup,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op9_near_dedup": near_dup.OP9_SQL,
 }
