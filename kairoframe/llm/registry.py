@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, license_scan, near_dup, quality, sentencepiece_codec, token_counts
+from . import decontaminate, html_extract, language_id, license_scan, near_dup, quality, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_token_counts": token_counts.op6_token_counts,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_near_dedup": near_dup.op9_near_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
