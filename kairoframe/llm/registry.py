@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, license_scan, near_dup, quality, sentencepiece_codec, token_counts, toxicity
+from . import decontaminate, html_extract, language_id, license_scan, lm_score, near_dup, quality, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_sentencepiece_codec": sentencepiece_codec.op4_sentencepiece_codec,
     "op5_html_extraction": html_extract.op5_html_extraction,
     "op6_token_counts": token_counts.op6_token_counts,
+    "op7_lm_scoring": lm_score.op7_lm_scoring,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
