@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_right
+from collections.abc import Callable
 from itertools import accumulate
 
 import numpy as np
@@ -69,7 +70,9 @@ class Counter:
         if len(self.known) + len(new) > KEEP:
             self.known.clear()
             new = list(pieces)
-        counts, _ = self.pairs.encode_words([p.encode("utf-8", "surrogatepass") for p in new], ids=False)
+        raw = [p.encode("utf-8", "surrogatepass") for p in new]
+        flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
+        counts, _ = self.pairs.encode_words(flat, np.fromiter(map(len, raw), np.int64, len(raw)), ids=False)
         self.known.update(zip(new, counts.tolist(), strict=True))
 
     def pieces(self, text: str) -> tuple[list[str], int]:
@@ -127,8 +130,9 @@ class PrefixCounts:
         return self.starts[bisect_right(self.before, budget) - 1]
 
 
-def _counting(counter: Counter, limit: int):
+def _counting(get: Callable[[], Counter], limit: int):
     def count(text: pa.Array) -> pa.Array:
+        counter = get()
         n_tokens, fit = [], []
         rows, size, held = [], 0, text.to_pylist()
 
@@ -161,7 +165,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text_col: str =
     """``docs`` with a column ``out``: n_tokens, and for texts over ``limit`` the code points of whole pieces that fit it."""
     ship(docs.sparkSession)
     kind = "struct<n_tokens:long,fit_chars:long>"
-    return docs.withColumn(out, arrow_udf(_counting(Counter(path), limit), returnType=kind).asNondeterministic()(F.col(text_col)))
+    held = docs.sparkSession.sparkContext.broadcast(Counter(path))  # a vocabulary's size is fixed; a worker keeps what it has learned
+    return docs.withColumn(out, arrow_udf(_counting(lambda: held.value, limit), returnType=kind).asNondeterministic()(F.col(text_col)))
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
