@@ -1,5 +1,10 @@
-"""Registered queries."""
+"""Registered queries of the engine's own operators, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = None
+from __future__ import annotations
+
+from . import signal
+
+_MODULES = (signal,)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
+FLAGSHIP = signal.rally_rollup
