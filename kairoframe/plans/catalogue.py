@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, signal
+from . import evaluation, reporting, signal
 
-_MODULES = (signal, evaluation)
+_MODULES = (signal, evaluation, reporting)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = signal.rally_rollup
