@@ -1,15 +1,19 @@
 """Near-duplicate documents: banded MinHash candidates, sequential Bayesian pruning, exact verification.
 
-1. A scan turns each text into its set of word shingles and keeps its size, a 64-bit class id of the set and a MinHash
-   signature. Documents with equal sets are one class from here on, summed up before they are shuffled, so a group of
-   copies of any size is one row.
-2. Classes that share a band of their signatures are candidates. In each bucket every member is compared with the
-   bucket's pivot (its least class), not with every other member, so the pairs grow with the members.
-3. A pair's signatures are compared batch by batch; it is dropped once the posterior probability that its similarity reaches the
-   threshold falls under ``miss``. What is left is verified on the full sets, read again from the texts of those classes only.
-4. Verified links give components. Only buckets whose members then lie in several components can hide a link; there
-   further pivots (16, then 8 times as many each round) are compared with the members of other components, until every
-   bucket's members have either met or are one component. So no candidate is left out, and none is compared for nothing.
+1. A scan turns each text into its set of word shingles and keeps its size, a 64-bit class id of the set, the bands of
+   its MinHash signature and the signature's low bytes. Documents with equal sets are one class from here on, summed up
+   before they are shuffled, so a group of copies of any size is one row.
+2. Classes that share a band are candidates. In each bucket every member is compared with the bucket's pivot, not with
+   every other member, so the pairs grow with the members. The pivot is the member that meets most others over all of its
+   bands: of a group of near copies, the one that they were made from.
+3. A pair's signatures are compared batch by batch; it is dropped once the posterior probability that its similarity
+   reaches the threshold falls under ``miss``. (Low bytes agree by chance once in 256, which only keeps more pairs.) What
+   is left is verified on the full sets, read again from the texts of those classes only.
+4. Verified links give components. Only buckets whose members then lie in several components can hide a link. Their
+   members meet block by block (``BLOCK`` of a bucket, as expected, against as many), with their sets as 32-bit hashes.
+   Pairs of one component are passed over, the others pruned as before and counted out in the block. Only what links a
+   member with another component leaves it, the closest pair of each, and is verified on the full sets. So no candidate
+   is left out, and no list of all pairs is made.
 
 With the default bands a pair at the threshold is missed with odds of about 7e-7, and less above it.
 
@@ -30,7 +34,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.window import Window
 
 from ..session import cut, ship
 from . import words as W
@@ -38,7 +41,9 @@ from .components import components
 
 #: Ids of classes that are broadcast at most; beyond that the join is shuffled.
 BROADCAST_IDS = 500_000
-_FIRST_PIVOTS, _MORE = 16, 8
+#: Members of a bucket that meet in one block, expected.
+BLOCK = 512
+_PAIRS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -50,7 +55,7 @@ class Similarity:
     rows: int = 5
     bands: int = 36
     batch: int = 36
-    miss: float = 1e-9
+    miss: float = 1e-7
 
     @property
     def hashes(self) -> int:
@@ -98,34 +103,37 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_hashes(sigs: np.ndarray, s: Similarity) -> np.ndarray:
+    """One hash for each band of each signature."""
+    m = sigs.reshape(len(sigs), s.bands, s.rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), m.shape[:2]).copy()
+    for k in range(s.rows):
+        h = W.mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, k] + np.uint64(k + 1))
+    return h.view(np.int64)
+
+
 def _sketcher(s: Similarity):
     a, b = _family(s.hashes)
 
     def sketch(text: pa.Array) -> pa.Array:
-        sizes, ids, sigs = [], [], []
+        sizes, ids, sigs, bands = [], [], [], []
         for c in W.chunks(text):
+            found = []
             for x in shingle_sets(c, s.words):
                 sizes.append(len(x))
                 ids.append(class_id(x) if len(x) else None)
-                sigs.append(signature(x, a, b).tobytes() if len(x) else None)
-        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary())], ["n", "cid", "sig"])
+                found.append(signature(x, a, b))
+            low = np.stack(found)
+            bands.append(band_hashes(low, s).reshape(-1))
+            sigs += [low[i].astype(np.uint8).tobytes() for i in range(len(low))]
+        flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), W.lists(flat, np.full(len(text), s.bands), pa.int64())], ["n", "cid", "sig", "bands"])
 
-    return arrow_udf(sketch, returnType="struct<n:long,cid:long,sig:binary>").asNondeterministic()
+    return arrow_udf(sketch, returnType="struct<n:long,cid:long,sig:binary,bands:array<long>>").asNondeterministic()
 
 
 def _matrix(sig: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(sig.to_pylist()), np.uint32).reshape(len(sig), width)
-
-
-def _bander(s: Similarity):
-    def bands(sig: pa.Array) -> pa.Array:
-        m = _matrix(sig, s.hashes).reshape(len(sig), s.bands, s.rows).astype(np.uint64)
-        h = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), m.shape[:2]).copy()
-        for k in range(s.rows):
-            h = W.mix(h * np.uint64(0x9E3779B97F4A7C15) + m[:, :, k] + np.uint64(k + 1))
-        return W.lists(h.reshape(-1).view(np.int64), np.full(len(sig), s.bands), pa.int64())
-
-    return arrow_udf(bands, returnType="array<long>").asNondeterministic()
+    return np.frombuffer(b"".join(sig.to_pylist()), np.uint8).reshape(len(sig), width)
 
 
 def least_matches(s: Similarity) -> list[tuple[int, int]]:
@@ -144,29 +152,103 @@ def least_matches(s: Similarity) -> list[tuple[int, int]]:
     return out
 
 
+def alike(x: np.ndarray, y: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """Which of the rows of two signature tables may still be near, batch by batch."""
+    alive, matched, at = np.arange(len(x)), np.zeros(len(x), np.int64), 0
+    for m, k in bounds:
+        matched = matched + (x[alive, at:m] == y[alive, at:m]).sum(1)
+        alive, matched, at = alive[matched >= k], matched[matched >= k], m
+    out = np.zeros(len(x), bool)
+    out[alive] = True
+    return out
+
+
 def _pruner(s: Similarity):
     bounds = least_matches(s)
 
     def keep(x: pa.Array, y: pa.Array) -> pa.Array:
-        same = _matrix(x, s.hashes) == _matrix(y, s.hashes)
-        alive, matched, at = np.arange(len(same)), np.zeros(len(same), np.int64), 0
-        for m, k in bounds:
-            matched = matched + same[alive, at:m].sum(1)
-            alive, matched, at = alive[matched >= k], matched[matched >= k], m
-        out = np.zeros(len(same), bool)
-        out[alive] = True
-        return pa.array(out)
+        return pa.array(alike(_matrix(x, s.hashes), _matrix(y, s.hashes), bounds))
 
     return arrow_udf(keep, returnType="boolean").asNondeterministic()
 
 
-def _set_reader(s: Similarity):
+def _meeting(s: Similarity):
+    """Pairs (a, b) of blocks that may be near. Rows come sorted by (band, lo, hi); a key's rows are two blocks at most."""
+    bounds = least_matches(s)
+
+    def within(cid: np.ndarray, n: np.ndarray, root: np.ndarray, block: np.ndarray, sig: np.ndarray, sets: list[bytes], cross: bool) -> Iterator[tuple[int, int]]:
+        m, ids, begin = len(cid), None, None
+        for first in range(0, m, step := max(1, _PAIRS // max(m, 1))):
+            i = np.repeat(np.arange(first, min(first + step, m)), m)
+            j = np.tile(np.arange(m), min(first + step, m) - first)
+            ok = (i < j) & (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= s.percent * np.maximum(n[i], n[j]))
+            if cross:
+                ok &= block[i] != block[j]
+            i, j = i[ok], j[ok]
+            near = alike(sig[i], sig[j], bounds)
+            i, j = i[near], j[near]
+            if len(i) and ids is None:  # the block's shingles, numbered
+                parts = [np.frombuffer(x, np.uint32) for x in sets]
+                begin = np.cumsum([0, *map(len, parts)])
+                values, ids = np.unique(np.concatenate(parts), return_inverse=True)
+                mark = np.zeros(len(values), np.int64)
+            cuts = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i)) if len(i) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                x, ys = i[a], j[a:b]
+                mark[ids[begin[x] : begin[x + 1]]] = 1
+                both = np.add.reduceat(mark[ids], begin[:-1])[ys]
+                mark[ids[begin[x] : begin[x + 1]]] = 0
+                share = both / (n[x] + n[ys] - both)
+                linked = np.flatnonzero(100 * both >= s.percent * (n[x] + n[ys] - both))
+                best: dict[int, int] = {}
+                for k in linked[np.argsort(share[linked])].tolist():
+                    best[int(root[ys[k]])] = int(cid[ys[k]])
+                for y in best.values():
+                    yield int(cid[x]), y
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+
+        def work(t: pa.Table) -> pa.RecordBatch:
+            band, lo, hi, block, cid, n, root = (t.column(k).to_numpy() for k in ("band", "lo", "hi", "block", "cid", "n", "root"))
+            sig = _matrix(t.column("sig").combine_chunks(), s.hashes)
+            new = np.ones(len(band), bool)
+            new[1:] = (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+            cuts = np.append(np.flatnonzero(new), len(band))
+            sets = t.column("items").to_pylist()
+            pairs = {(min(x, y), max(x, y)) for i, j in zip(cuts[:-1], cuts[1:], strict=True) for x, y in within(cid[i:j], n[i:j], root[i:j], block[i:j], sig[i:j], sets[i:j], lo[i] != hi[i])}
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in sorted(pairs)], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            last = [t.column(k)[-1].as_py() for k in ("band", "lo", "hi")] if len(t) else None
+            if last is None:
+                continue
+            same = np.ones(len(t), bool)
+            for k, v in zip(("band", "lo", "hi"), last, strict=True):
+                same &= t.column(k).to_numpy() == v
+            cut_at = int(np.flatnonzero(same)[0])
+            if cut_at:
+                yield work(pa.concat_tables([*held, t.slice(0, cut_at)]))
+                held = [t.slice(cut_at)]
+            else:  # the batch goes on with one key, or begins another after what is held
+                if held and [held[0].column(k)[0].as_py() for k in ("band", "lo", "hi")] != last:
+                    yield work(pa.concat_tables(held))
+                    held = []
+                held.append(t)
+        if held:
+            yield work(pa.concat_tables(held))
+
+    return meet
+
+
+def _set_reader(s: Similarity, bits: int):
     def read(text: pa.Array) -> pa.Array:
         ids, sets = [], []
         for c in W.chunks(text):
             for x in shingle_sets(c, s.words):
                 ids.append(class_id(x) if len(x) else None)
-                sets.append(x.tobytes())
+                sets.append(x.tobytes() if bits == 64 else (x >> np.uint64(32)).astype(np.uint32).tobytes())
         return pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "items"])
 
     return arrow_udf(read, returnType="struct<cid:long,items:binary>").asNondeterministic()
@@ -196,57 +278,75 @@ class Search:
         self.s = s
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.rows = cut(self.texts.withColumn("k", _sketcher(s)(F.col("text"))).select("id", "k.*"))
-        classes = self.rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies"))
+        classes = self.rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
         self.classes = cut(classes)
-        bands = self.classes.select("cid", "n", F.explode(_bander(s)(F.col("sig"))).alias("band"))
-        pivots = bands.groupBy("band").agg(F.min(F.struct("cid", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-        self.members = cut(bands.join(pivots, "band").select("band", "cid", "n", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n")))
+        bands = self.classes.select("cid", "n", F.explode("bands").alias("band"))
+        shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+        self.members = cut(bands.join(shared, "band"))
 
     def _near_sizes(self, x: str, y: str):
         return 100 * F.least(x, y) >= self.s.percent * F.greatest(x, y)
 
-    def verify(self, pairs: DataFrame) -> DataFrame | None:
-        """The pairs (a, b) that are linked; None if none are left after pruning."""
+    def prune(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that their signatures leave."""
         sig = self.classes.select("cid", "sig")
         found = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-        found = cut(found.where(_pruner(self.s)(F.col("sig_a"), F.col("sig_b"))).select("a", "b"))
-        needed = cut(found.select(F.col("a").alias("cid")).union(found.select(F.col("b").alias("cid"))).distinct().join(self.classes.select("cid", "least"), "cid"))
-        size = needed.count()
-        if not size:
-            return None
+        return found.where(_pruner(self.s)(F.col("sig_a"), F.col("sig_b"))).select("a", "b")
+
+    def sets(self, cids: DataFrame, bits: int = 64) -> DataFrame:
+        """cid, items (sorted shingle hashes of 64 or 32 bits) of the named classes, read from their documents again."""
+        needed = cut(cids.distinct().join(self.classes.select("cid", "least"), "cid"))
         ids = needed.select(F.col("least").alias("id")).distinct()
-        ids = F.broadcast(ids) if size <= BROADCAST_IDS else ids
+        ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
         known = self.texts.where(F.col("id").isNotNull()).join(ids, "id", "left_semi")
         if needed.where("least is null").limit(1).count():  # classes of rows without an id
             known = known.union(self.texts.where(F.col("id").isNull()))
-        sets = known.withColumn("k", _set_reader(self.s)(F.col("text"))).select("k.*").groupBy("cid").agg(F.first("items").alias("items"))
+        found = known.withColumn("k", _set_reader(self.s, bits)(F.col("text"))).select("k.*")
+        return found.groupBy("cid").agg(F.first("items").alias("items"))
+
+    def verify(self, pairs: DataFrame) -> DataFrame | None:
+        """The pairs (a, b) whose full sets are near; None if there are no pairs."""
+        found = cut(pairs)
+        if found.isEmpty():
+            return None
+        sets = self.sets(found.select(F.col("a").alias("cid")).union(found.select(F.col("b").alias("cid"))))
         both = found.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         return cut(both.where(_verifier(self.s)(F.col("set_a"), F.col("set_b"))).select("a", "b"))
 
+    def star_pairs(self) -> DataFrame:
+        """Every member of a bucket with its pivot: the member whose bands meet most others."""
+        meets = self.members.groupBy("cid").agg(F.sum("size").alias("meets"))
+        ranked = self.members.join(meets, "cid")
+        pivots = ranked.groupBy("band").agg(F.max(F.struct("meets", "cid", "n")).alias("p"))
+        pairs = self.members.join(pivots, "band").where((F.col("cid") != F.col("p.cid")) & self._near_sizes("n", "p.n"))
+        return pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
+
+    def unmet_pairs(self, roots: DataFrame | None) -> DataFrame:
+        """What signatures leave of the pairs between components that share a bucket."""
+        placed = self.members.select("band", "cid", "n", "size").withColumn("root", F.col("cid"))
+        if roots is not None:
+            placed = self.members.select("band", "cid", "n", "size").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        placed = cut(placed)
+        split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
+        unmet = cut(placed.join(split, "band"))
+        if unmet.isEmpty():
+            return unmet.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+        sets = self.sets(unmet.select("cid"), 32).join(self.classes.select("cid", "sig"), "cid")
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        rows = unmet.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        rows = rows.join(sets, "cid").select("band", "lo", "hi", "block", "cid", "n", "root", "sig", "items")
+        rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+        return rows.mapInArrow(_meeting(self.s), "a long, b long").distinct()
+
     def roots(self) -> DataFrame | None:
         """node, root of all classes that are linked with another; None if none are."""
-        first = self.members.where((F.col("cid") != F.col("pivot")) & self._near_sizes("n", "pivot_n"))
-        pairs = cut(first.select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct())
-        tried, links, more = pairs, self.verify(pairs), _FIRST_PIVOTS
+        links = self.verify(self.prune(self.star_pairs()))
         roots = components(links) if links is not None else None
-        members = self.members.where("cid <> pivot").select("band", "cid", "n")  # the pivots have met all others
-        while True:
-            placed = members.withColumn("root", F.col("cid"))
-            if roots is not None:
-                placed = members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-            split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-            order = Window.partitionBy("band").orderBy("cid")
-            unmet = cut(placed.join(split, "band").withColumn("place", F.row_number().over(order)))
-            if unmet.isEmpty():
-                return roots
-            p, q = unmet.where(f"place <= {more}").alias("p"), unmet.alias("q")
-            apart = p.join(q, F.col("p.band") == F.col("q.band")).where("q.place > p.place and q.root <> p.root").where(self._near_sizes("p.n", "q.n"))
-            pairs = cut(apart.select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-            new = self.verify(pairs)
-            if new is not None:
-                links = new if links is None else links.union(new)
-                roots = components(links)
-            tried, members, more = tried.union(pairs), unmet.where(f"place > {more}").select("band", "cid", "n"), more * _MORE
+        more = self.verify(self.unmet_pairs(roots))
+        if more is None:
+            return roots
+        return components(more if links is None else links.union(more))
 
     def groups(self) -> DataFrame:
         """cid, group (least document id of its component) for classes with a copy or a link."""
