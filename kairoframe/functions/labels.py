@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,24 +33,42 @@ def parse_label(raw: Column) -> Column:
     Bare words come before sides: "net" is a crossing, "left_net" an ending.
     """
     parts = F.split(F.trim(F.regexp_replace(raw, r"\s+", " ")), " ")
-    head = F.regexp_replace(F.try_element_at(parts, F.lit(1)), "^x+", "")
-    pieces = F.split(head, "_", 2)
-    side, rest = F.try_element_at(pieces, F.lit(1)), F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit(""))
-    stroke = F.split(rest, "_", 2)
-    hand, technique = F.try_element_at(stroke, F.lit(1)), F.coalesce(F.try_element_at(stroke, F.lit(2)), F.lit(""))
-    is_side = side.isin(*SIDES)
-    ending = is_side & rest.isin(*OUTCOMES)
-    is_stroke = is_side & ~ending & hand.isin(*HANDS) & technique.isin(*TECHNIQUES)
-    kind = F.when(head == "bounce", "bounce").when(head == "net", "net_cross").when(head == "empty_event", "empty").when(ending, "rally_end").when(is_stroke, "stroke")
-    nth = lambda n, words: F.when(is_stroke, F.coalesce(match_prefix(F.try_element_at(parts, F.lit(n)), words), F.lit("unknown")))
-    return F.when(
-        kind.isNotNull(),
-        F.struct(
-            kind.alias("kind"), F.when(ending | is_stroke, side).alias("side"), F.when(is_stroke, hand).alias("hand"), F.when(is_stroke, technique).alias("technique"),
-            nth(2, LEANS).alias("lean"), nth(3, FEET).alias("feet"), F.when(ending, rest).alias("outcome"),
-        ),
+
+    def body(p: Column) -> Column:
+        pieces = F.split(F.regexp_replace(F.try_element_at(p, F.lit(1)), "^x+", ""), "_", 2)
+        rest = F.coalesce(F.try_element_at(pieces, F.lit(2)), F.lit(""))
+        tokens = F.struct(F.array_join(pieces, "_").alias("head"), F.try_element_at(pieces, F.lit(1)).alias("side"), rest.alias("rest"), F.split(rest, "_", 2).alias("stroke"), F.try_element_at(p, F.lit(2)).alias("lean"), F.try_element_at(p, F.lit(3)).alias("feet"))
+        return _bind(tokens, _event)
+
+    return _bind(parts, body)
+
+
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, not at each mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _event(t: Column) -> Column:
+    hand, technique = F.try_element_at(t["stroke"], F.lit(1)), F.try_element_at(t["stroke"], F.lit(2))
+    is_side = t["side"].isin(*SIDES)
+    kind = (
+        F.when(t["head"] == "bounce", "bounce").when(t["head"] == "net", "net_cross").when(t["head"] == "empty_event", "empty")
+        .when(is_side & t["rest"].isin(*OUTCOMES), "rally_end").when(is_side & hand.isin(*HANDS) & technique.isin(*TECHNIQUES), "stroke")
     )
 
+    def fields(k: Column) -> Column:
+        stroke, ending = k == "stroke", k == "rally_end"
+        known = lambda token, words: F.when(stroke, F.coalesce(match_prefix(token, words), F.lit("unknown")))
+        return F.when(
+            k.isNotNull(),
+            F.struct(
+                k.alias("kind"), F.when(stroke | ending, t["side"]).alias("side"), F.when(stroke, hand).alias("hand"), F.when(stroke, technique).alias("technique"),
+                known(t["lean"], LEANS).alias("lean"), known(t["feet"], FEET).alias("feet"), F.when(ending, t["rest"]).alias("outcome"),
+            ),
+        )
+
+    return _bind(kind, fields)
+
 
 def other_side(side: Column) -> Column:
     return F.when(side == "right", "left").otherwise("right")
