@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import datasets, evaluation, reporting, signal
+from . import datasets, evaluation, poses, reporting, signal
 
-_MODULES = (signal, evaluation, reporting, datasets)
+_MODULES = (signal, evaluation, reporting, datasets, poses)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
 FLAGSHIP = signal.rally_rollup
