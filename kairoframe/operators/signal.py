@@ -17,6 +17,7 @@ BUCKET = 1 << 16
 
 def with_margin(df: DataFrame, reach: int, frame: str = "frame", bucket: int = BUCKET) -> DataFrame:
     """Rows with columns _bucket and _own: each row once in its own bucket and once in each that its reach touches."""
+    bucket = max(bucket, reach + 1)  # so that a reach touches neighbouring buckets only
     at = lambda c: F.floor(c / bucket)
     f = F.col(frame)
     buckets = F.array_distinct(F.array(at(f), at(f - reach), at(f + reach)))
