@@ -26,8 +26,8 @@ from ..session import ship
 from . import words as W
 
 #: Bounds of the training sample.
-PER_LANGUAGE = 1200
-SAMPLE_LIMIT = 24_000
+PER_LANGUAGE = 700
+SAMPLE_LIMIT = 14_000
 BUCKETS = 1 << 14
 DIM = 16
 EPOCHS = 6
@@ -107,11 +107,12 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) ->
     bias = np.zeros(len(langs), np.float32)
     fit = [e for i, e in enumerate(examples) if i % 5] or examples
     held = examples[::5]
-    share = [(e[0], (e[1] / max(e[1].sum(), 1)).astype(np.float32), index[e[2]]) for e in fit if len(e[0])]
-    steps, step = EPOCHS * max(1, len(share)), 0
+    fit = [e for e in fit if len(e[0])]
+    steps, step = EPOCHS * max(1, len(fit)), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(share)):
-            b, f, y = share[i]
+        for i in rng.permutation(len(fit)):
+            b, n, lang = fit[i]
+            f, y = (n / n.sum(dtype=np.float64)).astype(np.float32), index[lang]
             rate = RATE * (1 - step / steps)
             step += 1
             x = f @ emb[b]
@@ -131,7 +132,7 @@ def _calibrate(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]]) ->
     """Temperature of least log loss on the held-back part, and the threshold that rejects REJECT_SHARE of it at most."""
     if not held:
         return model
-    z = np.stack([n @ model.weights[b] / max(n.sum(), 1) + model.bias for b, n, _ in held])
+    z = np.stack([n.astype(np.float32) @ model.weights[b] / max(n.sum(dtype=np.float64), 1.0) + model.bias for b, n, _ in held])
     y = np.array([e[2] for e in held])
     best = np.inf
     for t in np.geomspace(0.05, 20, 60):
@@ -157,9 +158,9 @@ def _featurizer():
             sizes.append(np.bincount(key // BUCKETS, minlength=len(c)))
         cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
         n = cat(sizes)
-        return pa.StructArray.from_arrays([W.lists(cat(buckets), n, pa.int32()), W.lists(cat(counts), n, pa.int32())], ["b", "n"])
+        return pa.StructArray.from_arrays([W.lists(cat(buckets), n, pa.int16()), W.lists(np.minimum(cat(counts), 32767), n, pa.int16())], ["b", "n"])
 
-    return arrow_udf(features, returnType="struct<b:array<int>,n:array<int>>").asNondeterministic()
+    return arrow_udf(features, returnType="struct<b:array<smallint>,n:array<smallint>>").asNondeterministic()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None) -> Model:
@@ -174,9 +175,14 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(cut * min(1.0, PER_LANGUAGE / n)))])
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(11)), F.lit(cut))
     picked = rows.where((draw < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).withColumn("draw", draw).repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism), "draw")
-    got = picked.select("draw", "lang", _featurizer()(F.col("text")).alias("f")).orderBy("draw", "lang").limit(SAMPLE_LIMIT).collect()
-    got.sort(key=lambda r: (r["draw"], r["lang"], len(r["f"]["b"])))
-    return train([(np.array(r["f"]["b"], np.int64), np.array(r["f"]["n"], np.float32), r["lang"]) for r in got])
+    got = picked.select("draw", "lang", _featurizer()(F.col("text")).alias("f")).orderBy("draw", "lang").limit(SAMPLE_LIMIT).toArrow()
+    examples = []
+    for batch in got.to_batches(max_chunksize=256):  # two bytes a number: views of the table, no copies
+        b, n = batch.column("f").flatten()
+        for draw, lang, x, y in zip(batch.column("draw").to_pylist(), batch.column("lang").to_pylist(), b, n, strict=True):
+            examples.append((draw, lang, x.values.to_numpy(), y.values.to_numpy()))
+    examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
+    return train([(b, n, lang) for _, lang, b, n in examples])
 
 
 def predictor(model: Model):
