@@ -84,7 +84,7 @@ def chunk_features(c: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
         h = h[at]
         h ^= h >> np.uint32(15)
         buckets.append((h * np.uint32(2246822519)) >> np.uint32(32 - 14))
-        owners.append(owner[at + 1])  # at most the first byte of an n-gram is a space before its text
+        owners.append(np.maximum(owner[at], owner[at + 1]))  # one of the two is in the text; spaces between texts have 0
     if not buckets:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
