@@ -1,0 +1,188 @@
+"""Language identification, toxicity and language-model scores: held-out results, brute force, edge cases."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from helpers import ODD, prose, table
+from pyspark.sql import functions as F
+
+from kairoframe.llm import language_id, lm_score, toxicity
+from kairoframe.llm import words as W
+
+LANGS = {"xx": "ka lo mi nu pe ro", "yy": "tra stro ply quent marb", "zz": "ää öö üß éè"}
+
+
+def language_docs(spark, n=240):
+    rng = random.Random(1)
+    rows = []
+    for i in range(n):
+        lang = sorted(LANGS)[i % 3]
+        text = " ".join("".join(rng.choice(LANGS[lang].split()) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(5, 60)))
+        rows.append((i, text, lang if i % 7 else None))
+    rows += [(1000 + i, t, "xx") for i, t in enumerate(ODD)] + [(None, "ka lo", "xx"), (0, rows[0][1], "xx")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"language": F.lit("clash"), "score": F.lit("x")})
+
+
+def test_language_id_on_held_out_rows(spark):
+    docs = language_docs(spark)
+    model = language_id.learn(docs, where=~language_id.held_out())
+    got = language_id.identify(docs, model, out="guess").withColumn("held", language_id.held_out()).collect()
+    assert len(got) == docs.count()
+    for r in got:
+        g = r["guess"]
+        letter = any(c.isalpha() for c in r["text"] or "")
+        assert (g["lang"] == "und") == (not letter) and 0 <= g["score"] <= 1 and (letter or (g["score"] == 0 and g["rejected"]))
+        assert r["held"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+    clean = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 1000 and r["held"]]
+    truth = {i: sorted(LANGS)[i % 3] for i in range(1000)}
+    assert len(clean) > 20 and all(r["guess"]["lang"] == truth[r["doc_id"]] and not r["guess"]["rejected"] for r in clean)
+    kept = language_id.filter_language(docs)
+    assert kept.columns == docs.columns and kept.where("text is null or text = ''").count() == 0
+
+
+def test_language_id_without_labels(spark):
+    docs = language_docs(spark).withColumn("lang", F.lit(None).cast("string"))
+    got = language_id.identify(docs, language_id.learn(docs), out="g").select("g.*").distinct().collect()
+    assert [(r["lang"], r["score"], r["rejected"]) for r in got] == [("und", 0.0, True)]
+    assert language_id.identify(docs.limit(0), language_id.learn(docs.limit(0))).count() == 0
+
+
+def test_language_features_average_hashed_ngrams():
+    import pyarrow as pa
+
+    for c in W.chunks(pa.array(["Ab, cd", None, "é"])):
+        b, d = language_id.chunk_features(c)
+        # n-grams of ' ab ' and ' cd ': three of 2, two of 3, one of 4 bytes each; the third text is one word of 2 bytes
+        assert Counter(d.tolist()) == {0: 12, 2: 6}
+        counts = language_id.chunk_counts(c)
+        assert counts.shape == (3, language_id.BUCKETS) and counts.sum(1).tolist() == [12, 0, 6]
+
+
+INSULTS = ["gruntle", "snarfish", "blorkhead"]
+
+
+def toxic_docs(spark, n=400):
+    rows, labels = [], []
+    rng = random.Random(2)
+    for i in range(n):
+        text = prose(i, rng.randint(10, 60))
+        y = int(i % 4 == 0)
+        if y:
+            w = text.split()
+            for _ in range(2):
+                w.insert(rng.randint(0, len(w)), rng.choice(INSULTS))
+            text = " ".join(w)
+        rows.append((i, text, "a", 0.5))
+        labels.append((i, y, 7))
+    rows += [(1000 + i, t, "a", 0.5) for i, t in enumerate(ODD)] + [(None, "gruntle", "a", 0.5), (0, rows[0][1], "a", 0.5)]
+    labels += [(5000, 1, 7), (None, 1, 7), (3, None, 7), (1, 0, 7)]
+    return spark.createDataFrame(rows, "doc_id long, text string, toxicity string, score double"), spark.createDataFrame(labels, "doc_id long, toxic int, text int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = toxic_docs(spark)
+    model = toxicity.learn(docs, labels, where=~language_id.held_out())
+    got = toxicity.assess(docs, model, out="t").withColumn("held", language_id.held_out()).collect()
+    assert len(got) == docs.count() and all(0 <= r["t"]["score"] <= 1 for r in got)
+    held = [r for r in got if r["held"] and r["doc_id"] < 1000]
+    assert len(held) > 40 and all((r["t"]["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in held)
+    assert all(r["t"]["score"] < 0.5 for r in got if r["doc_id"] is not None and r["doc_id"] >= 1000)
+    learned = {e["doc_id"] for r in got for e in r["t"]["evidence"]}
+    assert learned and all(zlib.crc32(str(i).encode()) % 5 for i in learned)
+
+
+def test_toxicity_without_labels(spark):
+    docs, labels = toxic_docs(spark, 20)
+    for part in (labels.where("toxic = 0"), labels.limit(0)):
+        assert [r[0] for r in toxicity.assess(docs, toxicity.learn(docs, part), out="t").select("t.score").distinct().collect()] == [0.0]
+    assert toxicity.assess(docs.limit(0), toxicity.learn(docs.limit(0), labels)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbours_are_exact(seed):
+    rng = np.random.default_rng(seed)
+    n, m = 400, 50
+    dense = np.where(rng.random((n, m)) < 0.08, rng.integers(1, 4, (n, m)), 0).astype(float)
+    idf = rng.random(m) + 0.5
+    keys = W.HashSet(rng.integers(0, 1 << 60, m).astype(np.uint64))
+    index = toxicity.Index.build(keys, idf, [], [], [])
+    vectors = [(t := np.flatnonzero(row), index.vector(t, row[t]) if len(t) else np.zeros(0)) for row in dense]
+    index = toxicity.Index.build(keys, idf, vectors, list(range(n)), [0] * n)
+    table_ = np.zeros((n, m))
+    for i, (t, w) in enumerate(vectors):
+        table_[i, t] = w
+    for i in range(60):
+        t, w = vectors[i]
+        if not len(t):
+            continue
+        e, s = index.nearest(t, w, 7)
+        cos = table_ @ table_[i]
+        order = np.lexsort((np.arange(n), -np.round(cos, 12)))
+        order = order[cos[order] > 0][:7]
+        np.testing.assert_allclose(np.sort(s)[::-1], np.sort(cos[order])[::-1], atol=1e-9)
+        assert len(e) == len(order)
+
+
+def test_lm_base_scores_and_normalisation(spark):
+    texts = [*ODD, *(prose(i, 80) for i in range(60)), "Zebra unseen " + prose(3, 20), prose(9, 20000)]
+    docs = table(spark, texts)
+    model, counts = lm_score.learn(docs.where(~language_id.held_out("doc_id", 10)).select("text"))
+    got = lm_score.score(docs, model, counts).collect()
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)), None]
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    c = Counter(w for i, t in rows if not held(i) for w in tokens(t))
+    n, v = sum(c.values()), len(c)
+    want = {}
+    for i, t in rows:
+        ws = tokens(t)
+        want.setdefault(i, []).append((len(ws), sum(c[w] > 0 for w in ws), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), held(i)))
+    assert Counter(r["id"] for r in got) == Counter(i for i, _ in rows)
+    for r in got:
+        a, b, base, h = want[r["id"]][0]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (a, b, n, h) and abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
+        assert r["score"] < 0
+    np.testing.assert_allclose((10**model.table).sum(1), 1, atol=1e-9)
+    fresh = [r for r in got if r["held_out"] and r["n_tokens"] > 50]
+    assert fresh and sum(r["score"] for r in fresh) > 1.01 * sum(r["base_score"] for r in fresh)  # words without order: no worse
+
+
+def test_lm_learns_order(spark):
+    rng = random.Random(1)
+    follow = {w: rng.sample([f"w{i}" for i in range(30)], 3) for w in (f"w{i}" for i in range(30))}
+
+    def text():
+        w, out = "w0", []
+        for _ in range(60):
+            out.append(w)
+            w = rng.choice(follow[w])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id long, text string")
+    got = lm_score.score(docs, *lm_score.learn(docs.where(~language_id.held_out("doc_id", 10)).select("text"))).where("held_out").collect()
+    # three equally likely words: log10(3) a token, against log10(30)
+    assert sum(r["score"] for r in got) > 0.5 * sum(r["base_score"] for r in got)
+
+
+def test_lm_with_rare_words_joined(spark, monkeypatch):
+    """The same sums when hardly any word is looked up and nearly all are joined."""
+    docs = table(spark, [prose(i, 40) for i in range(20)])
+    train = docs.select("text")
+    whole = {(r["id"], round(r["base_score"], 6), r["n_known"]) for r in lm_score.score(docs, *lm_score.learn(train)).collect()}
+    monkeypatch.setattr(lm_score, "KNOWN", 3)
+    model, counts = lm_score.learn(train)
+    assert len(model.known.keys) <= 3
+    assert {(r["id"], round(r["base_score"], 6), r["n_known"]) for r in lm_score.score(docs, model, counts).collect()} == whole
+
+
+def test_lm_without_training_text(spark):
+    docs = table(spark, ["a b", ""])
+    got = lm_score.score(docs, *lm_score.learn(docs.limit(0).select("text"))).collect()
+    assert len(got) == 4 and all(r["n_known"] == 0 and abs(r["base_score"]) < 1e-12 and math.isfinite(r["score"]) for r in got)
+    assert lm_score.score(docs.limit(0), *lm_score.learn(docs.select("text"))).count() == 0
