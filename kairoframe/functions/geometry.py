@@ -44,6 +44,11 @@ class TableShape:
         self.m_per_px = LENGTH_M / self.length_px
         self.x_range = (float(c[:, 0].min()), float(c[:, 0].max()))
 
+    def surface_y(self, x: Column) -> Column:
+        """Height in the image of the table's near edge at a column of pixels."""
+        (rx, ry), (lx, ly) = self.corners[2], self.corners[3]
+        return ly + (x - lx) / max(rx - lx, 1e-6) * (ry - ly)
+
 
 def order_corners(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """The two of least y are the far ones; far left, far right, near right, near left."""

@@ -68,7 +68,7 @@ def top_k(rows: DataFrame, key: list[str], score: str, tie: str, k: int = 8) ->
 
 
 def findings(r: DataFrame) -> Column:
-    """Titles of the rules that a report row meets, in the rules' order.
+    """Title and evidence of the rules that a report row meets, in the rules' order.
 
     Columns: strokes, forehand, backhand, lean, feet, technique (maps of counts), forehand_avg, backhand_avg, lost_net,
     lost_out, lost (own errors). Fewer than four strokes give one finding, and no rule met gives the default one.
@@ -79,19 +79,26 @@ def findings(r: DataFrame) -> Column:
     back = share_of(c("lean"), ("back_heavy",), n)
     lifted = share_of(c("feet"), ("both_feet_lifted", "left_foot_lifted", "right_foot_lifted"), n)
     push, loop = share_of(c("technique"), ("push",), n), share_of(c("technique"), ("loop",), n)
-    # Thresholds and titles of the findings.
+    pct = lambda v: F.concat(F.bround(v * 100, 0).cast("int").cast("string"), F.lit("%"))
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    n_of = lambda v: v.cast("string")
+    sides = text(n_of(fh), " forehands, ", n_of(bh), " backhands")
+    errors = text(n_of(c("lost_net")), " into the net, ", n_of(c("lost_out")), " out")
+    # Thresholds and titles of the findings, in order.
     rules = [
-        (share < 0.25, "Backhand is under-used"),
-        (share > 0.75, "Forehand is under-used"),
-        (back > 0.2, "Weight falling backwards at contact"),
-        (lifted > 0.45, "Balance at contact"),
-        ((push > 0.35) & (loop < 0.25), "Passive rallies"),
-        ((c("forehand_avg") > 0) & (c("backhand_avg") > 0) & (c("backhand_avg") < 0.75 * c("forehand_avg")), "Backhand lacks pace"),
-        ((c("lost") >= 3) & (c("lost_net") > c("lost_out")), "Errors into the net"),
-        ((c("lost") >= 3) & (c("lost_out") > c("lost_net")), "Errors long or wide"),
+        (share < 0.25, "Backhand is under-used", sides),
+        (share > 0.75, "Forehand is under-used", sides),
+        (back > 0.2, "Weight falling backwards at contact", text(pct(back), " of strokes")),
+        (lifted > 0.45, "Balance at contact", text(pct(lifted), " of strokes with a foot lifted")),
+        ((push > 0.35) & (loop < 0.25), "Passive rallies", text(pct(push), " pushes, ", pct(loop), " loops")),
+        ((c("forehand_avg") > 0) & (c("backhand_avg") > 0) & (c("backhand_avg") < 0.75 * c("forehand_avg")), "Backhand lacks pace", text(n_of(c("forehand_avg")), " and ", n_of(c("backhand_avg")), " km/h")),
+        ((c("lost") >= 3) & (c("lost_net") > c("lost_out")), "Errors into the net", errors),
+        ((c("lost") >= 3) & (c("lost_out") > c("lost_net")), "Errors long or wide", errors),
     ]
-    met = F.filter(F.array(*[F.when(cond, F.lit(title)) for cond, title in rules]), lambda x: x.isNotNull())
-    return F.when(n < 4, F.array(F.lit("Not enough strokes detected"))).when(F.size(met) == 0, F.array(F.lit("Solid, balanced session"))).otherwise(met)
+    found = lambda title, evidence: F.struct(F.lit(title).alias("title"), evidence.alias("evidence"))
+    met = F.filter(F.array(*[F.when(cond, found(title, evidence)) for cond, title, evidence in rules]), lambda x: x.isNotNull())
+    few, none = F.array(found("Not enough strokes detected", text(n_of(n), " strokes"))), F.array(found("Solid, balanced session", text(n_of(n), " strokes")))
+    return F.when(n < 4, few).when(F.size(met) == 0, none).otherwise(met)
 
 
 def shot_label(*parts: Column) -> Column:

@@ -104,7 +104,7 @@ def coaching_tips(spark, d: str) -> DataFrame:
     counts = lambda c: s.groupBy("player", c).agg(F.count("*").alias("n")).groupBy("player").agg(F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias(c))  # noqa: E731  (a handful of labels)
     own = s.where("n = 1 and not won").groupBy("player").agg(F.count("*").alias("lost"), F.count_if(F.col("outcome") == "net").alias("lost_net"), F.count_if(F.col("outcome") == "out").alias("lost_out"))
     r = t.join(counts("technique"), "player").join(counts("lean"), "player").join(counts("feet"), "player").join(own, "player", "left").na.fill(0, ["lost", "lost_net", "lost_out"])
-    return r.select("player", F.array_join(report.findings(r), "; ").alias("tips"))
+    return r.select("player", F.array_join(F.transform(report.findings(r), lambda t: t["title"]), "; ").alias("tips"))
 
 
 def report_json(spark, d: str) -> DataFrame:

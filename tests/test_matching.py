@@ -63,7 +63,9 @@ def _findings(spark, **over):
     base = {"strokes": 8, "forehand": 4, "backhand": 4, "lean": {"neutral": 8}, "feet": {"both_feet_planted": 8}, "technique": {"loop": 8}, "forehand_avg": None, "backhand_avg": None, "lost": 0, "lost_net": 0, "lost_out": 0} | over
     schema = "strokes long, forehand long, backhand long, lean map<string,long>, feet map<string,long>, technique map<string,long>, forehand_avg double, backhand_avg double, lost long, lost_net long, lost_out long"
     df = spark.createDataFrame([tuple(base.values())], schema)
-    return df.select(report.findings(df)).first()[0]
+    got = df.select(report.findings(df)).first()[0]
+    assert all(t["evidence"] for t in got)
+    return [t["title"] for t in got]
 
 
 def test_findings(spark):
