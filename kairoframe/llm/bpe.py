@@ -80,7 +80,7 @@ class Pairs:
             return True
         known = self._memo.get((a, b))
         if known is None:
-            if len(self._memo) > 1 << 20:
+            if len(self._memo) > 1 << 16:
                 self._memo.clear()
             known = self._memo[(a, b)] = bool(self._fits_many(np.array([a]), np.array([b]))[0])
         return known

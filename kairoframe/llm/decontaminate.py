@@ -105,7 +105,7 @@ def _scanner(index: WindowIndex):
             [pa.array(cat(n_words)), pa.ListArray.from_arrays(pa.array(off), pairs), W.lists(cat(ids), cat(n_items), pa.int64())], fields=list(kind)
         )
 
-    return arrow_udf(scan, returnType=_HIT).asNondeterministic()
+    return arrow_udf(W.bounded(scan), returnType=_HIT).asNondeterministic()
 
 
 def _merge(a: Column, b: Column) -> Column:
@@ -159,7 +159,7 @@ def _remover():
                 out.append((b"\n".join([*keep, raw[at:]])).decode("utf-8", "replace") if keep else raw.decode("utf-8", "replace"))
         return pa.array([None if not ok else x for x, ok in zip(out, text.is_valid().to_pylist(), strict=True)], pa.string())
 
-    return arrow_udf(remove, returnType="string").asNondeterministic()
+    return arrow_udf(W.bounded(remove), returnType="string").asNondeterministic()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", n: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:

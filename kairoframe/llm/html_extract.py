@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import ship
+from . import words
 
 _MARKUP = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)")
@@ -207,7 +208,7 @@ def _texts(html: pa.Array) -> pa.Array:
 def extract(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """``pages`` with a column ``out``: the main text, blocks joined by line ends."""
     ship(pages.sparkSession)
-    return pages.withColumn(out, arrow_udf(_texts, returnType="string").asNondeterministic()(F.col(html_col)))
+    return pages.withColumn(out, arrow_udf(words.bounded(_texts), returnType="string").asNondeterministic()(F.col(html_col)))
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -160,7 +160,7 @@ def _featurizer():
         n = cat(sizes)
         return pa.StructArray.from_arrays([W.lists(cat(buckets), n, pa.int16()), W.lists(np.minimum(cat(counts), 32767), n, pa.int16())], ["b", "n"])
 
-    return arrow_udf(features, returnType="struct<b:array<smallint>,n:array<smallint>>").asNondeterministic()
+    return arrow_udf(W.bounded(features), returnType="struct<b:array<smallint>,n:array<smallint>>").asNondeterministic()
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None) -> Model:
@@ -205,7 +205,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "
     """``docs`` with a column ``out``: lang, score, and rejected (no letter, or a score under the threshold)."""
     ship(docs.sparkSession)
     tmp = f"__{out}"
-    guess = arrow_udf(predictor(model), returnType="struct<lang:string,score:double>").asNondeterministic()
+    guess = arrow_udf(W.bounded(predictor(model)), returnType="struct<lang:string,score:double>").asNondeterministic()
     has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.langs))
     g = F.col(tmp)
     fields = F.struct(F.when(has, g["lang"]).otherwise(NONE).alias("lang"), F.when(has, g["score"]).otherwise(0.0).alias("score"), (~has | (g["score"] < model.threshold)).alias("rejected"))

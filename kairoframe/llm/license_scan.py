@@ -198,7 +198,7 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     ship(docs.sparkSession)
     keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(_hashes(t) for _, t in templates)]))
     order = Templates(templates, threshold, count_words(docs, keys, text_col))
-    return docs.withColumn(out, arrow_udf(scanner(order, phrases, block), returnType=_OUT_DDL).asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(out, arrow_udf(W.bounded(scanner(order, phrases, block)), returnType=_OUT_DDL).asNondeterministic()(F.col(text_col)))
 
 
 def op3_license_scans(spark, sf_dir: str) -> DataFrame:

@@ -122,6 +122,7 @@ def count_bigrams(texts: DataFrame, symbols: Symbols) -> np.ndarray:
                 w = W.split(c, W.SOLID)
                 cur, before, _ = symbols.sequence(w, symbols.of(w))
                 total += np.bincount(before * s + cur, minlength=s * s)
+            W.release()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
@@ -274,6 +275,7 @@ def _scan(get: Callable[[], Model]):
                     [ids, pa.array(th[doc]), pa.array(np.concatenate([W.mix(th.view(np.uint64)).view(np.int64), h])), pa.array(np.concatenate([np.zeros(n, np.int64), tf])), pa.array(head == 0), pa.array(head), held, *map(pa.array, sums)],
                     [x.split()[0] for x in _ROWS.split(", ")],
                 )
+            W.release()
 
     return scan
 

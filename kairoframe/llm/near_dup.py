@@ -129,7 +129,7 @@ def _sketcher(s: Similarity):
         flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), W.lists(flat, np.full(len(text), s.bands), pa.int64())], ["n", "cid", "sig", "bands"])
 
-    return arrow_udf(sketch, returnType="struct<n:long,cid:long,sig:binary,bands:array<long>>").asNondeterministic()
+    return arrow_udf(W.bounded(sketch), returnType="struct<n:long,cid:long,sig:binary,bands:array<long>>").asNondeterministic()
 
 
 def _matrix(sig: pa.Array, width: int) -> np.ndarray:
@@ -169,7 +169,7 @@ def _pruner(s: Similarity):
     def keep(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array(alike(_matrix(x, s.hashes), _matrix(y, s.hashes), bounds))
 
-    return arrow_udf(keep, returnType="boolean").asNondeterministic()
+    return arrow_udf(W.bounded(keep), returnType="boolean").asNondeterministic()
 
 
 def _meeting(s: Similarity):
@@ -231,6 +231,7 @@ def _meeting(s: Similarity):
             if cut_at:
                 yield work(pa.concat_tables([*held, t.slice(0, cut_at)]))
                 held = [t.slice(cut_at)]
+                W.release()
             else:  # the batch goes on with one key, or begins another after what is held
                 if held and [held[0].column(k)[0].as_py() for k in ("band", "lo", "hi")] != last:
                     yield work(pa.concat_tables(held))
@@ -251,7 +252,7 @@ def _set_reader(s: Similarity, bits: int):
                 sets.append(x.tobytes() if bits == 64 else (x >> np.uint64(32)).astype(np.uint32).tobytes())
         return pa.StructArray.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["cid", "items"])
 
-    return arrow_udf(read, returnType="struct<cid:long,items:binary>").asNondeterministic()
+    return arrow_udf(W.bounded(read), returnType="struct<cid:long,items:binary>").asNondeterministic()
 
 
 def _verifier(s: Similarity):
@@ -267,7 +268,7 @@ def _verifier(s: Similarity):
             out.append(100 * both >= s.percent * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
-    return arrow_udf(linked, returnType="boolean").asNondeterministic()
+    return arrow_udf(W.bounded(linked), returnType="boolean").asNondeterministic()
 
 
 class Search:

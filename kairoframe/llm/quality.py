@@ -175,7 +175,7 @@ def _measurer(passage_words: int):
         cols = np.concatenate(parts, axis=1) if parts else np.zeros((len(_FIELDS), 0), np.int64)
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in cols], list(_FIELDS))
 
-    return arrow_udf(measure, returnType=_KIND).asNondeterministic()
+    return arrow_udf(W.bounded(measure), returnType=_KIND).asNondeterministic()
 
 
 def assess(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", out: str = "quality") -> DataFrame:  # noqa: B008

@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import ship
-from . import bpe
+from . import bpe, words
 
 MARK = "▁"
 #: Parts that a worker remembers at most.
-KEEP = 400_000
+KEEP = 150_000
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNIGRAM, _BPE = 1, 2
 
@@ -340,28 +340,19 @@ _KIND = "struct<ids:array<int>,round_trip:boolean>"
 def _encoder(codec: Callable[[], Codec]):
     def encode(text: pa.Array) -> pa.Array:
         c = codec()
-        held = text.to_pylist()
-        blobs: list[bytes] = []
-        rows, size = [], 0
-
-        def flush():
-            c.learn({p for parts in rows for p in parts})
-            blobs.extend(b"".join(map(c.known.__getitem__, parts)) for parts in rows)
-            rows.clear()
-
-        for t in held:
-            rows.append(c.parts(c.normalise(t or "")))
-            size += len(t or "")
-            if size > 1 << 20:
-                flush()
-                size = 0
-        flush()
-        same = [None if t is None else c.decode(np.frombuffer(b, np.int32).tolist()) == t for t, b in zip(held, blobs, strict=True)]
-        counts = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        off = np.zeros(len(held) + 1, np.int32)
+        parts, counts, same = [np.zeros(0, np.int32)], [], []
+        for k in words.chunks(text):  # a run of texts at a time
+            held = text.slice(k.first, len(k)).to_pylist()
+            rows = [c.parts(c.normalise(t or "")) for t in held]
+            c.learn({p for row in rows for p in row})
+            for t, row in zip(held, rows, strict=True):
+                ids = np.frombuffer(b"".join(map(c.known.__getitem__, row)), np.int32)
+                parts.append(ids)
+                counts.append(len(ids))
+                same.append(None if t is None else c.decode(ids.tolist()) == t)
+        off = np.zeros(len(text) + 1, np.int32)
         np.cumsum(counts, out=off[1:])
-        nulls = pa.array([t is None for t in held], pa.bool_())
-        ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(blobs), np.int32)), mask=nulls)
+        ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)), mask=text.is_null())
         return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
 
     return encode
@@ -376,7 +367,7 @@ def _shared(docs: DataFrame, path: str) -> Callable[[], Codec]:
 def encode(docs: DataFrame, path: str, text_col: str = "text", out: str = "pieces") -> DataFrame:
     """``docs`` with a column ``out``: ids, and round_trip (whether decoding them gives the text again)."""
     ship(docs.sparkSession)
-    return docs.withColumn(out, arrow_udf(_encoder(_shared(docs, path)), returnType=_KIND).asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(out, arrow_udf(words.bounded(_encoder(_shared(docs, path))), returnType=_KIND).asNondeterministic()(F.col(text_col)))
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
@@ -388,7 +379,7 @@ def decode(rows: DataFrame, path: str, ids_col: str = "ids", out: str = "text")
         c = codec()
         return pa.array([None if x is None else c.decode(x) for x in ids.to_pylist()], pa.string())
 
-    return rows.withColumn(out, arrow_udf(read, returnType="string").asNondeterministic()(F.col(ids_col)))
+    return rows.withColumn(out, arrow_udf(words.bounded(read), returnType="string").asNondeterministic()(F.col(ids_col)))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from ..session import ship
-from . import bpe
+from . import bpe, words
 
 #: Pieces that a worker remembers at most.
-KEEP = 400_000
+KEEP = 150_000
 LIMIT = 512
 #: The splitting pattern of byte-level BPE vocabularies; white space by its Unicode property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -134,9 +134,8 @@ def _counting(get: Callable[[], Counter], limit: int):
     def count(text: pa.Array) -> pa.Array:
         counter = get()
         n_tokens, fit = [], []
-        rows, size, held = [], 0, text.to_pylist()
-
-        def flush():
+        for k in words.chunks(text):  # a run of texts at a time
+            rows = [counter.pieces(t or "") for t in text.slice(k.first, len(k)).to_pylist()]
             counter.learn({p for pieces, _ in rows for p in pieces})
             known = counter.known.__getitem__
             for pieces, added in rows:
@@ -147,15 +146,6 @@ def _counting(get: Callable[[], Counter], limit: int):
                     fit.append(sum(map(len, pieces[:upto])))
                 else:
                     fit.append(None)
-            rows.clear()
-
-        for t in held:
-            rows.append(counter.pieces(t or ""))
-            size += len(t or "")
-            if size > 1 << 20:
-                flush()
-                size = 0
-        flush()
         return pa.StructArray.from_arrays([pa.array(n_tokens, pa.int64()), pa.array(fit, pa.int64())], ["n_tokens", "fit_chars"])
 
     return count
@@ -166,7 +156,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text_col: str =
     ship(docs.sparkSession)
     kind = "struct<n_tokens:long,fit_chars:long>"
     held = docs.sparkSession.sparkContext.broadcast(Counter(path))  # a vocabulary's size is fixed; a worker keeps what it has learned
-    return docs.withColumn(out, arrow_udf(_counting(lambda: held.value, limit), returnType=kind).asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(out, arrow_udf(words.bounded(_counting(lambda: held.value, limit)), returnType=kind).asNondeterministic()(F.col(text_col)))
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

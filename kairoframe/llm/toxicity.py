@@ -211,7 +211,7 @@ def _vectorizer(keys: W.HashSet):
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
         return pa.StructArray.from_arrays([W.lists(cat(ts), cat(sizes), pa.int32()), W.lists(cat(ns), cat(sizes), pa.int32())], ["t", "n"])
 
-    return arrow_udf(vectors, returnType="struct<t:array<int>,n:array<int>>").asNondeterministic()
+    return arrow_udf(W.bounded(vectors), returnType="struct<t:array<int>,n:array<int>>").asNondeterministic()
 
 
 def document_frequencies(docs: DataFrame, keys: W.HashSet, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -330,7 +330,7 @@ def assess(docs: DataFrame, model: Model, text_col: str = "text", out: str = "to
     """``docs`` with a column ``out``: score, and evidence (nearest examples with cosine and label)."""
     ship(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LIMIT examples of TERMS terms
-    return docs.withColumn(out, arrow_udf(_scorer(lambda: held.value), returnType=_KIND).asNondeterministic()(F.col(text_col)))
+    return docs.withColumn(out, arrow_udf(W.bounded(_scorer(lambda: held.value)), returnType=_KIND).asNondeterministic()(F.col(text_col)))
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ a result, callers compare the bytes as well or state the odds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +32,31 @@ SOLID = np.ones(256, bool)
 SOLID[0x20] = SOLID[0x09:0x0E] = False
 
 
+@functools.cache
+def _trim() -> Callable | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _trim() is not None:
+        _trim()(0)
+
+
+def bounded(fn: Callable) -> Callable:
+    """fn, with the memory that a batch has taken given back to the system after it: workers live on between stages."""
+
+    @functools.wraps(fn)
+    def inner(*args):
+        try:
+            return fn(*args)
+        finally:
+            release()
+
+    return inner
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_tables["pw"]) < n:
         n = max(n, 1 << 20)
