@@ -207,3 +207,30 @@ def op3_license_scans(spark, sf_dir: str) -> DataFrame:
     r = F.col("licenses")
     joined = lambda f: F.array_join(r[f], ",").alias(f)
     return scan_licenses(docs).select("doc_id", *[r[f].alias(f) for f in ("n_words", "n_base", "first_word", "last_word")], joined("base_labels"), joined("labels"), r["score"].alias("score"))
+
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CLASS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def _sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    phrases = ", ".join(f"({quote(label)}, string_split({quote(p)}, ' '))" for p, label in PHRASES.items())
+    templates = ", ".join(f"({i}, {quote(label)}, {quote(text)})" for i, (label, text) in enumerate(TEMPLATES))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOW} AS low FROM documents),
+w AS (SELECT rid, doc_id, low, regexp_extract_all(low, {_CLASS}) AS w FROM d),
+hit AS (SELECT rid, label, i - 1 AS place FROM (SELECT rid, w, label, p, unnest(range(1, len(w) - len(p) + 2)) AS i FROM w, (VALUES {phrases}) AS q(label, p) WHERE len(w) >= len(p)) t WHERE w[i : i + len(p) - 1] = p),
+base AS (SELECT rid, count(*) AS n, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY rid),
+t AS (SELECT label, list_distinct(regexp_extract_all({_LOW.replace("text", "tx")}, {_CLASS})) AS words FROM (VALUES {templates}) AS q(i, label, tx)),
+line AS (SELECT rid, i, list_distinct(regexp_extract_all(string_split(low, chr(10))[i], {_CLASS})) AS words FROM (SELECT rid, low, unnest(range(1, len(string_split(low, chr(10))) + 1)) AS i FROM d)),
+near AS (SELECT rid, i, label, len(list_intersect(line.words, t.words)) / len(t.words) AS share FROM line, t WHERE len(list_intersect(line.words, t.words)) >= ceil({THRESHOLD} * len(t.words) - 1e-9)),
+best AS (SELECT rid, label, share FROM (SELECT *, max(share) OVER (PARTITION BY rid, i) AS top FROM near) n WHERE share = top),
+lab AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM best UNION SELECT rid, label FROM hit) l GROUP BY rid),
+sc AS (SELECT rid, max(share) AS score FROM best GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base.labels, '') AS base_labels, coalesce(lab.labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM w LEFT JOIN base USING (rid) LEFT JOIN lab USING (rid) LEFT JOIN sc USING (rid)
+"""
+
+
+OP3_SQL = _sql()

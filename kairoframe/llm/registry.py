@@ -18,5 +18,6 @@ QUERIES = {
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+    "op3_license_scans": license_scan.OP3_SQL,
     "op9_near_dedup": near_dup.OP9_SQL,
 }
