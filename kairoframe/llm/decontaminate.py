@@ -14,6 +14,7 @@ benchmark or table gives no hits or no rows. Texts of any length are scanned who
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ from . import words as W
 
 #: Words in a window.
 WINDOW = 10
-#: Benchmark text, in bytes, that one scan holds in memory.
-BLOCK_BYTES = 8 << 20
+#: Benchmark text, in bytes, that one scan holds in memory (its windows take some 80 times as much in each worker).
+BLOCK_BYTES = 1 << 20
 _HIT = "struct<n_words:long,spans:array<struct<first:int,last:int>>,items:array<long>>"
 
 
@@ -67,10 +68,11 @@ class WindowIndex:
         return spans, sorted(items)
 
 
-def _scanner(index: WindowIndex):
+def _scanner(get: Callable[[], WindowIndex]):
     kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))), ("items", pa.list_(pa.int64()))])
 
     def scan(text: pa.Array) -> pa.Array:
+        index = get()
         n_words, n_spans, n_items = [], [], []
         firsts, lasts, ids = [], [], []
         for c in W.chunks(text):
@@ -127,12 +129,13 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col:
     blocks = max(1, -(-size // block_bytes))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        index = WindowIndex([(r[0], r[1]) for r in part.collect()], n)
+        held = docs.sparkSession.sparkContext.broadcast(WindowIndex([(r[0], r[1]) for r in part.collect()], n))
+        scan = _scanner(lambda held=held: held.value)(F.col(text_col))
         if b == 0:
-            docs = docs.withColumn(out, _scanner(index)(F.col(text_col)))
+            docs = docs.withColumn(out, scan)
         else:
             more = f"__{out}_block"
-            docs = docs.withColumn(more, _scanner(index)(F.col(text_col)))
+            docs = docs.withColumn(more, scan)
             docs = docs.withColumn(out, F.struct(F.col(out)["n_words"].alias("n_words"), _merge(F.col(out)["spans"], F.col(more)["spans"]).alias("spans"), F.array_distinct(F.concat(F.col(out)["items"], F.col(more)["items"])).alias("items"))).drop(more)
         if blocks > 1:
             docs = cut(docs)
