@@ -9,11 +9,12 @@
 3. A pair's signatures are compared batch by batch; it is dropped once the posterior probability that its similarity
    reaches the threshold falls under ``miss``. (Low bytes agree by chance once in 256, which only keeps more pairs.) What
    is left is verified on the full sets, read again from the texts of those classes only.
-4. Verified links give components. Only buckets whose members then lie in several components can hide a link. Their
-   members meet block by block (``BLOCK`` of a bucket, as expected, against as many), with their sets as 32-bit hashes.
-   Pairs of one component are passed over, the others pruned as before and counted out in the block. Only what links a
-   member with another component leaves it, the closest pair of each, and is verified on the full sets. So no candidate
-   is left out, and no list of all pairs is made.
+4. Verified links give components. Only buckets with members outside their pivot's component can hide a link. Those
+   members meet all others block by block (``BLOCK`` of them, as expected, against as many), with their sets as 32-bit
+   hashes; members of the pivot's component don't meet each other. Pairs of one component are passed over, the others
+   pruned as before and counted out in the block. Only what links a member with another component leaves it, the closest
+   pair of each, and is verified on the full sets. So no candidate is left out, and no list of all pairs is made: of a
+   bucket of m members, u of them outside, about u * m / BLOCK rows are dealt out.
 
 With the default bands a pair at the threshold is missed with odds of about 7e-7, and less above it.
 
@@ -318,24 +319,29 @@ class Search:
         """Every member of a bucket with its pivot: the member whose bands meet most others."""
         meets = self.members.groupBy("cid").agg(F.sum("size").alias("meets"))
         ranked = self.members.join(meets, "cid")
-        pivots = ranked.groupBy("band").agg(F.max(F.struct("meets", "cid", "n")).alias("p"))
-        pairs = self.members.join(pivots, "band").where((F.col("cid") != F.col("p.cid")) & self._near_sizes("n", "p.n"))
-        return pairs.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b")).distinct()
+        self.pivots = cut(ranked.groupBy("band").agg(F.max(F.struct("meets", "cid", "n")).alias("p")).select("band", "p.cid", "p.n").toDF("band", "pivot", "pivot_n"))
+        pairs = self.members.join(self.pivots, "band").where((F.col("cid") != F.col("pivot")) & self._near_sizes("n", "pivot_n"))
+        return pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
     def unmet_pairs(self, roots: DataFrame | None) -> DataFrame:
-        """What signatures leave of the pairs between components that share a bucket."""
-        placed = self.members.select("band", "cid", "n", "size").withColumn("root", F.col("cid"))
-        if roots is not None:
-            placed = self.members.select("band", "cid", "n", "size").join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        placed = cut(placed)
-        split = placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-        unmet = cut(placed.join(split, "band"))
+        """Links that blocks find between components that share a bucket, by their 32-bit sets."""
+        members, main = self.members.select("band", "cid", "n"), self.pivots.select("band", F.col("pivot").alias("cid"))
+        if roots is None:
+            members, main = (x.withColumn("root", F.col("cid")) for x in (members, main))
+        else:
+            members, main = (x.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")) for x in (members, main))
+        placed = cut(members.join(main.select("band", F.col("root").alias("main")), "band").withColumn("outside", F.col("root") != F.col("main")))
+        sizes = placed.groupBy("band").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
+        unmet = cut(placed.join(sizes, "band"))
         if unmet.isEmpty():
             return unmet.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
         sets = self.sets(unmet.select("cid"), 32).join(self.classes.select("cid", "sig"), "cid")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = unmet.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+        count = lambda c: F.ceil(c / BLOCK).cast("int")
+        unmet = unmet.withColumns({"ins": count(F.col("all") - F.col("out")), "outs": count(F.col("out"))})
+        deal = lambda n: F.pmod(F.xxhash64("cid"), F.greatest(n, F.lit(1))).cast("int")
+        rows = unmet.withColumn("block", F.when(F.col("outside"), F.col("ins") + deal(F.col("outs"))).otherwise(deal(F.col("ins"))))
+        first = F.when(F.col("outside"), F.lit(0)).otherwise(F.col("ins"))  # blocks of the pivot's component meet those outside only
+        rows = rows.withColumn("other", F.explode(F.sequence(first, F.col("ins") + F.col("outs") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         rows = rows.join(sets, "cid").select("band", "lo", "hi", "block", "cid", "n", "root", "sig", "items")
         rows = rows.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
         return rows.mapInArrow(_meeting(self.s), "a long, b long").distinct()
