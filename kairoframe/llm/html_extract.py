@@ -2,10 +2,12 @@
 
 A page is read once into blocks, each with the path of elements from the root to it (with their classes and ids).
 Over the page, text length and punctuation are aggregated per path; a path's two ratios (per block) are smoothed over
-the blocks in page order and fused into one score; blocks over a share of the mean score are content nodes. The content
-nodes point out the element that holds the article, and its blocks are the text: a short paragraph or heading beside
-long ones is kept, whatever its own ratio. Elements whose tag, class or id says that they are something else (menus,
-headers of the page, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) take no part.
+the blocks in page order and fused into one score; blocks whose smoothed and own scores are over a share of the mean are
+content nodes. The lowest element that holds all content nodes holds the article, and its blocks are the text: a short
+paragraph or heading beside long ones is kept, whatever its own ratio. If that element is a part of a text only (a
+paragraph, list, table, quote), the one around it is taken, and if it is in an article or main element, the outermost of
+these. Elements whose tag, class or id says that they are something else (menus, headers of the page, footers, sidebars,
+notices, adverts, forms, scripts, styles, reader comments) take no part.
 
 Defined results: a null or empty page, or one without such text, gives an empty text; broken markup (elements that
 aren't closed or not open, cut references, an open comment or script at the end) is read as browsers do in the main;
@@ -50,8 +52,8 @@ _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Share of the mean fused score from which a block is a content node.
 THRESHOLD = 0.35
-#: Share of the content nodes' score that the article's element holds.
-HELD = 0.6
+#: Elements that hold a part of a text only; the text goes on around them.
+PART = frozenset("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption details summary address center".split())
 
 
 class Element:
@@ -158,47 +160,54 @@ def _smooth(values: list[float]) -> list[float]:
     return [(values[max(i - 1, 0)] + 2 * values[i] + values[min(i + 1, n - 1)]) / 4 for i in range(n)]
 
 
-def scores(nodes: list[tuple[str, Element]]) -> list[float]:
-    """Fused, smoothed tag-path ratios of some blocks: text length and punctuation per block of the same path."""
+def ratios(nodes: list[tuple[str, Element]]) -> tuple[list[float], list[float]]:
+    """Tag-path ratios of some blocks: text length and punctuation per block of the same path."""
     length, marks, count = defaultdict(float), defaultdict(float), defaultdict(int)
     for text, e in nodes:
         length[e.path] += len(text)
         marks[e.path] += len(_PUNCTUATION.findall(text))
         count[e.path] += 1
-    text_ratio = _smooth([length[e.path] / count[e.path] for _, e in nodes])
-    mark_ratio = _smooth([marks[e.path] / count[e.path] for _, e in nodes])
+    return [length[e.path] / count[e.path] for _, e in nodes], [marks[e.path] / count[e.path] for _, e in nodes]
+
+
+def _fused(text_ratio: list[float], mark_ratio: list[float]) -> list[float]:
     return [t * (1.0 + p) for t, p in zip(text_ratio, mark_ratio, strict=True)]
 
 
+def scores(nodes: list[tuple[str, Element]]) -> list[float]:
+    """Fused, smoothed tag-path ratios of some blocks."""
+    return _fused(*map(_smooth, ratios(nodes)))
+
+
 def main_blocks(html: str | None) -> list[str]:
     """The article's blocks."""
     nodes = [(t, e) for t, e in blocks(html or "") if not e.other]
     if not nodes:
         return []
-    fused = scores(nodes)
-    mean = sum(fused) / len(fused)
-    chosen = [s if s >= THRESHOLD * mean else 0.0 for s in fused]
-    weight: dict[Element, float] = defaultdict(float)
-    for (_, e), s in zip(nodes, chosen, strict=True):
-        while e is not None:
-            weight[e] += s
-            e = e.up
-    total = sum(chosen)
-    marked = [e for e in weight if e.tag in ARTICLE and weight[e] > 0]
-    if marked:
-        articles = {e for e in marked if e.tag == "article"} or set(marked)
-        keep = {e for e in articles if not any(up in articles for up in _above(e))}
-    else:
-        keep = {max((e for e in weight if weight[e] >= HELD * total and e.tag not in ("p", "li", "td")), key=lambda e: e.depth, default=min(weight, key=lambda e: e.depth))}
-    return [t for t, e in nodes if e in keep or any(up in keep for up in _above(e))]
-
-
-def _above(e: Element) -> list[Element]:
-    out = []
-    while e.up is not None:
-        e = e.up
-        out.append(e)
-    return out
+    each = ratios(nodes)
+    own, fused = _fused(*each), _fused(*map(_smooth, each))
+    least = THRESHOLD * sum(fused) / len(fused)
+    # a block that owes its score to its neighbours chooses nothing
+    chosen = [e for (_, e), s, o in zip(nodes, fused, own, strict=True) if s >= least and o >= least] or [e for (_, e), s in zip(nodes, fused, strict=True) if s >= least]
+    top = chosen[0]
+    for e in chosen:
+        top = _common(top, e)
+    while top.tag in PART and top.up is not None:
+        top = top.up
+    e = top
+    while e is not None:
+        top, e = e if e.tag in ARTICLE else top, e.up
+    return [t for t, e in nodes if _common(e, top) is top]
+
+
+def _common(a: Element, b: Element) -> Element:
+    """The lowest element that holds both."""
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+    return a
 
 
 def _texts(html: pa.Array) -> pa.Array:

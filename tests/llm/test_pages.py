@@ -27,6 +27,20 @@ def test_main_blocks(html, expected):
     assert H.main_blocks(html) == expected
 
 
+@pytest.mark.parametrize("part", ["section", "blockquote", "ul", "table"])
+def test_text_around_the_heaviest_part_is_kept(part):
+    row = {"ul": "li", "table": "tr"}.get(part, "p")
+    html = f"<div id='text'><p>{B}</p><{part}>" + f"<{row}>{A}</{row}>" * 4 + f"</{part}><p>{B}</p></div>"
+    assert H.main_blocks(html) == [B, A, A, A, A, B]
+
+
+def test_content_nodes_choose_on_every_page():
+    assert H.main_blocks(f"<main><p>{A}</p><article><p>{B}</p></article><p>{A}</p></main>") == [A, B, A]
+    assert H.main_blocks(f"<div><article><p>{B}</p></article><div><p>{A}</p><p>{A}</p></div></div>") == [B, A, A]
+    assert H.main_blocks(f"<main><p>ok</p><article><h1>T</h1><p>{A}</p><p>{A}</p></article></main>") == ["ok", "T", A, A]
+    assert H.main_blocks(f"<div id='text'><p>{A}</p><p>{A}</p></div><article><span>x</span></article><ul><li>a<li>b<li>c<li>d</ul>") == [A, A]
+
+
 def test_scores_prefer_long_punctuated_paths():
     nodes = [(t, e) for t, e in H.blocks(f"<div><p>{A}</p><p>{B}</p><p>{A}</p></div><ul><li>x</li><li>y</li><li>z</li></ul>")]
     s = H.scores(nodes)
