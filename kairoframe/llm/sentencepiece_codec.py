@@ -7,8 +7,8 @@ library's. ``Stream`` keeps a window of positions bounded by the longest piece;
 positions that a later piece can still start from meet in one boundary, the ids up to it are final and are given out.
 
 Over a table, ``encode`` cuts texts where every path must meet (before a word-start mark that follows something else,
-and around line ends if no longer piece holds one), looks known parts up and runs the same recurrence over the new ones
-together. A run of word-start marks has its own rule, as its pieces all have the same score.
+and around line ends if no longer piece holds one) and looks known parts up. New parts of more than two times the longest
+piece go through ``Stream``; shorter ones are a window each, final at its end, and run through the same recurrence together. A run of word-start marks has its own rule, as its pieces all have the same score.
 
 Defined results: a null text gives null ids, an empty one no ids; characters outside the vocabulary become byte pieces;
 decoding turns ids back into the text exactly, but for texts that hold the word-start mark itself. Repeated rows each get
@@ -17,6 +17,7 @@ their own result; very long texts are encoded whole.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -189,9 +190,11 @@ class Codec:
         if len(self.known) + len(new) > KEEP:
             self.known.clear()
             new = list(parts)
-        if self.pairs is None:
-            for p in new:
-                self.known[p] = np.array(Stream(self).whole(p), np.int32).tobytes()
+        for p in new:
+            if self.pairs is None or len(p) > 2 * self.longest:
+                self.known[p] = Stream(self).packed(p)
+        new = [p for p in new if self.pairs is not None and len(p) <= 2 * self.longest]
+        if not new:
             return
         marks = [len(p) - len(p.lstrip(MARK)) for p in new]
         words = ["" if m == len(p) else p[m - 1 :] if m else p for p, m in zip(new, marks, strict=True)]
@@ -330,8 +333,13 @@ class Stream:
         n, self.run = self.run, 0
         return self._rest() + (self.codec.run_ids(n) if n else [])
 
-    def whole(self, text: str) -> list[int]:
-        return self.push(text) + self.close()
+    def packed(self, text: str) -> bytes:
+        """The ids of a whole text, four bytes each."""
+        ids = array("i")
+        for i in range(0, len(text), 4096):
+            ids.extend(self.push(text[i : i + 4096]))
+        ids.extend(self.close())
+        return ids.tobytes()
 
 
 _KIND = "struct<ids:array<int>,round_trip:boolean>"

@@ -86,6 +86,27 @@ def test_streaming_gives_the_same_ids_in_a_bounded_window(pieces):
         assert s.held <= 2 * pieces.longest
 
 
+def test_long_parts_go_through_the_window(monkeypatch):
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib, c, held = sentencepiece.SentencePieceProcessor(model_file=path), codec.Codec(path), []
+    packed = codec.Stream.packed
+
+    def spied(self, text):
+        ids = packed(self, text)
+        held.append((len(text), self.held))
+        return ids
+
+    monkeypatch.setattr(codec.Stream, "packed", spied, raising=False)
+    monkeypatch.setattr(c.pairs, "prefixes", lambda symbols: pytest.fail("a long part keeps every position"))
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(x) for _ in range(n)) for x in ("abcdefghij", "etaoinshr", "日本語ab벨", "=-_", "a") for n in (32, 33, 200, 3000)]
+    for t in [*texts, " " * 60 + texts[3], texts[7] + "\n" + texts[11] + "  x"]:
+        assert c.encode(t) == lib.encode(t)
+    assert max(n for n, _ in held) > 3000 and all(n > 2 * c.longest and w <= 2 * c.longest for n, w in held)
+
+
 def _field(n, kind, data):
     return bytes([n << 3 | kind]) + (bytes([len(data)]) + data if kind == 2 else data)
 
