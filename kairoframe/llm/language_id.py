@@ -3,7 +3,7 @@
 A text's features are the byte n-grams (2 to 4) of its lower-cased words with a space on either side, hashed into
 ``BUCKETS`` rows of an embedding table; their average goes through a linear softmax. Both are trained by stochastic
 gradient descent in numpy on the driver, over a bounded sample of labelled rows (``PER_LANGUAGE`` rows of each language
-are expected, ``SAMPLE_LIMIT`` rows at most in all). A part of the sample is held back to fit a temperature (so that scores
+are expected, ``SAMPLE_LIMIT`` rows at most in all; with too many languages for that, the larger ones give fewer rows). A part of the sample is held back to fit a temperature (so that scores
 are probabilities) and the rejection threshold. For prediction the table and the softmax are multiplied out, which gives the same
 logits; every text is read whole.
 
@@ -14,6 +14,7 @@ language that is first in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,6 +164,17 @@ def _featurizer():
     return arrow_udf(W.bounded(features), returnType="struct<b:array<smallint>,n:array<smallint>>").asNondeterministic()
 
 
+def quota(sizes: Iterable[int]) -> float:
+    """Rows expected of a language at most, so that all together are SAMPLE_LIMIT at most; smaller ones are taken whole."""
+    left, sizes = float(SAMPLE_LIMIT), sorted(sizes)
+    for i, n in enumerate(sizes):
+        each = left / (len(sizes) - i)
+        if n >= each:
+            return min(each, PER_LANGUAGE)
+        left -= min(n, PER_LANGUAGE)
+    return PER_LANGUAGE
+
+
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", where: Column | None = None) -> Model:
     """Train on a bounded sample of the labelled rows of ``docs`` for which ``where`` holds."""
     ship(docs.sparkSession)
@@ -171,11 +183,13 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return train([])
-    cut = 1 << 31
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(cut * min(1.0, PER_LANGUAGE / n)))])
+    cut, each = 1 << 31, quota(sizes.values())
+    shares = {lang: max(1, int(cut * min(1.0, each / n))) for lang, n in sizes.items()}
+    share = F.create_map(*[F.lit(x) for lang, n in shares.items() for x in (lang, n)])
     draw = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit(11)), F.lit(cut))
     picked = rows.where((draw < share[F.col("lang")]) & F.col("text").rlike(r"\p{L}")).withColumn("draw", draw).repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism), "draw")
-    got = picked.select("draw", "lang", _featurizer()(F.col("text")).alias("f")).orderBy("draw", "lang").limit(SAMPLE_LIMIT).toArrow()
+    # in the order of the draw within its language's share, the limit cuts every language alike
+    got = picked.select("draw", "lang", _featurizer()(F.col("text")).alias("f")).orderBy(F.col("draw") / share[F.col("lang")], "draw", "lang").limit(SAMPLE_LIMIT).toArrow()
     examples = []
     for batch in got.to_batches(max_chunksize=256):  # two bytes a number: views of the table, no copies
         b, n = batch.column("f").flatten()

@@ -52,6 +52,18 @@ def test_language_id_without_labels(spark):
     assert language_id.identify(docs.limit(0), language_id.learn(docs.limit(0))).count() == 0
 
 
+def test_small_languages_keep_their_part_of_the_sample(spark, monkeypatch):
+    """Ten languages of 300 rows and two of 12, with a bound of 120 rows, keep all rows of the small ones but chance."""
+    monkeypatch.setattr(language_id, "SAMPLE_LIMIT", 120)
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 60)
+    seen = Counter()
+    monkeypatch.setattr(language_id, "train", lambda examples: seen.update(e[2] for e in examples))
+    rows = [(1000 * k + i, "ka lo mi", f"l{k:02}") for k in range(12) for i in range(300 if k < 10 else 12)]
+    language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(seen) == 12 and sum(seen.values()) <= 120 and min(seen["l10"], seen["l11"]) >= 5
+    assert language_id.quota([300] * 10 + [12] * 2) == 10 and language_id.quota([4] * 10 + [300] * 2) == 40 and language_id.quota([300] * 2) == 60
+
+
 def test_language_features_average_hashed_ngrams():
     import pyarrow as pa
 
