@@ -1,6 +1,6 @@
 """License scans: phrases found word by word, and an exact set-similarity join of text blocks with license templates.
 
-A block (a line by default, or a paragraph) matches a template when it holds at least ``threshold`` of the template's
+A block (a line by default, or a paragraph, or a run of lines) matches a template when it holds at least ``threshold`` of the template's
 distinct words. The join is exact and finds its pairs by filters only: every template's words are put in one global
 order, rarest first by their count over all documents, so that
 
@@ -12,6 +12,10 @@ order, rarest first by their count over all documents, so that
 The counts come from one pass over all documents, summed by word before they are sent on; their number is bounded by
 the templates' words. Blocks are never compared with each other.
 
+Runs are for notices that are wrapped: a line that matches is a block of its own; lines that don't match alone and follow
+each other are blocks of as many lines as hold the longest template, whatever line of them it begins in. The match is
+then narrowed to the fewest lines that hold as much, and no line is in two matching runs. Lines without words don't count.
+
 All matching blocks and templates are listed; a block's label is that of the template it holds most of (all on a tie).
 
 Defined results: a null or empty text has no words, labels or hits and score 0; repeated rows and template names are
@@ -107,6 +111,9 @@ class Templates:
             for i, p in enumerate(words[: len(words) - need + 1]):
                 self.prefix[p].append((t, i))
         self.least = min(self.need, default=1)
+        self.longest = max((len(_hashes(text)) for _, text in templates), default=0)
+        self.first = np.zeros(len(self.order), bool)  # words of any prefix
+        self.first[list(self.prefix)] = True
         self.set = W.HashSet(np.array(self.order, np.uint64))
         self.to_place = np.array([self.place[int(h)] for h in self.set.keys], np.int64)
 
@@ -130,6 +137,48 @@ class Templates:
         return out
 
 
+def runs(t: Templates, ids: np.ndarray, doc: np.ndarray, at: np.ndarray, place: np.ndarray, alone: set[int]) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+    """First line and matches of each run of lines that holds a template.
+
+    ``ids`` and ``doc`` give each word's line and text, ``at`` and ``place`` the template words and their places in the
+    global order, ``alone`` the lines that match by themselves.
+    """
+    held = ids[at]
+    n = int(ids[-1]) + 1
+    begin = np.searchsorted(ids, np.arange(n + 1))
+    edge = np.zeros(n + 1, bool)  # a run ends before these lines: other texts and lines that match
+    edge[n] = True
+    edge[1:n] = doc[begin[1:n]] != doc[begin[1:n] - 1]
+    single = np.zeros(n + 1, bool)
+    single[list(alone)] = True
+    stop = np.minimum.accumulate(np.where(edge | single, np.arange(n + 1), n)[::-1])[::-1]
+    end = np.minimum(np.searchsorted(begin, begin[1:] + t.longest), stop[1:])
+    rare = np.append(0, np.cumsum(np.bincount(held[t.first[place]], minlength=n)))
+    every = np.append(0, np.cumsum(np.bincount(held, minlength=n)))
+    line = np.arange(n)
+    may = ~single[:n] & (end > line + 1) & (rare[end] > rare[:n]) & (every[end] - every[:n] >= t.least)
+
+    def match(i: int, j: int) -> list[tuple[int, float]]:
+        block = np.unique(place[every[i] : every[j]]).tolist()
+        return t.match(block) if len(block) >= t.least else []
+
+    best = lambda found: max((share for _, share in found), default=0.0)
+    taken = n
+    for i in np.flatnonzero(may)[::-1].tolist():
+        if i >= taken:
+            continue
+        j = min(int(end[i]), taken)
+        found = match(i, j)
+        if not found:
+            continue
+        while i and not edge[i] and not single[i - 1] and best(wider := match(i - 1, j)) > best(found):
+            i, found = i - 1, wider
+        while j > i + 1 and best(less := match(i, j - 1)) >= best(found):
+            j, found = j - 1, less
+        taken = i
+        yield i, found
+
+
 def count_words(docs: DataFrame, keys: np.ndarray, text_col: str = "text") -> dict[int, int]:
     """How often each of some word hashes occurs over all texts; summed on the way, so that their number is sent."""
     found = W.HashSet(keys)
@@ -170,6 +219,7 @@ def scanner(templates: Templates, phrases: dict[str, str], block: str):
             at, k = templates.set.find(w.hashes)
             if len(at):
                 ids, line = block_ids(c, w, block)
+                alone = {}
                 pairs = np.unique(ids[at] * len(templates.order) + templates.to_place[k])
                 blocks, places = np.divmod(pairs, len(templates.order))
                 cut = np.flatnonzero(np.append(True, blocks[1:] != blocks[:-1]))
@@ -177,13 +227,17 @@ def scanner(templates: Templates, phrases: dict[str, str], block: str):
                 for a, b, word in zip(cut, np.append(cut[1:], len(blocks)), first_word, strict=True):
                     if b - a >= templates.least:
                         r = got[w.doc[word]]
-                        matches = templates.match(places[a:b].tolist())
-                        best = max((share for _, share in matches), default=0.0)
-                        r["score"] = max(r["score"], best)
-                        for t, share in matches:
-                            if share == best:  # a version 3 notice also holds most words of the version 2 one
-                                r["labels"].add(templates.labels[t])
-                            r["blocks"].append({"label": templates.labels[t], "line": int(line[blocks[a]]), "containment": share})
+                        alone[int(blocks[a])] = r, templates.match(places[a:b].tolist())
+                alone = {b: v for b, v in alone.items() if v[1]}
+                if block == "run":
+                    alone |= {b: (got[w.doc[np.searchsorted(ids, b)]], m) for b, m in runs(templates, ids, w.doc, at, templates.to_place[k], set(alone))}
+                for b, (r, matches) in sorted(alone.items(), key=lambda x: x[0]):
+                    best = max(share for _, share in matches)
+                    r["score"] = max(r["score"], best)
+                    for t, share in matches:
+                        if share == best:  # a version 3 notice also holds most words of the version 2 one
+                            r["labels"].add(templates.labels[t])
+                        r["blocks"].append({"label": templates.labels[t], "line": int(line[b]), "containment": share})
             for r in got:
                 r["labels"] = sorted(r["labels"] | r["base_labels"])
                 r["base_labels"] = sorted(r["base_labels"])
@@ -202,11 +256,11 @@ def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
 
 
 def op3_license_scans(spark, sf_dir: str) -> DataFrame:
-    """Every document with its license places and labels."""
+    """Every document with its license places and labels; OP3_SQL compares single lines only, so it has no wrapped notices."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     r = F.col("licenses")
     joined = lambda f: F.array_join(r[f], ",").alias(f)
-    return scan_licenses(docs).select("doc_id", *[r[f].alias(f) for f in ("n_words", "n_base", "first_word", "last_word")], joined("base_labels"), joined("labels"), r["score"].alias("score"))
+    return scan_licenses(docs, block="run").select("doc_id", *[r[f].alias(f) for f in ("n_words", "n_base", "first_word", "last_word")], joined("base_labels"), joined("labels"), r["score"].alias("score"))
 
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -75,6 +75,23 @@ def test_decontamination(spark, block_bytes):
     assert decontaminate.find_hits(table(spark, texts).limit(0), bench).count() == 0
 
 
+def test_wrapped_notices_have_their_labels():
+    """Each template broken at every width, between other lines and beside a notice on one line of its own."""
+    t = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
+    scan = license_scan.scanner(t, {}, "run")
+    around, other = prose(1, 9), "Licensed under CC BY-NC 4.0."
+    for label, text in license_scan.TEMPLATES:
+        words = text.split()
+        broken = ["\n".join(" ".join(words[i : i + k]) for i in range(0, len(words), k)) for k in range(2, len(words))]
+        texts = [f"{around} in\n{b}\n\n{around}" for b in broken] + [f"{other}\n{b}\n{other}" for b in broken]
+        for i, r in enumerate(scan(pa.array(texts)).to_pylist()):
+            assert label in r["labels"] and (i < len(broken) or "cc-by-nc" in r["labels"]) and r["score"] >= license_scan.THRESHOLD, texts[i]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the 'Software'), to deal\nin the Software"
+    got = scan(pa.array([mit, None, "", mit.replace("\n", " "), "Released under\n", "the MIT License.", mit + "\n" + prose(2, 60) + "\n" + mit])).to_pylist()
+    assert [r["labels"] for r in got] == [["mit"], [], [], ["mit"], [], [], ["mit"]]
+    assert [[b["line"] for b in r["blocks"]] for r in got] == [[0], [], [], [0], [], [], [0, 4]]
+
+
 def test_licenses_find_every_block(spark):
     rng = random.Random(3)
     pool = sorted({w for _, t in license_scan.TEMPLATES for w in alnum(t)}) + ["stone", "river"]
