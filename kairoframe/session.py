@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,15 +47,58 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the shared folder named by spark.checkpoint.dir; set a local one only where none is set (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; a local one only where none is set and the master is local."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="ckpt_"))
+    set_before = sc._jsc.sc().getCheckpointDir()
+    if set_before.isDefined():
+        return set_before.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="ckpt_")
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage; it survives a lost executor."""
-    ensure_checkpoint_dir(df.sparkSession)
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Tables:
+    """Tables of a job's steps, written to the shared folder: they cut lineage as checkpoints do and survive lost executors.
+
+    Columns are stored compressed and read one by one, a table is gone once it is dropped, and the shuffle files behind a
+    table go when it is written, so that a job of many steps holds no more on disk than what its next steps read.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
+        self._n = 0
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """``df`` as a table."""
+        path, self._n = f"{self.folder}/{self._n}", self._n + 1
+        clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(clean, "false")
+        self.spark.conf.set(clean, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(clean, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = (table, path)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing reads any more."""
+        for t in tables:
+            _, path = self._paths.pop(id(t), (None, None))
+            if path:
+                where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
