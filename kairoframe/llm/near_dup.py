@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from ..session import cut, ship
+from ..session import Tables, ship
 from . import words as W
 from .components import components
 
@@ -277,14 +277,16 @@ class Search:
 
     def __init__(self, docs: DataFrame, s: Similarity, id_col: str, text_col: str):
         ship(docs.sparkSession)
-        self.s = s
+        self.s, self.tables = s, Tables(docs.sparkSession)
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        self.rows = cut(self.texts.withColumn("k", _sketcher(s)(F.col("text"))).select("id", "k.*"))
-        classes = self.rows.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-        self.classes = cut(classes)
+        sketched = self.tables.save(self.texts.withColumn("k", _sketcher(s)(F.col("text"))).select("id", "k.*"))
+        classes = sketched.where("n > 0").groupBy("cid").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
+        self.classes = self.tables.save(classes)
+        self.rows = self.tables.save(sketched.select("id", "n", "cid"))
+        self.tables.drop(sketched)
         bands = self.classes.select("cid", "n", F.explode("bands").alias("band"))
         shared = bands.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
-        self.members = cut(bands.join(shared, "band"))
+        self.members = self.tables.save(bands.join(shared, "band"))
 
     def _near_sizes(self, x: str, y: str):
         return 100 * F.least(x, y) >= self.s.percent * F.greatest(x, y)
@@ -297,7 +299,7 @@ class Search:
 
     def sets(self, cids: DataFrame, bits: int = 64) -> DataFrame:
         """cid, items (sorted shingle hashes of 64 or 32 bits) of the named classes, read from their documents again."""
-        needed = cut(cids.distinct().join(self.classes.select("cid", "least"), "cid"))
+        needed = self.tables.save(cids.distinct().join(self.classes.select("cid", "least"), "cid"))
         ids = needed.select(F.col("least").alias("id")).distinct()
         ids = F.broadcast(ids) if needed.count() <= BROADCAST_IDS else ids
         known = self.texts.where(F.col("id").isNotNull()).join(ids, "id", "left_semi")
@@ -308,18 +310,20 @@ class Search:
 
     def verify(self, pairs: DataFrame) -> DataFrame | None:
         """The pairs (a, b) whose full sets are near; None if there are no pairs."""
-        found = cut(pairs)
+        found = self.tables.save(pairs)
         if found.isEmpty():
             return None
         sets = self.sets(found.select(F.col("a").alias("cid")).union(found.select(F.col("b").alias("cid"))))
         both = found.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        return cut(both.where(_verifier(self.s)(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+        links = self.tables.save(both.where(_verifier(self.s)(F.col("set_a"), F.col("set_b"))).select("a", "b"))
+        self.tables.drop(found)
+        return links
 
     def star_pairs(self) -> DataFrame:
         """Every member of a bucket with its pivot: the member whose bands meet most others."""
         meets = self.members.groupBy("cid").agg(F.sum("size").alias("meets"))
         ranked = self.members.join(meets, "cid")
-        self.pivots = cut(ranked.groupBy("band").agg(F.max(F.struct("meets", "cid", "n")).alias("p")).select("band", "p.cid", "p.n").toDF("band", "pivot", "pivot_n"))
+        self.pivots = self.tables.save(ranked.groupBy("band").agg(F.max(F.struct("meets", "cid", "n")).alias("p")).select("band", "p.cid", "p.n").toDF("band", "pivot", "pivot_n"))
         pairs = self.members.join(self.pivots, "band").where((F.col("cid") != F.col("pivot")) & self._near_sizes("n", "pivot_n"))
         return pairs.select(F.least("cid", "pivot").alias("a"), F.greatest("cid", "pivot").alias("b")).distinct()
 
@@ -330,9 +334,11 @@ class Search:
             members, main = (x.withColumn("root", F.col("cid")) for x in (members, main))
         else:
             members, main = (x.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid")) for x in (members, main))
-        placed = cut(members.join(main.select("band", F.col("root").alias("main")), "band").withColumn("outside", F.col("root") != F.col("main")))
+        placed = self.tables.save(members.join(main.select("band", F.col("root").alias("main")), "band").withColumn("outside", F.col("root") != F.col("main")).drop("main"))
+        self.tables.drop(self.members, self.pivots)
         sizes = placed.groupBy("band").agg(F.count_if("outside").alias("out"), F.count("*").alias("all")).where("out > 0")
-        unmet = cut(placed.join(sizes, "band"))
+        unmet = self.tables.save(placed.join(sizes, "band"))
+        self.tables.drop(placed)
         if unmet.isEmpty():
             return unmet.select(F.col("cid").alias("a"), F.col("cid").alias("b"))
         sets = self.sets(unmet.select("cid"), 32).join(self.classes.select("cid", "sig"), "cid")
@@ -356,33 +362,52 @@ class Search:
         return components(more if links is None else links.union(more))
 
     def groups(self) -> DataFrame:
-        """cid, group (least document id of its component) for classes with a copy or a link."""
+        """cid, and id and class of the group's head (the document with the least id of its component), for classes with a copy or a link."""
         roots = self.roots()
         own = self.classes.select("cid", "least", "copies")
         if roots is None:
-            return own.where("copies > 1").select("cid", F.col("least").alias("group"))
+            return own.where("copies > 1").select("cid", F.col("least").alias("group"), F.col("cid").alias("head"))
         placed = own.join(roots.withColumnRenamed("node", "cid"), "cid", "left").where("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "cid"))
-        heads = placed.groupBy("root").agg(F.min("least").alias("group"))
-        return placed.join(heads, "root").select("cid", "group")
+        heads = placed.where("least is not null").groupBy("root").agg(F.min(F.struct("least", "cid")).alias("h"))
+        return placed.join(heads, "root", "left").select("cid", F.col("h")["least"].alias("group"), F.col("h")["cid"].alias("head"))
+
+
+def _groups(docs: DataFrame, similarity: Similarity, id_col: str, text_col: str) -> tuple[DataFrame, Search]:
+    """id, n, cid, group, head of every row, and the run."""
+    search = Search(docs, similarity, id_col, text_col)
+    found = search.tables.save(search.rows.join(search.groups(), "cid", "left"))
+    search.tables.drop(search.classes, search.rows)
+    return found, search
 
 
 def find_groups(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """id, n_shingles, component_id (least id of all documents that links lead to), kept (whether it is the row's own)."""
-    search = Search(docs, similarity, id_col, text_col)
-    rows = search.rows.select("id", "n", "cid").join(search.groups(), "cid", "left")
+    rows, _ = _groups(docs, similarity, id_col, text_col)
     group = F.coalesce("group", "id")
     return rows.select("id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("id") == group, F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
-    """``docs`` with one document of each group: the one with the least id. Rows without an id stay."""
-    gone = cut(find_groups(docs, similarity, id_col, text_col).where("not kept").select(F.col("id").alias(id_col)).distinct())
-    kept = docs.join(gone, id_col, "left_anti")
-    repeated = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    once = docs.where(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").dropDuplicates([id_col])
-    return once.unionByName(docs.where(F.col(id_col).isNull()))
+    """``docs`` with one document of each group: the one with the least id, and of rows that share it one with the group's least class.
+
+    Rows without an id or without words stay. An id may stand on rows with different texts: each row goes by its own text.
+    """
+    rows, search = _groups(docs, similarity, id_col, text_col)
+    named = rows.where(F.col("id").isNotNull())
+    gone = search.tables.save(named.where(F.coalesce((F.col("id") != F.col("group")) | (F.col("cid") != F.col("head")), F.lit(False))).select("id", "cid").distinct())
+    repeated = search.tables.save(named.groupBy("id").count().where("count > 1").select("id"))
+    tag, cls = W.fresh(docs, "id"), W.fresh(docs, "class")
+    docs = docs.withColumn(tag, F.col(id_col).cast("long"))
+    by_id = lambda ids: ids.select(F.col("id").alias(tag)).distinct()
+    once = docs
+    if not repeated.isEmpty():
+        once = docs.join(by_id(repeated), tag, "left_anti")
+    kept = once.join(by_id(gone), tag, "left_anti")
+    if not repeated.isEmpty():  # these rows are told apart by their class as well
+        more = docs.join(by_id(repeated), tag, "left_semi").withColumn(cls, _set_reader(similarity, 64)(F.col(text_col))["cid"])
+        with_words = more.where(F.col(cls).isNotNull()).dropDuplicates([tag, cls]).join(gone.toDF(tag, cls), [tag, cls], "left_anti")
+        kept = kept.unionByName(with_words.drop(cls)).unionByName(more.where(F.col(cls).isNull()).drop(cls))
+    return kept.drop(tag)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

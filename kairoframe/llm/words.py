@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
@@ -32,6 +33,15 @@ SOLID = np.ones(256, bool)
 SOLID[0x20] = SOLID[0x09:0x0E] = False
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 @functools.cache
 def _trim() -> Callable | None:
     return getattr(ctypes.CDLL(None), "malloc_trim", None)
