@@ -33,6 +33,8 @@ BUCKETS = 1 << 14
 DIM = 16
 EPOCHS = 6
 RATE = 0.5
+#: n-grams whose weights are summed at a time.
+PIECE = 1 << 16
 #: Share of held-back documents that rejection may cost at most.
 REJECT_SHARE = 0.001
 NONE = "und"
@@ -53,15 +55,18 @@ class Model:
     temperature: float
     threshold: float
 
-    def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        total = np.maximum(counts.sum(1, keepdims=True), 1.0)
-        z = (counts @ self.weights / total + self.bias) / self.temperature
+    def probabilities(self, sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of each language for each text, from the sums of its n-grams' weights and their number."""
+        z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
 
 def chunk_features(c: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each n-gram of a chunk, and the text it is in. An n-gram may touch spaces only at its ends."""
+    """Bucket of each n-gram of a chunk, and the text it is in. An n-gram may touch spaces only at its ends.
+
+    Texts are in order within the n-grams of each length, which follow each other.
+    """
     data = np.full(len(c.data) + 2 * len(c) + 2, 0x20, np.uint8)  # two spaces between texts, one before and after
     doc = np.repeat(np.arange(len(c)), np.diff(c.offsets))
     at = np.arange(len(c.data)) + 1 + 2 * doc
@@ -91,13 +96,22 @@ def chunk_features(c: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets).astype(np.int64), np.concatenate(owners)
 
 
-def chunk_counts(c: W.Chunk) -> np.ndarray:
+def chunk_sums(c: W.Chunk, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a chunk the sum of its n-grams' rows of ``weights``, and their number; in pieces of ``PIECE``."""
     b, d = chunk_features(c)
-    return np.bincount(d * BUCKETS + b, minlength=len(c) * BUCKETS).reshape(len(c), BUCKETS).astype(np.float32)
+    out = np.zeros((len(c), weights.shape[1]))
+    for i in range(0, len(b), PIECE):
+        at, own = weights[b[i : i + PIECE]], d[i : i + PIECE]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        np.add.at(out, own[first], np.add.reduceat(at, first, axis=0))
+    return out, np.bincount(d, minlength=len(c))
+
 
+def train(examples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7, sizes: dict[str, int] | None = None) -> Model:
+    """Fit on (buckets, counts, language) examples; every fifth is held back for calibration.
 
-def train(examples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) -> Model:
-    """Fit on (buckets, counts, language) examples; every fifth is held back for calibration."""
+    ``sizes`` are the rows of each language that the examples stand for; calibration gives each language its share of them.
+    """
     langs = sorted({e[2] for e in examples})
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 1.0)
@@ -126,25 +140,33 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, str]], seed: int = 7) ->
             bias -= rate * 0.1 * p
             emb[b] -= rate * len(b) * f[:, None] * back / max(1.0, len(b) ** 0.5)
     model = Model(langs, emb @ soft, bias, 1.0, 0.0)
-    return _calibrate(model, [(b, n, index[y]) for b, n, y in held])
+    return _calibrate(model, [(b, n, index[y]) for b, n, y in held], [sizes[v] for v in langs] if sizes else None)
+
 
+def _calibrate(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]], sizes: list[int] | None = None) -> Model:
+    """Temperature of least log loss on the held-back part, and the threshold that rejects REJECT_SHARE of it at most.
 
-def _calibrate(model: Model, held: list[tuple[np.ndarray, np.ndarray, int]]) -> Model:
-    """Temperature of least log loss on the held-back part, and the threshold that rejects REJECT_SHARE of it at most."""
+    Both are weighted by what the rows of a language stand for.
+    """
     if not held:
         return model
     z = np.stack([n.astype(np.float32) @ model.weights[b] / max(n.sum(dtype=np.float64), 1.0) + model.bias for b, n, _ in held])
     y = np.array([e[2] for e in held])
+    own = np.bincount(y, minlength=len(model.langs))
+    w = (np.array(sizes, float) / np.maximum(own, 1))[y] if sizes else np.ones(len(y))
+    w = w / w.sum()
     best = np.inf
     for t in np.geomspace(0.05, 20, 60):
         s = z / t
         s = s - s.max(1, keepdims=True)
-        loss = float(np.mean(np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]))
+        loss = float(w @ (np.log(np.exp(s).sum(1)) - s[np.arange(len(y)), y]))
         if loss < best - 1e-9:
             best, model.temperature = loss, float(t)
     s = np.exp(z / model.temperature - (z / model.temperature).max(1, keepdims=True))
-    top = np.sort((s / s.sum(1, keepdims=True)).max(1))
-    model.threshold = float(min(0.5, top[int(len(top) * REJECT_SHARE)]))
+    top = (s / s.sum(1, keepdims=True)).max(1)
+    order = np.argsort(top, kind="stable")
+    at = np.searchsorted(np.cumsum(w[order]), REJECT_SHARE, side="right")  # what stands before it is REJECT_SHARE at most
+    model.threshold = float(min(0.5, top[order[min(int(at), len(order) - 1)]]))
     return model
 
 
@@ -159,9 +181,9 @@ def _featurizer():
             sizes.append(np.bincount(key // BUCKETS, minlength=len(c)))
         cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.int64)
         n = cat(sizes)
-        return pa.StructArray.from_arrays([W.lists(cat(buckets), n, pa.int16()), W.lists(np.minimum(cat(counts), 32767), n, pa.int16())], ["b", "n"])
+        return pa.StructArray.from_arrays([W.lists(cat(buckets), n, pa.int16()), W.lists(cat(counts), n, pa.int32())], ["b", "n"])
 
-    return arrow_udf(W.bounded(features), returnType="struct<b:array<smallint>,n:array<smallint>>").asNondeterministic()
+    return arrow_udf(W.bounded(features), returnType="struct<b:array<smallint>,n:array<int>>").asNondeterministic()
 
 
 def quota(sizes: Iterable[int]) -> float:
@@ -191,21 +213,22 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     # in the order of the draw within its language's share, the limit cuts every language alike
     got = picked.select("draw", "lang", _featurizer()(F.col("text")).alias("f")).orderBy(F.col("draw") / share[F.col("lang")], "draw", "lang").limit(SAMPLE_LIMIT).toArrow()
     examples = []
-    for batch in got.to_batches(max_chunksize=256):  # two bytes a number: views of the table, no copies
+    for batch in got.to_batches(max_chunksize=256):  # views of the table, no copies
         b, n = batch.column("f").flatten()
         for draw, lang, x, y in zip(batch.column("draw").to_pylist(), batch.column("lang").to_pylist(), b, n, strict=True):
             examples.append((draw, lang, x.values.to_numpy(), y.values.to_numpy()))
     examples.sort(key=lambda e: (e[0], e[1], len(e[2])))
-    return train([(b, n, lang) for _, lang, b, n in examples])
+    return train([(b, n, lang) for _, lang, b, n in examples], sizes=sizes)
 
 
 def predictor(model: Model):
     """The prediction for one Arrow column of texts."""
+    weights = model.weights.astype(np.float64)
 
     def predict(text: pa.Array) -> pa.Array:
         best, score = [], []
         for c in W.chunks(text):
-            p = model.probabilities(chunk_counts(c)) if model.langs else np.zeros((len(c), 1))
+            p = model.probabilities(*chunk_sums(c, weights)) if model.langs else np.zeros((len(c), 1))
             best.append(p.argmax(1))
             score.append(p.max(1))
         k = np.concatenate(best) if best else np.zeros(0, np.int64)
@@ -216,9 +239,9 @@ def predictor(model: Model):
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
-    """``docs`` with a column ``out``: lang, score, and rejected (no letter, or a score under the threshold)."""
+    """``docs`` with a column ``out`` (it replaces one of that name): lang, score, and rejected (no letter, or a score under the threshold)."""
     ship(docs.sparkSession)
-    tmp = f"__{out}"
+    tmp = W.fresh(docs, out)
     guess = arrow_udf(W.bounded(predictor(model)), returnType="struct<lang:string,score:double>").asNondeterministic()
     has = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.langs))
     g = F.col(tmp)
@@ -234,7 +257,8 @@ def held_out(id_col: str = "doc_id", folds: int = 5) -> Column:
 def filter_language(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that aren't rejected, with their own columns; learned from the labelled rows of ``docs``."""
     model = learn(docs, text_col, lang_col, id_col, ~held_out(id_col))
-    return identify(docs, model, text_col, "__language").where(~F.col("__language")["rejected"]).drop("__language")
+    out = W.fresh(docs, "language")
+    return identify(docs, model, text_col, out).where(~F.col(out)["rejected"]).drop(out)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

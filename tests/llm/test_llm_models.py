@@ -57,7 +57,7 @@ def test_small_languages_keep_their_part_of_the_sample(spark, monkeypatch):
     monkeypatch.setattr(language_id, "SAMPLE_LIMIT", 120)
     monkeypatch.setattr(language_id, "PER_LANGUAGE", 60)
     seen = Counter()
-    monkeypatch.setattr(language_id, "train", lambda examples: seen.update(e[2] for e in examples))
+    monkeypatch.setattr(language_id, "train", lambda examples, sizes: seen.update(e[2] for e in examples))
     rows = [(1000 * k + i, "ka lo mi", f"l{k:02}") for k in range(12) for i in range(300 if k < 10 else 12)]
     language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert len(seen) == 12 and sum(seen.values()) <= 120 and min(seen["l10"], seen["l11"]) >= 5
@@ -71,8 +71,61 @@ def test_language_features_average_hashed_ngrams():
         b, d = language_id.chunk_features(c)
         # n-grams of ' ab ' and ' cd ': three of 2, two of 3, one of 4 bytes each; the third text is one word of 2 bytes
         assert Counter(d.tolist()) == {0: 12, 2: 6}
-        counts = language_id.chunk_counts(c)
-        assert counts.shape == (3, language_id.BUCKETS) and counts.sum(1).tolist() == [12, 0, 6]
+        sums, n = language_id.chunk_sums(c, np.ones((language_id.BUCKETS, 2)))
+        assert sums.tolist() == [[12, 12], [0, 0], [6, 6]] and n.tolist() == [12, 0, 6]
+
+
+def brute_language(text, model):
+    """The prediction for one text, n-gram by n-gram."""
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0
+    data = b" " + bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode()) + b" "
+    total, n = np.zeros(len(model.langs)), 0
+    for size in (2, 3, 4):
+        for i in range(len(data) - size + 1):
+            g = data[i : i + size]
+            if 32 in g[1:-1] or g == b"  ":
+                continue
+            h = 2166136261 + size
+            for b in g:
+                h = ((h ^ b) * 16777619) % 2**32
+            h ^= h >> 15
+            total += model.weights[(h * 2246822519) % 2**32 >> 18]
+            n += 1
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max())
+    return model.langs[int(p.argmax())], float(p.max() / p.sum())
+
+
+def test_language_id_query_equals_brute_force(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(language_id, "PIECE", 100)
+    docs = language_docs(spark).withColumn("text", F.when(F.col("doc_id") == 3, F.repeat("text", 400)).otherwise(F.col("text")))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    model = language_id.learn(docs, where=~language_id.held_out())
+    texts = sorted((str(r["doc_id"]), *brute_language(r["text"], model)) for r in docs.collect())
+    got = sorted((str(r["doc_id"]), r["lang_pred"], r["score"]) for r in language_id.op1_language_id(spark, str(tmp_path)).collect())
+    assert [g[:2] for g in got] == [t[:2] for t in texts] and np.allclose([g[2] for g in got], [t[2] for t in texts], atol=1e-6)
+
+
+def test_many_short_texts_take_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    model = language_id.Model(["a", "b"], np.ones((language_id.BUCKETS, 2), np.float32), np.zeros(2, np.float32), 1.0, 0.0)
+    predict = language_id.predictor(model)
+    tracemalloc.start()
+    predict(pa.array(["a few words of a title"] * 10_000))
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
+def test_calibration_stands_for_the_rows_of_each_language():
+    rows = [(np.array([0]), np.array([1]), 0)] * 40 + [(np.array([i % 2]), np.array([1]), 1) for i in range(40)]  # b is often taken for a
+    z = np.array([[4.0, 0.0], [0.0, 4.0]], np.float32)
+    few, many = (language_id._calibrate(language_id.Model(["a", "b"], z, np.zeros(2, np.float32), 1.0, 0.0), rows, [100, n]) for n in (10, 1000))
+    assert few.temperature < many.temperature
 
 
 INSULTS = ["gruntle", "snarfish", "blorkhead"]
