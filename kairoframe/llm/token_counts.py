@@ -54,8 +54,8 @@ class Counter:
 
     def _compile(self) -> None:
         self.find = regex.compile(PIECES).findall
-        self.cut = regex.compile("|".join(map(regex.escape, self.added))).split if self.added else None
-        self.known: dict[str, int] = {}
+        self.cut = regex.compile(f"({'|'.join(map(regex.escape, self.added))})").split if self.added else None
+        self.known: dict[str, int] = dict.fromkeys(self.added, 1)  # no other piece is equal to one of these
 
     def __getstate__(self):
         return {"pairs": self.pairs, "added": self.added}
@@ -68,36 +68,39 @@ class Counter:
         """Work out the pieces that aren't known yet."""
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > KEEP:
-            self.known.clear()
-            new = list(pieces)
+            self.known = dict.fromkeys(self.added, 1)
+            new = [p for p in pieces if p not in self.known]
         raw = [p.encode("utf-8", "surrogatepass") for p in new]
         flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.int64)
         counts, _ = self.pairs.encode_words(flat, np.fromiter(map(len, raw), np.int64, len(raw)), ids=False)
         self.known.update(zip(new, counts.tolist(), strict=True))
 
-    def pieces(self, text: str) -> tuple[list[str], int]:
-        """A text's pieces, and how many added tokens stand in it."""
+    def pieces(self, text: str) -> list[str]:
+        """A text's pieces; an added token is one."""
         if self.cut is None or not any(a in text for a in self.added):
-            return self.find(text), 0
-        parts = self.cut(text)
-        return [p for part in parts for p in self.find(part)], len(parts) - 1
+            return self.find(text)
+        out = []
+        for i, part in enumerate(self.cut(text)):
+            out += [part] if i % 2 else self.find(part)
+        return out
 
     def count(self, text: str | None) -> int:
-        pieces, added = self.pieces(text or "")
+        pieces = self.pieces(text or "")
         self.learn(set(pieces))
-        return sum(map(self.known.__getitem__, pieces)) + added
+        return sum(map(self.known.__getitem__, pieces))
 
     def prefix_counts(self, text: str) -> PrefixCounts:
         return PrefixCounts(self, text)
 
 
 class PrefixCounts:
-    """Exact token counts of the prefixes of one text without added tokens, by code points."""
+    """Exact token counts of the prefixes of one text, by code points."""
 
     def __init__(self, counter: Counter, text: str):
         self.counter, self.text = counter, text
-        pieces = counter.find(text)
+        pieces = counter.pieces(text)
         counter.learn(set(pieces))
+        self.whole = {k for k, p in enumerate(pieces) if p in counter.added}
         self.starts = [0, *accumulate(map(len, pieces))]
         self.before = [0, *accumulate(counter.known[p] for p in pieces)]
         self.inside: dict[int, list[int]] = {}
@@ -116,10 +119,13 @@ class PrefixCounts:
         n = max(0, min(n, len(self.text)))
         k = min(bisect_right(self.starts, n) - 1, len(self.before) - 1)
         part = self.text[self.starts[k] : n]
+        if part and k in self.whole:  # a part of an added token is text, which may belong to the piece before it
+            k -= k > 0 and k - 1 not in self.whole
+            return self.before[k] + self.counter.count(self.text[self.starts[k] : n])
         # white space at the end, or part of a contraction, may split otherwise than in the whole text
         if self.text[:n][-1:].isspace():
             k -= part == ""
-            while k and self.text[self.starts[k - 1] : self.starts[k]].isspace():
+            while k and k - 1 not in self.whole and self.text[self.starts[k - 1] : self.starts[k]].isspace():
                 k -= 1
         elif part[:1] != "'":
             return self.before[k] + (self._piece(k)[len(part)] if part else 0)
@@ -136,12 +142,12 @@ def _counting(get: Callable[[], Counter], limit: int):
         n_tokens, fit = [], []
         for k in words.chunks(text):  # a run of texts at a time
             rows = [counter.pieces(t or "") for t in text.slice(k.first, len(k)).to_pylist()]
-            counter.learn({p for pieces, _ in rows for p in pieces})
+            counter.learn({p for pieces in rows for p in pieces})
             known = counter.known.__getitem__
-            for pieces, added in rows:
-                total = sum(map(known, pieces)) + added
+            for pieces in rows:
+                total = sum(map(known, pieces))
                 n_tokens.append(total)
-                if total > limit and not added:
+                if total > limit:
                     upto = bisect_right(list(accumulate(map(known, pieces))), limit)
                     fit.append(sum(map(len, pieces[:upto])))
                 else:
@@ -152,7 +158,7 @@ def _counting(get: Callable[[], Counter], limit: int):
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, text_col: str = "text", out: str = "tokens") -> DataFrame:
-    """``docs`` with a column ``out``: n_tokens, and for texts over ``limit`` the code points of whole pieces that fit it."""
+    """``docs`` with a column ``out`` (it replaces one of that name): n_tokens, and for texts over ``limit`` the code points of whole pieces that fit it."""
     ship(docs.sparkSession)
     kind = "struct<n_tokens:long,fit_chars:long>"
     held = docs.sparkSession.sparkContext.broadcast(Counter(path))  # a vocabulary's size is fixed; a worker keeps what it has learned

@@ -38,7 +38,7 @@ def test_counts_equal_the_library(spark, counter):
         n = len(lib.encode(r["text"] or "", add_special_tokens=False).ids)
         assert r["tokens"]["n_tokens"] == n
         fit = r["tokens"]["fit_chars"]
-        assert (fit is not None) == (n > 512 and "<|endoftext|>" not in r["text"])
+        assert (fit is not None) == (n > 512)
         if fit is not None:
             assert len(lib.encode(r["text"][:fit], add_special_tokens=False).ids) <= 512 + 1
     assert counts.count_tokens(table(spark, texts).limit(0), P.path("byte_bpe_50k.json")).count() == 0
@@ -48,8 +48,8 @@ def test_every_prefix(counter):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    for t in odd_texts(60, 7):
-        if "<|" in t or len(t) > 60:
+    for t in [*odd_texts(60, 7), "a  <|endoftext|>b", "<|endoftext|><|endoftext|>", "so!!<|endoftext|> x", "<|endof<|endoftext|>text|>"]:
+        if len(t) > 60:
             continue
         p = counter.prefix_counts(t)
         assert [p.count(n) for n in range(len(t) + 1)] == [len(lib.encode(t[:n], add_special_tokens=False).ids) for n in range(len(t) + 1)]
