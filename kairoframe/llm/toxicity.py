@@ -1,16 +1,19 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are byte n-grams (5 and 6) of lower-cased words with a space on either side. From a bounded sample of labelled rows
-(``POSITIVES`` and ``NEGATIVES`` rows are expected) the terms that go with the label are chosen (chi-square, ``TERMS`` at
-most); their document frequencies are counted over all documents. Every sampled example becomes a unit TF-IDF vector in
-an inverted index whose postings are cut into blocks of example numbers, each with its largest weight. A query first
-bounds its cosine with every block, reads the blocks from the highest bound down and stops once no block left can reach the
-k-th best example: the neighbours are exact. Votes are weighted by cosine and calibrated on examples left out of the
-index; neighbours are the evidence.
-
-Defined results: a null or empty text, or one without any term, has no neighbours and gets the calibrated share of
-positives among such examples (a low score); with no labelled row of both kinds every score is 0. Ties between examples go
-to the lower document id. Repeated rows each get their own score; texts are read whole.
+Terms are the lower-cased words of a text and the first ``STEM`` bytes of longer ones. From a bounded sample of labelled rows
+(``POSITIVES`` and ``NEGATIVES`` rows are expected) four fifths become the examples; every term of theirs is indexed. Its
+document frequency is counted over all documents, and its weight is TF-IDF times how far its odds among the examples are
+from the label's own (the absolute log odds ratio, shrunk for rare terms), so that words which say nothing about the label weigh
+next to nothing, yet none is left out. The unit vectors stand in an inverted index whose postings are cut into blocks of
+example numbers, each with its largest weight. A query first bounds its cosine with every block, reads blocks from the highest
+bound down and stops once no block left can reach the k-th best example: the neighbours are exact. Votes are weighted by
+cosine. The last fifth of the sample isn't in the index: its votes calibrate the score, each row counting for the rows
+of its label that it was drawn from. Neighbours are the evidence.
+
+Defined results: a text without any indexed term (a null or empty one, too) has no neighbours and gets the calibrated
+share of positives among such examples; with no labelled row of both kinds every score is 0. Ties between examples go to
+the lower document id. Repeated rows each get their own score, and an id that stands on several rows gives examples of
+each of its texts, within the bound; texts are read whole.
 """
 
 from __future__ import annotations
@@ -32,125 +35,122 @@ from .language_id import held_out
 POSITIVES = 2000
 NEGATIVES = 4000
 LIMIT = 8000
-#: Terms chosen at most, and positive documents of the sample that a term has at least: a number, and a share.
-TERMS = 4096
-LEAST_DOCS = 4
-LEAST_SHARE = 0.005
-#: How many times as frequent with the label as without it a term is at least.
-PURITY = 4.0
-#: Example numbers in a block.
+#: Bytes of a word's beginning that are a term of their own.
+STEM = 6
+#: Examples that a term's odds are shrunk by.
+SHRINK = 5.0
+#: Weight against a vote, in squared cosines: far neighbours alone say little.
+DOUBT = 0.02
+#: Example numbers in a block, and blocks that are read together first (twice as many each time after that).
 BLOCK = 64
+AT_ONCE = 4
 NEIGHBOURS = 10
-SIZES = (5, 6)
-
-_FOLD = np.full(256, 0x20, np.uint8)
-_FOLD[48:58] = np.arange(48, 58)
-_FOLD[65:91] = np.arange(97, 123)
-_FOLD[97:123] = np.arange(97, 123)
-_FOLD[128:] = np.arange(128, 256)
-
-
-def terms(c: W.Chunk, keep: W.HashSet | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each n-gram of a chunk (or its number among ``keep``), and the text it is in."""
-    data = np.full(len(c.data) + 2 * len(c) + 2, 0x20, np.uint8)
-    doc = np.repeat(np.arange(len(c)), np.diff(c.offsets))
-    at = np.arange(len(c.data)) + 1 + 2 * doc
-    data[at] = _FOLD[c.data]
-    owner = np.zeros(len(data), np.int64)
-    owner[at] = doc
-    pw, inv = W._powers(len(data) + 1)
-    sums, spaces = np.zeros(len(data) + 1, np.uint64), np.zeros(len(data) + 1, np.int32)
-    np.cumsum(data.astype(np.uint64) * pw[: len(data)], out=sums[1:])
-    np.cumsum(data == 0x20, out=spaces[1:])
-    found, owners = [], []
-    for n in SIZES:
-        k = len(data) - n + 1
-        if k <= 0:
-            continue
-        ok = np.flatnonzero(spaces[n - 1 : n - 1 + k] == spaces[1 : 1 + k])  # a space may stand at either end only
-        h = W.mix((sums[ok + n] - sums[ok]) * inv[ok] + np.uint64(n))
-        if keep is None:
-            found.append(h)
-            owners.append(owner[ok + 1])
-        else:
-            i, which = keep.find(h)
-            found.append(which)
-            owners.append(owner[ok[i] + 1])
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(found), np.concatenate(owners)
-
-
-def doc_terms(c: W.Chunk, keep: W.HashSet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """text, term and count of each distinct term of each text, in that order."""
-    t, d = terms(c, keep)
-    key, n = np.unique(d * len(keep.keys) + t, return_counts=True)
-    return key // max(len(keep.keys), 1), key % max(len(keep.keys), 1), n
+
+
+def terms(c: W.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each term of a chunk, and the text it is in."""
+    w = W.split(c, W.ALNUM)
+    long = np.flatnonzero(w.ends - w.starts > STEM)
+    at = w.starts[long]
+    stem = np.full(len(long), STEM, np.uint64)
+    for j in range(STEM):
+        stem = (stem << np.uint64(8)) | w.data[at + j]
+    return np.concatenate([w.hashes, W.mix(stem)]), np.concatenate([w.doc, w.doc[long]])
+
+
+def doc_terms(c: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, term hash and count of each distinct term of each text, in that order."""
+    t, d = terms(c)
+    o = np.lexsort((t, d))
+    t, d = t[o], d[o]
+    first = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))) if len(t) else np.zeros(0, np.int64)
+    return d[first], t[first], np.diff(np.append(first, len(t)))
 
 
 @dataclass
 class Index:
-    """Unit vectors of examples as postings by term, in example order, cut at block borders."""
+    """Unit vectors of examples as postings by term and block of examples; only blocks that a term is in have an entry."""
 
     keys: W.HashSet
-    idf: np.ndarray
+    weight: np.ndarray  # per term, its factor
     doc_ids: np.ndarray
     labels: np.ndarray
+    entries: np.ndarray  # per term, where its entries begin
+    block: np.ndarray  # per entry, the block
+    top: np.ndarray  # per entry, the largest weight
+    postings: np.ndarray  # per entry, where its postings begin
     example: np.ndarray
-    weight: np.ndarray
-    cuts: np.ndarray  # per term and block, where the block's postings begin
-    top: np.ndarray  # per term and block, the largest weight
+    value: np.ndarray
 
     @staticmethod
-    def build(keys: W.HashSet, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], doc_ids: list[int], labels: list[int]) -> Index:
-        n, m = len(vectors), len(keys.keys)
-        blocks = max(1, -(-n // BLOCK))
-        ex = np.repeat(np.arange(n), [len(t) for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if n else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if n else np.zeros(0)
+    def build(keys: W.HashSet, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], doc_ids: list[int], labels: list[int]) -> Index:
+        """From (term numbers, counts) of each example."""
+        cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
+        units = [unit(weight, t, n) for t, n in vectors]
+        ex = np.repeat(np.arange(len(vectors)), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        term, value = cat([t for t, _ in vectors], np.int64), cat(units, np.float64)
         o = np.lexsort((ex, term))
-        term, ex, weight = term[o].astype(np.int64), ex[o], weight[o].astype(np.float64)
+        term, ex, value = term[o], ex[o], value[o]
+        blocks = max(1, -(-len(vectors) // BLOCK))
         place = term * blocks + ex // BLOCK
-        cuts = np.searchsorted(place, np.arange(m * blocks + 1))
-        top = np.zeros(m * blocks)
-        np.maximum.at(top, place, weight)
-        return Index(keys, idf, np.array(doc_ids, np.int64), np.array(labels, np.int64), ex, weight, cuts, top.reshape(m, blocks))
-
-    def vector(self, term: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Unit TF-IDF weights of a text's terms."""
-        w = (1.0 + np.log(count)) * self.idf[term]
-        return w / max(np.sqrt((w * w).sum()), 1e-12)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine, and the cosines; ties by example number."""
-        blocks = self.top.shape[1]
-        bound = weight @ self.top[term]
+        first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+        top = np.maximum.reduceat(value, first) if len(first) else np.zeros(0)
+        entries = np.searchsorted(term[first], np.arange(len(keys.keys) + 1))
+        return Index(keys, weight, np.array(doc_ids, np.int64), np.array(labels, np.int64), entries, (ex[first] // BLOCK).astype(np.int32), top, np.append(first, len(place)), ex.astype(np.int32), value)
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of highest positive cosine with a unit vector, and the cosines; ties by example number."""
+        at, own = _runs(self.entries[term], self.entries[term + 1])
+        block, w = self.block[at], weight[own]
+        bound = np.bincount(block, weights=w * self.top[at], minlength=1)
         order = np.argsort(-bound, kind="stable")
-        best_e, best_s, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(best_e) >= k and bound[b] < least - 1e-12):
-                break
-            at = term * blocks + b
-            i = self.cuts[at]
-            n = self.cuts[at + 1] - i
-            postings = np.repeat(i - np.cumsum(n) + n, n) + np.arange(n.sum())
-            score = np.bincount(self.example[postings] - b * BLOCK, weights=self.weight[postings] * np.repeat(weight, n), minlength=BLOCK)
-            hit = np.flatnonzero(score > 0)
-            e, s = hit + b * BLOCK, score[hit]
-            if without >= 0:
-                s, e = s[e != without], e[e != without]
-            best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, s])
+        order = order[bound[order] > 0]
+        rank = np.full(len(bound), len(bound))
+        rank[order] = np.arange(len(order))
+        sorted_by = np.argsort(rank[block], kind="stable")
+        at, w, place = at[sorted_by], w[sorted_by], rank[block][sorted_by]
+        best_e, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, AT_ONCE
+        while done < len(order) and not (len(best_e) >= k and bound[order[done]] < best_s.min() - 1e-9):
+            i, j = np.searchsorted(place, (done, done + step))
+            p, which = _runs(self.postings[at[i:j]], self.postings[at[i:j] + 1])
+            score = np.bincount(self.example[p], weights=self.value[p] * w[i:j][which], minlength=1)
+            e = np.flatnonzero(score > 0)
+            best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, score[e]])
             if len(best_e) > k:
-                o = np.lexsort((best_e, -best_s))[:k]
-                best_e, best_s = best_e[o], best_s[o]
-            least = best_s.min() if len(best_e) >= k else 0.0
+                near = np.flatnonzero(best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k])
+                near = near[np.lexsort((best_e[near], -best_s[near]))[:k]]
+                best_e, best_s = best_e[near], best_s[near]
+            done, step = done + step, 2 * step
         o = np.lexsort((best_e, -best_s))
         return best_e[o], best_s[o]
 
     def vote(self, e: np.ndarray, s: np.ndarray) -> tuple[float, float]:
-        """Cosine-weighted share of positives, and the largest cosine."""
+        """Share of positives weighted by squared cosine (and ``DOUBT``, which speaks for none), and the largest cosine."""
         w = s * s
-        return (float((w * self.labels[e]).sum() / w.sum()), float(s[0])) if len(e) else (0.0, 0.0)
+        return (float((w * self.labels[e]).sum() / (w.sum() + DOUBT)), float(s[0])) if len(e) else (0.0, 0.0)
+
+
+def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each begin up to its end, and which run each is of."""
+    n = end - begin
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(own)) + (begin - np.cumsum(n) + n)[own], own
+
+
+def unit(weight: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The unit vector of a text's terms."""
+    w = (1.0 + np.log(count)) * weight[term]
+    return w / max(np.sqrt((w * w).sum()), 1e-12)
+
+
+def term_weights(df: np.ndarray, rows: int, pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Inverse document frequency times the absolute log of a term's odds over those of the label, shrunk.
+
+    df: of all ``rows`` documents, those with each term; pos, neg: the examples of either label with it.
+    """
+    share = n_pos / (n_pos + n_neg)
+    odds = np.log((pos + SHRINK * share) / (neg + SHRINK * (1 - share))) - np.log(share / (1 - share))
+    return np.log((rows + 1) / (np.maximum(df, 1) + 0.5)).clip(1e-3) * np.abs(odds).clip(1e-3)
 
 
 @dataclass
@@ -168,50 +168,34 @@ class Model:
         return float(1 / (1 + np.exp(-z)))
 
 
-def _calibrate(rows: list[tuple[float, float, int]]) -> np.ndarray:
-    """Logistic weights of (1, vote, vote * top) by Newton steps with a small ridge."""
-    coef = np.array([-2.0, 4.0, 0.0])
+def _calibrate(rows: list[tuple[float, float, int]], each: tuple[float, float]) -> np.ndarray:
+    """Logistic weights of (1, vote, vote * top) by Newton steps with a small ridge; a row counts for ``each[label]`` rows."""
+    start = coef = np.array([-2.0, 4.0, 0.0])
     if not rows:
         return coef
     x = np.array([[1.0, v, v * t] for v, t, _ in rows])
     y = np.array([r[2] for r in rows], float)
-    for _ in range(30):
+    w = np.where(y > 0, each[1], each[0])
+    w = w * len(w) / w.sum()
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ coef, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        coef = coef - np.linalg.solve(h, x.T @ (p - y) + 0.05 * (coef - np.array([-2.0, 4.0, 0.0])))
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
+        coef = coef - np.clip(np.linalg.solve(h, x.T @ (w * (p - y)) + 0.05 * (coef - start)), -2, 2)
     return coef
 
 
-def _gram_counter():
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            y = b.column(1).to_numpy(zero_copy_only=False)
-            for c in W.chunks(b.column(0)):
-                t, d = terms(c)
-                o = np.lexsort((t, d))
-                t, d = t[o], d[o]
-                new = np.ones(len(t), bool)
-                new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
-                t, label = t[new], y[c.first + d[new]]
-                keys, back = np.unique(t, return_inverse=True)
-                pos = np.bincount(back, weights=label, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(pos), pa.array(np.bincount(back, minlength=len(keys)) - pos)], ["h", "p", "q"])
-
-    return counted
-
-
-def _vectorizer(keys: W.HashSet):
+def _vectorizer():
     def vectors(text: pa.Array) -> pa.Array:
         ts, ns, sizes = [], [], []
         for c in W.chunks(text):
-            d, t, n = doc_terms(c, keys)
-            ts.append(t)
+            d, t, n = doc_terms(c)
+            ts.append(t.view(np.int64))
             ns.append(n)
             sizes.append(np.bincount(d, minlength=len(c)))
         cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.StructArray.from_arrays([W.lists(cat(ts), cat(sizes), pa.int32()), W.lists(cat(ns), cat(sizes), pa.int32())], ["t", "n"])
+        return pa.StructArray.from_arrays([W.lists(cat(ts), cat(sizes), pa.int64()), W.lists(cat(ns), cat(sizes), pa.int32())], ["t", "n"])
 
-    return arrow_udf(W.bounded(vectors), returnType="struct<t:array<int>,n:array<int>>").asNondeterministic()
+    return arrow_udf(W.bounded(vectors), returnType="struct<t:array<bigint>,n:array<int>>").asNondeterministic()
 
 
 def document_frequencies(docs: DataFrame, keys: W.HashSet, text_col: str = "text") -> tuple[np.ndarray, int]:
@@ -222,28 +206,18 @@ def document_frequencies(docs: DataFrame, keys: W.HashSet, text_col: str = "text
         for b in batches:
             rows += b.num_rows
             for c in W.chunks(b.column(0)):
-                _, t, _ = doc_terms(c, keys)
-                total += np.bincount(t, minlength=len(total))
+                t, d = terms(c)
+                at, k = keys.find(t)
+                total += np.bincount(np.unique(d[at] * len(total) + k) % max(len(total), 1), minlength=len(total))
+            W.release()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], rows))], ["t", "n"])
 
-    got = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()
-    df, rows = np.zeros(len(keys.keys), np.int64), 0
-    for r in got:
-        if r["t"] < 0:
-            rows = r["n"]
-        else:
-            df[r["t"]] = r["n"]
-    return df, rows
-
-
-def choose_terms(p: np.ndarray, q: np.ndarray, pos: int, neg: int) -> np.ndarray:
-    """Numbers of the terms that go with the label most: largest chi-square among those more frequent with it."""
-    a, b = p.astype(float), q.astype(float)
-    c, d = pos - a, neg - b
-    chi = (a + b + c + d) * (a * d - b * c) ** 2 / np.maximum((a + c) * (b + d) * (a + b) * (c + d), 1e-9)
-    good = np.flatnonzero((a * neg > PURITY * b * pos) & (a >= max(LEAST_DOCS, LEAST_SHARE * pos)) & (chi > 10.83))
-    return good[np.argsort(-chi[good], kind="stable")][:TERMS]
+    got = docs.select(F.col(text_col).alias("text")).mapInArrow(counted, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    t, n = (got.column(k).to_numpy() for k in ("t", "n"))
+    df = np.zeros(len(keys.keys), np.int64)
+    df[t[t >= 0]] = n[t >= 0]
+    return df, int(n[t < 0].sum())
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col: str = "text", id_col: str = "doc_id", where: Column | None = None) -> Model:
@@ -261,41 +235,55 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", text_col
     draw = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(cutoff))
     picked = own.where(draw < share).withColumn("draw", draw).orderBy("draw", "id").limit(LIMIT)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    sample = cut(texts.repartition(max(4, spark.sparkContext.defaultParallelism), "draw").select("id", "y", "text"))
-    grams = sample.select("text", "y").mapInArrow(_gram_counter(), "h long, p long, q long").groupBy("h").agg(F.sum("p").alias("p"), F.sum("q").alias("q"))
-    n = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
-    pos, neg = n.get(1, 0), n.get(0, 0)
-    if not pos or not neg:
+    texts = texts.orderBy("draw", "id", F.xxhash64("text")).limit(LIMIT)  # an id may stand on many rows
+    sample = cut(texts.repartition(max(4, spark.sparkContext.defaultParallelism), "draw").select("id", "y", F.pmod("draw", F.lit(5)).alias("part"), "text"))
+    got = sample.where("part > 0").select("id", "y", _vectorizer()(F.col("text")).alias("v")).toArrow()
+    ids, y = got.column("id").to_numpy(), got.column("y").to_numpy()
+    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    if not n_pos or not n_neg:
         return empty
-    a, b = F.col("p").cast("double"), F.col("q").cast("double")
-    chi = (a * (neg - b) - b * (pos - a)) ** 2 / F.greatest((a + b) * (pos + neg - a - b), F.lit(1e-9))
-    likely = grams.where((a >= LEAST_DOCS) & (a * neg > PURITY * b * pos)).withColumn("chi", chi).orderBy(F.desc("chi"), "h").limit(4 * TERMS).toArrow()
-    h, p, q = (likely.column(k).to_numpy() for k in ("h", "p", "q"))
-    keys = W.HashSet(h[choose_terms(p, q, pos, neg)].view(np.uint64))
-    if not len(keys.keys):
-        return Model(None, np.zeros(3), 0.0)
+    t, n = (got.column("v").combine_chunks().field(k) for k in ("t", "n"))
+    begin = np.append(0, np.cumsum(np.diff(t.offsets.to_numpy())))
+    t, n = t.flatten().to_numpy().view(np.uint64), n.flatten().to_numpy()
+    keys = W.HashSet(t)
+    number = np.searchsorted(keys.keys, t)
+    label = np.repeat(y, np.diff(begin))
     df, rows = document_frequencies(docs, keys, text_col)
-    idf = np.log((rows + 1) / (df + 1)) + 1.0
-    got = sample.select("id", "y", _vectorizer(keys)(F.col("text")).alias("v")).collect()
-    got.sort(key=lambda r: (r["id"], r["y"], len(r["v"]["t"])))
-    index = Index.build(keys, idf, [], [], [])
-    vectors = []
-    for r in got:
-        t, c = np.array(r["v"]["t"], np.int64), np.array(r["v"]["n"], np.int64)
-        vectors.append((t, index.vector(t, c) if len(t) else np.zeros(0)))
-    index = Index.build(keys, idf, vectors, [r["id"] for r in got], [r["y"] for r in got])
-    votes = []
-    none_y = [r["y"] for r, (t, _) in zip(got, vectors, strict=True) if not len(t)]
-    for i, (t, w) in enumerate(vectors):
-        if len(t):
-            e, s = index.nearest(t, w, NEIGHBOURS, without=i)
-            v = index.vote(e, s)
-            if len(e):
-                votes.append((*v, got[i]["y"]))
-            else:
-                none_y.append(got[i]["y"])
-    bare = (sum(none_y) + 0.1) / (len(none_y) + 1.0)
-    return Model(index, _calibrate(votes), min(bare, 0.49))
+    pos, neg = (np.bincount(number[label == k], minlength=len(keys.keys)) for k in (1, 0))
+    weight = term_weights(df, rows, pos, neg, n_pos, n_neg)
+    order = np.lexsort((np.diff(begin), y, ids)).tolist()
+    index = Index.build(keys, weight, [(number[begin[i] : begin[i + 1]], n[begin[i] : begin[i + 1]]) for i in order], ids[order].tolist(), y[order].tolist())
+    votes = calibration_votes(sample.where("part = 0"), index)
+    drawn = {r[0]: r[1] for r in sample.groupBy("y").count().collect()}
+    each = (sizes[0] / max(drawn.get(0, 0), 1), sizes[1] / max(drawn.get(1, 0), 1))
+    bare = [r for r in votes if r[1] <= 0]
+    base = sizes[1] / (sizes[0] + sizes[1])
+    total = sum(each[r[2]] for r in bare)
+    return Model(index, _calibrate([r for r in votes if r[1] > 0], each), (sum(each[1] for r in bare if r[2]) + base) / (total + 1.0))
+
+
+def calibration_votes(rows: DataFrame, index: Index) -> list[tuple[float, float, int]]:
+    """vote, largest cosine (0 without a neighbour) and label of labelled rows that aren't in the index."""
+    held = rows.sparkSession.sparkContext.broadcast(index)
+
+    def voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            votes = [held.value.vote(e, s) for e, s in neighbours(b.column(0), held.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in votes], pa.float64()), pa.array([v[1] for v in votes], pa.float64()), b.column(1)], ["vote", "top", "y"])
+
+    got = rows.select("text", "y").mapInArrow(voted, "vote double, top double, y int").collect()  # LIMIT rows at most
+    return sorted((r["vote"], r["top"], r["y"]) for r in got)
+
+
+def neighbours(text: pa.Array, index: Index) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nearest examples of each text, and their cosines."""
+    for c in W.chunks(text):
+        d, t, n = doc_terms(c)
+        at, k = index.keys.find(t)
+        d, n = d[at], n[at]
+        begin = np.searchsorted(d, np.arange(len(c) + 1))
+        for i, j in zip(begin[:-1], begin[1:], strict=True):
+            yield index.nearest(k[i:j], unit(index.weight, k[i:j], n[i:j]), NEIGHBOURS)
 
 
 _KIND = "struct<score:double,evidence:array<struct<doc_id:long,cosine:double,label:int>>>"
@@ -305,31 +293,23 @@ def _scorer(get: Callable[[], Model]):
     kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())])))])
 
     def score(text: pa.Array) -> pa.Array:
-        model, out = get(), []
-        for c in W.chunks(text):
-            if model.index is None:
-                out += [{"score": 0.0, "evidence": []}] * len(c)
-                continue
-            d, t, n = doc_terms(c, model.index.keys)
-            begin = np.searchsorted(d, np.arange(len(c) + 1))
-            for i in range(len(c)):
-                a, b = begin[i], begin[i + 1]
-                if a == b:
-                    out.append({"score": model.bare, "evidence": []})
-                    continue
-                e, s = model.index.nearest(t[a:b], model.index.vector(t[a:b], n[a:b]), NEIGHBOURS)
-                vote, top = model.index.vote(e, s)
-                ids, labels = model.index.doc_ids, model.index.labels
-                out.append({"score": model.score(vote, top, len(e) > 0), "evidence": [{"doc_id": int(ids[x]), "cosine": float(y), "label": int(labels[x])} for x, y in zip(e, s, strict=True)]})
+        model = get()
+        if model.index is None:
+            return pa.array([{"score": 0.0, "evidence": []}] * len(text), kind)
+        out, index = [], model.index
+        for e, s in neighbours(text, index):
+            vote, top = index.vote(e, s)
+            evidence = [{"doc_id": int(index.doc_ids[x]), "cosine": float(y), "label": int(index.labels[x])} for x, y in zip(e, s, strict=True)]
+            out.append({"score": model.score(vote, top, len(e) > 0), "evidence": evidence})
         return pa.array(out, kind)
 
     return score
 
 
 def assess(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """``docs`` with a column ``out``: score, and evidence (nearest examples with cosine and label)."""
+    """``docs`` with a column ``out`` (it replaces one of that name): score, and evidence (nearest examples with cosine and label)."""
     ship(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LIMIT examples of TERMS terms
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the terms of LIMIT examples
     return docs.withColumn(out, arrow_udf(W.bounded(_scorer(lambda: held.value)), returnType=_KIND).asNondeterministic()(F.col(text_col)))
 
 

@@ -169,28 +169,86 @@ def test_toxicity_without_labels(spark):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_neighbours_are_exact(seed):
+@pytest.mark.parametrize("at_once", [1, 4])
+def test_neighbours_are_exact(monkeypatch, seed, at_once):
+    monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
     rng = np.random.default_rng(seed)
     n, m = 400, 50
-    dense = np.where(rng.random((n, m)) < 0.08, rng.integers(1, 4, (n, m)), 0).astype(float)
-    idf = rng.random(m) + 0.5
-    keys = W.HashSet(rng.integers(0, 1 << 60, m).astype(np.uint64))
-    index = toxicity.Index.build(keys, idf, [], [], [])
-    vectors = [(t := np.flatnonzero(row), index.vector(t, row[t]) if len(t) else np.zeros(0)) for row in dense]
-    index = toxicity.Index.build(keys, idf, vectors, list(range(n)), [0] * n)
+    dense = np.where(rng.random((n, m)) < 0.08, rng.integers(1, 4, (n, m)), 0)
+    dense[1::40] = dense[0]  # ties
+    weight = (rng.random(m) + 0.1) ** 3
+    vectors = [(t := np.flatnonzero(row), row[t]) for row in dense]
+    index = toxicity.Index.build(W.HashSet(rng.integers(0, 1 << 60, m).astype(np.uint64)), weight, vectors, list(range(n)), [0] * n)
     table_ = np.zeros((n, m))
-    for i, (t, w) in enumerate(vectors):
-        table_[i, t] = w
+    for i, (t, c) in enumerate(vectors):
+        table_[i, t] = toxicity.unit(weight, t, c)
     for i in range(60):
-        t, w = vectors[i]
-        if not len(t):
-            continue
-        e, s = index.nearest(t, w, 7)
+        t, c = vectors[i]
+        e, s = index.nearest(t, toxicity.unit(weight, t, c), 7)
         cos = table_ @ table_[i]
         order = np.lexsort((np.arange(n), -np.round(cos, 12)))
-        order = order[cos[order] > 0][:7]
-        np.testing.assert_allclose(np.sort(s)[::-1], np.sort(cos[order])[::-1], atol=1e-9)
-        assert len(e) == len(order)
+        order = order[cos[order] > 1e-12][:7]
+        np.testing.assert_allclose(s, cos[order], atol=1e-9)
+        np.testing.assert_allclose(cos[e], cos[order], atol=1e-9)
+
+
+def brute_terms():
+    """Counts the terms of a text."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def counts(text):
+        words_ = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(low))]
+        return Counter([("w", w) for w in words_] + [("s", w[:6]) for w in words_ if len(w) > 6])
+
+    return counts
+
+
+def test_toxicity_query_equals_brute_force(spark, tmp_path):
+    docs, labels = toxic_docs(spark, 240)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    got = {(r["doc_id"], r["held_out"]): r for r in toxicity.op10_toxicity(spark, str(tmp_path)).collect()}
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = toxicity.learn(docs, labels, where=~language_id.held_out())
+    label = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None:
+            label[r["doc_id"]] = max(r["toxic"], label.get(r["doc_id"], 0))
+    counts = brute_terms()
+    df = Counter(t for _, text in rows for t in counts(text))
+    ids = set(model.index.doc_ids.tolist())
+    assert ids and all(label[i] in (0, 1) and zlib.crc32(str(i).encode()) % 5 for i in ids)
+    examples = [(i, counts(text), label[i]) for i, text in rows if i in ids]
+    assert len(examples) == len(model.index.doc_ids)
+    pos, neg = (Counter(t for _, c, y in examples if y == k for t in c) for k in (1, 0))
+    share = sum(y for *_, y in examples) / len(examples)
+
+    def vector(c):
+        w = {}
+        for t, n in c.items():
+            if t in pos or t in neg:
+                odds = math.log((pos[t] + 5 * share) / (neg[t] + 5 * (1 - share))) - math.log(share / (1 - share))
+                w[t] = (1 + math.log(n)) * max(math.log((len(rows) + 1) / (df[t] + 0.5)), 1e-3) * max(abs(odds), 1e-3)
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / size for t, x in w.items()}
+
+    units = [(i, vector(c), y) for i, c, y in examples]
+    for i, text in rows:
+        own = vector(counts(text))
+        near = sorted(((sum(x * v.get(t, 0) for t, x in own.items()), j, y) for j, v, y in units), key=lambda x: (-round(x[0], 9), x[1]))
+        near = [x for x in near if x[0] > 1e-12][:10]
+        want = model.bare
+        if near:
+            vote = sum(s * s * y for s, _, y in near) / (sum(s * s for s, *_ in near) + toxicity.DOUBT)
+            z = model.coef @ [1, vote, vote * near[0][0]]
+            want = 1 / (1 + math.exp(-z))
+        assert abs(got[(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0)]["score"] - want) < 1e-6
+
+
+def test_ties_among_examples_go_to_the_lower_ids():
+    index = toxicity.Index.build(W.HashSet(np.array([5], np.uint64)), np.ones(1), [(np.array([0]), np.array([1]))] * 30, list(range(30)), [1, 0] * 15)
+    e, s = index.nearest(np.array([0]), np.ones(1), 10)
+    assert e.tolist() == list(range(10)) and index.vote(e, s) == (5 / (10 + toxicity.DOUBT), 1.0)
 
 
 def test_lm_base_scores_and_normalisation(spark):
