@@ -164,8 +164,8 @@ class Pairs:
         short = np.flatnonzero((sizes <= LONG) & (sizes > 0))
         short = short[np.argsort(-sizes[short], kind="stable")]
         found = []  # word, its tokens
-        for a in range(0, len(short), 1 << 15):
-            rows = short[a : a + (1 << 15)]
+        for a in range(0, len(short), 1 << 13):
+            rows = short[a : a + (1 << 13)]
             tokens = self._encode_short(flat, begin[rows], sizes[rows], ids)
             counts[rows] = tokens[0]
             if ids:

@@ -227,7 +227,7 @@ def predictor(model: Model):
 
     def predict(text: pa.Array) -> pa.Array:
         best, score = [], []
-        for c in W.chunks(text):
+        for c in W.chunks(text, 1 << 18):
             p = model.probabilities(*chunk_sums(c, weights)) if model.langs else np.zeros((len(c), 1))
             best.append(p.argmax(1))
             score.append(p.max(1))

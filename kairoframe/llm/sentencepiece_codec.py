@@ -32,7 +32,7 @@ from . import bpe, words
 
 MARK = "▁"
 #: Parts that a worker remembers at most.
-KEEP = 150_000
+KEEP = 60_000
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNIGRAM, _BPE = 1, 2
 
