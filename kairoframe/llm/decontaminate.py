@@ -3,8 +3,8 @@
 Each benchmark item gives its windows of ``n`` consecutive words (an item of fewer words is one window). Their hashes
 form a set that goes to the executors; a document's windows are probed against it with vector operations, and every hit
 is verified on the words themselves, so a hash collision cannot mark a clean document. The set has a size bound:
-a benchmark of more than ``block_bytes`` of text is dealt into blocks of about that size and the documents are scanned
-once per block, with the spans of all blocks merged at the end. Nothing is shuffled.
+a benchmark of up to ``block_bytes`` of text takes one scan, a larger one is dealt into blocks of about that size and the
+documents are scanned once per block, with the spans of all blocks merged at the end. Nothing is shuffled.
 
 Defined results: a null or empty text has no words and no hits; an item without words is ignored; an item whose id is
 null marks words but is not listed; repeated items count once; repeated documents each get their own row; an empty
@@ -13,7 +13,6 @@ benchmark or table gives no hits or no rows. Texts of any length are scanned who
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
@@ -27,44 +26,73 @@ from . import words as W
 
 #: Words in a window.
 WINDOW = 10
-#: Benchmark text, in bytes, that one scan holds in memory (its windows take some 80 times as much in each worker).
-BLOCK_BYTES = 1 << 20
+#: Benchmark text, in bytes, that one scan holds in memory (its windows take some 12 times as much in each worker).
+BLOCK_BYTES = 16 << 20
 _HIT = "struct<n_words:long,spans:array<struct<first:int,last:int>>,items:array<long>>"
 
 
 class WindowIndex:
-    """The windows of some items: for each window length a hash set, and the words and items behind each hash."""
+    """The windows of some items: for each window length a hash set, where a window's words stand, and its items.
+
+    All of it is in flat arrays, some 70 bytes a word.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], n: int):
-        found: dict[int, dict[int, list[tuple[bytes, list[int | None]]]]] = defaultdict(dict)
-        ids: dict[bytes, list[int | None]] = {}
-        for item, text in items:
-            w = W.words_of(text, W.ALNUM)
-            total = len(w.starts)
-            size = min(n, total)
-            for i in range(total - size + 1 if total else 0):
-                key = w.joined(i, size)
-                if key not in ids:
-                    ids[key] = []
-                    found[size].setdefault(W.window_hash(w.hashes[i : i + size]), []).append((key, ids[key]))
-                if item not in ids[key]:
-                    ids[key].append(item)
-        self.sets = {size: W.HashSet(np.fromiter(by, np.uint64, len(by))) for size, by in found.items()}
-        self.texts = {size: [by[int(h)] for h in self.sets[size].keys] for size, by in found.items()}
+        offsets, data = W.buffers(pa.array([t for _, t in items], pa.string()))
+        c = W.Chunk(0, len(items), data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        w = W.split(c, W.ALNUM)
+        begin = w.first_of()
+        ids = np.array([0 if i is None else i for i, _ in items], np.int64)
+        named = np.array([i is not None for i, _ in items], bool)
+        total = np.diff(begin)
+        self.words = W.Words(w.data, w.starts.astype(np.int64), w.ends.astype(np.int64), np.zeros(0, np.int64), 0, np.zeros(0, np.uint64))
+        self.sets: dict[int, W.HashSet] = {}
+        self.at: dict[int, np.ndarray] = {}  # per key, the first word of a window
+        self.items: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # per key, where its item ids begin, and they
+        self.others: dict[tuple[int, int], list[tuple[bytes, list[int]]]] = {}  # windows whose hash another one has
+        for size in sorted({min(n, x) for x in total.tolist()} - {0}):
+            h, at = W.windows(w.hashes, w.doc, size)
+            own = np.minimum(n, total)[w.doc[at]] == size
+            self._add(size, h[own], at[own], w.doc[at[own]], ids, named)
+
+    def _add(self, size: int, h: np.ndarray, at: np.ndarray, item: np.ndarray, ids: np.ndarray, named: np.ndarray) -> None:
+        keys = self.sets[size] = W.HashSet(h)
+        k = np.searchsorted(keys.keys, h)
+        first = np.full(len(keys.keys), len(self.words.starts), np.int64)
+        np.minimum.at(first, k, at)
+        again = np.flatnonzero(first[k] != at)  # where a window comes again, its words have to be the same
+        odd = np.zeros(len(h), bool)
+        odd[again] = [self.words.joined(x, size) != self.words.joined(y, size) for x, y in zip(at[again].tolist(), first[k[again]].tolist(), strict=True)]
+        for i in np.flatnonzero(odd).tolist():
+            found = self.others.setdefault((size, int(k[i])), [])
+            words = self.words.joined(int(at[i]), size)
+            same = next((x for t, x in found if t == words), None)
+            if same is None:
+                found.append((words, same := []))
+            same += [int(ids[item[i]])] * bool(named[item[i]] and int(ids[item[i]]) not in same)
+        listed = ~odd & named[item]
+        pairs = np.unique(np.stack([k[listed], ids[item[listed]]], 1), axis=0) if listed.any() else np.zeros((0, 2), np.int64)
+        self.at[size] = first
+        self.items[size] = (np.searchsorted(pairs[:, 0], np.arange(len(first) + 1)), pairs[:, 1].copy())
 
     def hits(self, w: W.Words) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
         """Verified (text, first word, window length) and (text, item) of a chunk's words."""
-        spans, items = [], set()
+        spans, items, seen = [], set(), set()
         for size, keys in self.sets.items():
             hashes, at = W.windows(w.hashes, w.doc, size)
-            for i, k in zip(*keys.find(hashes), strict=True):
+            begin, ids = self.items[size]
+            for i, k in zip(*(x.tolist() for x in keys.find(hashes)), strict=True):
                 first = int(at[i])
-                words = w.joined(first, size)
-                for key, ids in self.texts[size][k]:
-                    if key == words:
-                        d = int(w.doc[first])
+                words, d = w.joined(first, size), int(w.doc[first])
+                if words == self.words.joined(int(self.at[size][k]), size):
+                    spans.append((d, first, size))
+                    if (size, d, k) not in seen:
+                        seen.add((size, d, k))
+                        items.update((d, x) for x in ids[begin[k] : begin[k + 1]].tolist())
+                for text, more in self.others.get((size, k), ()):
+                    if words == text:
                         spans.append((d, first, size))
-                        items.update((d, x) for x in ids if x is not None)
+                        items.update((d, x) for x in more)
         return spans, sorted(items)
 
 
@@ -122,7 +150,7 @@ def _merge(a: Column, b: Column) -> Column:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", out: str = "hits", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a column ``out``: n_words, spans (first and last hit word, merged), items (ids with a window in it)."""
+    """``docs`` with a column ``out`` (it replaces one of that name): n_words, spans (first and last hit word, merged), items (ids with a window in it)."""
     ship(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -134,7 +162,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col:
         if b == 0:
             docs = docs.withColumn(out, scan)
         else:
-            more = f"__{out}_block"
+            more = W.fresh(docs, out)
             docs = docs.withColumn(more, scan)
             docs = docs.withColumn(out, F.struct(F.col(out)["n_words"].alias("n_words"), _merge(F.col(out)["spans"], F.col(more)["spans"]).alias("spans"), F.array_distinct(F.concat(F.col(out)["items"], F.col(more)["items"])).alias("items"))).drop(more)
         if blocks > 1:
@@ -170,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
 
     The columns of ``docs`` are kept as they are; in mode "spans" only ``text_col`` changes.
     """
-    tmp = "__hits"
+    tmp = W.fresh(docs, "hits")
     found = find_hits(docs, benchmark, n, text_col, tmp, block_bytes)
     if mode == "documents":
         return found.where(F.size(F.col(tmp)["spans"]) == 0).drop(tmp)

@@ -75,6 +75,17 @@ def test_decontamination(spark, block_bytes):
     assert decontaminate.find_hits(table(spark, texts).limit(0), bench).count() == 0
 
 
+def test_windows_that_share_a_hash_are_told_apart_by_their_words(monkeypatch):
+    real = W.windows
+    monkeypatch.setattr(W, "windows", lambda h, d, n: (real(h, d, n)[0] & np.uint64(3), real(h, d, n)[1]))
+    items = [(i, prose(40 + i, 14)) for i in range(6)] + [(9, prose(40, 14)), (None, prose(42, 12))]
+    index = decontaminate.WindowIndex(items, 10)
+    for text in [t for _, t in items] + [prose(99, 60), prose(98, 9) + " " + items[3][1]]:
+        spans, found = index.hits(W.words_of(text, W.ALNUM))
+        words, hit, want = brute_hits(text, items)
+        assert sorted({x for _, x in found}) == want and len({j for _, i, n in spans for j in range(i, i + n)}) == hit
+
+
 def test_wrapped_notices_have_their_labels():
     """Each template broken at every width, between other lines and beside a notice on one line of its own."""
     t = license_scan.Templates(license_scan.TEMPLATES, license_scan.THRESHOLD)
