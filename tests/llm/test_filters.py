@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import ODD, prose, table
@@ -176,7 +177,6 @@ def test_maximal_repeats():
 def test_suffix_array_is_sorted():
     rng = random.Random(1)
     s = [rng.randint(0, 2) for _ in range(200)]
-    import numpy as np
 
     sa, levels = quality.suffix_array(np.array(s, np.uint64), np.full(200, 200))
     assert [s[i:] for i in sa] == sorted(s[i:] for i in range(200))
