@@ -34,6 +34,38 @@ def test_text_around_the_heaviest_part_is_kept(part):
     assert H.main_blocks(html) == [B, A, A, A, A, B]
 
 
+def test_doubtful_labels_go_by_their_ratios():
+    html = f"<article><p>{B}</p><section class='legal-analysis'><p>{A}</p></section><div class='share'><p>Share it</p></div><p>{B}</p></article>"
+    assert H.main_blocks(html) == [B, A, B]
+
+
+def test_what_the_ratios_choose_decides(monkeypatch):
+    html = f"<div class='a'><p>Home</p><p>News</p></div><div class='b'><p>{A}</p><p>{B}</p></div><div class='a'><p>Old</p></div>"
+    assert H.main_blocks(html) == [A, B]
+    monkeypatch.setattr(H, "ratios", lambda nodes: ([1.0] * len(nodes), [0.0] * len(nodes)))
+    assert H.main_blocks(html) == ["Home", "News", A, B, "Old"]
+
+
+@pytest.mark.parametrize(
+    "html", ["<div class='a'>x y z " * 20000, "<a title=\"x " * 8000, "<p class='a\">it's " * 8000, "<![CDATA[ x " * 8000, "<p><button>" + "<blockquote>x " * 8000, "<div>" * 5000 + "</foo></section>" * 5000, "<!-- <p " * 9000, "< a <1 </ " * 9000]
+)
+def test_deep_and_broken_pages_take_time_and_memory_in_proportion(html):
+    import time
+    import tracemalloc
+
+    def cost(part):
+        tracemalloc.start()
+        begin = time.process_time()
+        H.main_blocks(part)
+        try:
+            return time.process_time() - begin, tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    (half_s, half_mb), (whole_s, whole_mb) = cost(html[: len(html) // 2]), cost(html)
+    assert whole_s < 3.5 * half_s + 0.5 and whole_mb < 3 * half_mb + 1e6
+
+
 def test_content_nodes_choose_on_every_page():
     assert H.main_blocks(f"<main><p>{A}</p><article><p>{B}</p></article><p>{A}</p></main>") == [A, B, A]
     assert H.main_blocks(f"<div><article><p>{B}</p></article><div><p>{A}</p><p>{A}</p></div></div>") == [B, A, A]
