@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_dir
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -31,7 +31,7 @@ def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
 def run_once(stream: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now, and read what it has appended. Files are under the checkpoint folder."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
+    shared_dir(spark)
     root = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}_{uuid.uuid4().hex}"
     q = stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
