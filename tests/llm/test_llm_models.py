@@ -276,6 +276,28 @@ def test_lm_base_scores_and_normalisation(spark):
     assert fresh and sum(r["score"] for r in fresh) > 1.01 * sum(r["base_score"] for r in fresh)  # words without order: no worse
 
 
+def test_lm_with_a_tie_of_counts_larger_than_what_is_known(spark, monkeypatch):
+    """Every word is there twice, more words than KNOWN: those that are symbols are known all the same."""
+    monkeypatch.setattr(lm_score, "KNOWN", 20)
+    monkeypatch.setattr(lm_score, "VOCABULARY", 30)
+    texts = [" ".join(f"w{i}x" for i in range(50)), " ".join(f"w{i}x" for i in reversed(range(50)))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = lm_score.learn(docs.select("text"))
+    assert len(model.symbols.words.keys) == 30 and len(model.known.keys) == 30
+    for r in lm_score.score(docs, model, counts).collect():
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (51, 51, 102)
+        assert abs(r["base_score"] - 51 * math.log10(2.1 / (102 + 0.1 * 52))) < 1e-9
+        w = W.words_of(texts[r["id"]], W.SOLID)
+        cur, before, _ = model.symbols.sequence(w, s := model.symbols.of(w))
+        shares = [0.0 if x < 30 else math.log10(2.1) - model.class_log[x - 30] for x in s.tolist()]
+        assert abs(r["score"] - model.table[before, cur].sum() - sum(shares)) < 1e-9
+
+
+def test_lm_on_an_empty_corpus(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert lm_score.op7_lm_scoring(spark, str(tmp_path)).count() == 0
+
+
 def test_lm_learns_order(spark):
     rng = random.Random(1)
     follow = {w: rng.sample([f"w{i}" for i in range(30)], 3) for w in (f"w{i}" for i in range(30))}
@@ -297,11 +319,13 @@ def test_lm_with_rare_words_joined(spark, monkeypatch):
     """The same sums when hardly any word is looked up and nearly all are joined."""
     docs = table(spark, [prose(i, 40) for i in range(20)])
     train = docs.select("text")
-    whole = {(r["id"], round(r["base_score"], 6), r["n_known"]) for r in lm_score.score(docs, *lm_score.learn(train)).collect()}
+    monkeypatch.setattr(lm_score, "VOCABULARY", 3)
+    rows = lambda got: {(r["id"], round(r["base_score"], 6), round(r["score"], 6), r["n_known"]) for r in got.collect()}
+    whole = rows(lm_score.score(docs, *lm_score.learn(train)))
     monkeypatch.setattr(lm_score, "KNOWN", 3)
     model, counts = lm_score.learn(train)
     assert len(model.known.keys) <= 3
-    assert {(r["id"], round(r["base_score"], 6), r["n_known"]) for r in lm_score.score(docs, model, counts).collect()} == whole
+    assert rows(lm_score.score(docs, model, counts)) == whole
 
 
 def test_lm_without_training_text(spark):
