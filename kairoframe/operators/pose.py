@@ -60,40 +60,102 @@ def handedness(travel: DataFrame) -> DataFrame:
     return travel.withColumn("hand", F.when(F.col("left") > F.col("right"), "L").otherwise("R"))
 
 
-def choose_players(people: DataFrame, net_x: float, margin: float) -> DataFrame:
-    """The tallest person of each frame clearly on either side of the net. people: video, frame, id, x1, y1, x2, y2."""
-    c, height = (F.col("x1") + F.col("x2")) / 2, F.col("y2") - F.col("y1")
-    p = people.withColumn("side", F.when(c >= net_x + margin, "right").when(c <= net_x - margin, "left")).where("side is not null")
-    return p.groupBy("video", "frame", "side").agg(F.max(F.struct(height.alias("height"), (-F.col("id")).alias("i"))).alias("b")).select("video", "frame", "side", (-F.col("b.i")).alias("id"), F.col("b.height").alias("height"))
+def choose_players(people: DataFrame, net_x: float, margin: float, before: DataFrame | None = None) -> DataFrame:
+    """The tallest person of each frame clearly on either side of the net. people: video, frame, id, x1, y1, x2, y2.
 
+    Where ``before`` (video, side, x) says where a side's player was seen last, height loses half the distance from there.
+    """
+    c, height = (F.col("x1") + F.col("x2")) / 2, F.col("y2") - F.col("y1")
+    p = people.withColumns({"side": F.when(c >= net_x + margin, "right").when(c <= net_x - margin, "left"), "_c": c}).where("side is not null")
+    score = height
+    if before is not None:
+        p = p.join(before.select("video", "side", F.col("x").alias("_x")), ["video", "side"], "left")
+        score = height - F.coalesce(0.5 * F.abs(F.col("_c") - F.col("_x")), F.lit(0.0))
+    best = F.max(F.struct(score.alias("score"), (-F.col("id")).alias("i"), height.alias("height")))
+    return p.groupBy("video", "frame", "side").agg(best.alias("b")).select("video", "frame", "side", (-F.col("b.i")).alias("id"), F.col("b.height").alias("height"))
 
-def normalised(pose: Column, hip: Column, size: Column, mirror: Column, swap: Column) -> Column:
-    """Used keypoints relative to the hips in torso lengths: x mirrored for left players, left and right swapped for left-handers."""
 
-    def one(i: int) -> list[Column]:
-        p = F.when(swap, point(pose, MIRRORED.get(i, i))).otherwise(point(pose, i))
-        return [(p["x"] - hip["x"]) / size * mirror, (p["y"] - hip["y"]) / size]
+def around_contacts(contacts: DataFrame, poses: DataFrame, ball: DataFrame, offsets: list[int], into: list[int], out: list[int], reach: int = 20) -> DataFrame:
+    """contacts with what is seen around them.
 
-    return F.array(*[v for i in USED for v in one(i)])
+    p0, p1, ...: the poses at ``offsets``; size, hip_x, hip_y: medians of torso and hips over the frames in [-reach, reach);
+    ball: where it is at contact; into and out: its first and last sample in those frames, and their number. Every contact
+    asks for its own few frames, so frames of a video are joined and never gathered.
+    """
+    key, o = ["video", "frame", "side"], F.col("_o")
+    near = range(-reach, reach)
+    asked = contacts.select(*key, F.explode(F.array(*[F.lit(x) for x in sorted({*near, *offsets, *into, *out, 0})])).alias("_o")).withColumn("_f", F.col("frame") + o)
+    middle = lambda c: (point(F.col("pose"), L_HIP)[c] + point(F.col("pose"), R_HIP)[c]) / 2
+    body = poses.select("video", F.col("frame").alias("_f"), "pose", torso(F.col("pose")).alias("_t"), middle("x").alias("_x"), middle("y").alias("_y"))
+    place = ball.select("video", F.col("frame").alias("_f"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("x", "y")).alias("_b"))
+    seen = asked.join(body, ["video", "_f"], "left").join(place, ["video", "_f"], "left")
+    is_near = o.between(-reach, reach - 1)
+    median = lambda c: F.percentile(F.when(is_near, F.col(c)), 0.5)
+
+    def flight(frames: list[int], name: str) -> Column:
+        there = o.between(frames[0], frames[-1]) & F.col("_b").isNotNull()
+        return F.struct(F.min_by("_b", F.when(there, o)).alias("first"), F.max_by("_b", F.when(there, o)).alias("last"), F.count_if(there).alias("n")).alias(name)
+
+    found = seen.groupBy(*key).agg(
+        *[F.first(F.when(o == x, F.col("pose")), ignorenulls=True).alias(f"p{i}") for i, x in enumerate(offsets)], median("_t").alias("size"), median("_x").alias("hip_x"), median("_y").alias("hip_y"),
+        F.first(F.when(o == 0, F.col("_b")), ignorenulls=True).alias("ball"), flight(into, "into"), flight(out, "out"),
+    )
+    return contacts.join(found, key)
 
 
-def stroke_features(contacts: DataFrame, poses: DataFrame, kt: float = 1.0) -> DataFrame:
-    """contacts (video, frame, side, racket) with features: keypoints at all offsets, then joint angles, stance and crouch at contact.
+def stroke_features(contacts: DataFrame, poses: DataFrame, ball: DataFrame, kt: float = 1.0) -> DataFrame:
+    """contacts with ``features``, 263 numbers, null where something is missing.
 
-    Poses are joined once on the exploded offsets and gathered again per contact; a missing pose leaves nulls.
+    contacts: video, frame, side, racket (L or R), first_of_rally, since_prev_s, slope and level (the table's surface is at
+    level + slope * x; null without a table); one row per video, frame and side. poses: video, frame, pose; ball: video,
+    frame, x, y. ``kt``: frames a second over 120. All coordinates are relative to the hips at contact in torso lengths
+    (medians over the frames around it where the torso can't be told), x mirrored for left players, and left and right swapped
+    for left-handers, so that the right arm holds the racket. In order: the 13 keypoints at the 9 offsets; wrist speed into
+    contact and largest, wrist height over the shoulder, wrist x at contact and before, angles of the racket elbow, both knees
+    and the trunk, stance width, foot heights, ankle travel, head travel, crouch; ball velocity in and out, speed out, angle
+    out, speed ratio, ball position, height over the table; first of rally, seconds since the last hit, racket near the
+    camera, left player.
     """
-    base = torso_or_median(poses)
-    hip = F.struct(((point(F.col("pose"), L_HIP)["x"] + point(F.col("pose"), R_HIP)["x"]) / 2).alias("x"), ((point(F.col("pose"), L_HIP)["y"] + point(F.col("pose"), R_HIP)["y"]) / 2).alias("y"))
-    at = contacts.join(base.select("video", "frame", "torso", hip.alias("hip"), F.col("pose").alias("pose0")), ["video", "frame"])
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(round(o * kt)).alias("o")) for i, o in enumerate(OFFSETS)])
-    long = at.withColumn("s", F.explode(shifts)).withColumn("frame_at", F.col("frame") + F.col("s.o"))
-    long = long.join(poses.select("video", F.col("frame").alias("frame_at"), "pose"), ["video", "frame_at"], "left")
-    mirror = F.when(F.col("side") == "left", -1.0).otherwise(1.0)
-    nk = normalised(F.col("pose"), F.col("hip"), F.col("torso"), mirror, F.col("racket") == "L")
-    per = long.groupBy("video", "frame", "side", "racket").agg(F.array_sort(F.collect_list(F.struct(F.col("s.i").alias("i"), nk.alias("k")))).alias("ks"), F.first("pose0").alias("p"))  # nine rows each
-    p = F.col("p")
-    extra = F.array(
-        joint(p, R_SHO, R_ELB, R_WRI), joint(p, L_HIP, L_KNE, L_ANK), joint(p, R_HIP, R_KNE, R_ANK), point(p, L_ANK)["x"] - point(p, R_ANK)["x"], point(p, L_ANK)["y"] - point(p, R_ANK)["y"],
-        (point(p, L_HIP)["y"] + point(p, R_HIP)["y"] - point(p, L_ANK)["y"] - point(p, R_ANK)["y"]) / 2,
-    )
-    return per.select("video", "frame", "side", "racket", F.concat(F.flatten(F.transform("ks", lambda k: k["k"])), extra).alias("features"))
+    sampled = [round(o * kt) for o in OFFSETS]
+    rows = around_contacts(contacts, poses, ball, sampled, list(range(round(-8 * kt), round(-kt))), list(range(round(kt), round(9 * kt))))
+    here = F.col(f"p{OFFSETS.index(0)}")
+    own = torso(here) >= 1
+    middle = lambda c: (point(here, L_HIP)[c] + point(here, R_HIP)[c]) / 2
+    rows = rows.withColumns({
+        "_size": F.when(own, torso(here)).otherwise(F.col("size")),
+        "_hip": F.struct(*[F.when(own, middle(c)).otherwise(F.coalesce(f"hip_{c}", middle(c))).alias(c) for c in ("x", "y")]),
+        "_mirror": F.when(F.col("side") == "left", -1.0).otherwise(1.0),
+    })
+    size, hip, mirror = F.col("_size"), F.col("_hip"), F.col("_mirror")
+    norm = lambda p: F.struct(((p["x"] - hip["x"]) / size * mirror).alias("x"), ((p["y"] - hip["y"]) / size).alias("y"))
+
+    def arms(p: Column) -> Column:
+        return F.when(F.col("racket") == "L", F.array(*[point(p, MIRRORED.get(i, i)) for i in range(17)])).when(p.isNotNull(), p)
+
+    def speed(ball: Column) -> Column:  # in torso lengths a frame at 120 a second
+        step = lambda c: (ball["last"][c] - ball["first"][c]) / (ball["n"] - 1) / kt / size
+        return F.when(ball["n"] >= 2, F.struct((step("x") * mirror).alias("x"), step("y").alias("y")))
+
+    rows = rows.withColumns({f"_k{i}": F.transform(arms(F.col(f"p{i}")), norm) for i in range(len(OFFSETS))} | {"_in": speed(F.col("into")), "_out": speed(F.col("out"))})
+    k = lambda o, i: F.get(F.col(f"_k{OFFSETS.index(o)}"), i)
+    steps = list(zip(OFFSETS[:-1], OFFSETS[1:], strict=True))
+    speeds = [F.hypot(k(q, R_WRI)["x"] - k(p, R_WRI)["x"], k(q, R_WRI)["y"] - k(p, R_WRI)["y"]) / (q - p) for p, q in steps]
+    k0, first, last, b0 = F.col(f"_k{OFFSETS.index(0)}"), OFFSETS[0], OFFSETS[-1], F.col("ball")
+    whole = F.forall(k0, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    lean = lambda c: k(0, L_SHO)[c] + k(0, R_SHO)[c] - k(0, L_HIP)[c] - k(0, R_HIP)[c]
+    v_in, v_out = F.col("_in"), F.col("_out")
+    fast = F.hypot(v_out["x"], v_out["y"])
+    body = [
+        speeds[OFFSETS.index(0) - 1], F.greatest(*speeds), k(0, R_WRI)["y"] - k(0, R_SHO)["y"], k(0, R_WRI)["x"], k(-8, R_WRI)["x"],
+        joint(k0, R_SHO, R_ELB, R_WRI), joint(k0, L_HIP, L_KNE, L_ANK), joint(k0, R_HIP, R_KNE, R_ANK), F.when(whole, F.degrees(F.atan2(lean("y"), lean("x")))),
+        k(0, L_ANK)["x"] - k(0, R_ANK)["x"], k(0, L_ANK)["y"] - k(0, R_ANK)["y"], k(last, L_ANK)["y"] - k(first, L_ANK)["y"], k(last, R_ANK)["y"] - k(first, R_ANK)["y"],
+        k(last, NOSE)["x"] - k(first, NOSE)["x"], (k(0, L_HIP)["y"] + k(0, R_HIP)["y"] - k(0, L_ANK)["y"] - k(0, R_ANK)["y"]) / 2,
+    ]
+    flight = [
+        v_in["x"], v_in["y"], v_out["x"], v_out["y"], fast, F.degrees(F.atan2(-v_out["y"], -v_out["x"])), fast / F.greatest(F.hypot(v_in["x"], v_in["y"]), F.when(v_in.isNotNull(), F.lit(1e-3))),
+        norm(b0)["x"], norm(b0)["y"], (b0["y"] - F.col("level") - F.col("slope") * b0["x"]) / size,
+    ]
+    flag = lambda c: c.cast("double")
+    context = [flag(F.col("first_of_rally")), F.col("since_prev_s"), flag((F.col("side") == "left") == (F.col("racket") == "R")), flag(F.col("side") == "left")]
+    points = [k(o, i)[c] for o in OFFSETS for i in USED for c in ("x", "y")]
+    return rows.select(*contacts.columns, F.array(*[v.cast("double") for v in (*points, *body, *flight, *context)]).alias("features"))
