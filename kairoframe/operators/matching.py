@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import prf
-from .sequence import islands
+from .sequence import islands, span_of, spans
 
 
 def candidate_pairs(pred: DataFrame, gt: DataFrame, tol: int) -> DataFrame:
@@ -36,6 +36,18 @@ def match_greedy(pred: DataFrame, gt: DataFrame, tol: int) -> DataFrame:
     return done.select("video", F.explode("m").alias("m")).select("video", F.col("m.ps").alias("p"), F.col("m.gs").alias("g"))
 
 
+def matched_labels(matches: DataFrame, predicted: DataFrame, truth: DataFrame, *targets: str) -> DataFrame:
+    """video, target, label, guess: for each match (video, p, g) the truth's label at g and what was predicted at p.
+
+    predicted and truth: video, frame and a column per target; a match whose frame either lacks has no rows.
+    """
+    guess = predicted.select("video", F.col("frame").alias("p"), *[F.col(t).alias(f"_p_{t}") for t in targets])
+    label = truth.select("video", F.col("frame").alias("g"), *[F.col(t).alias(f"_g_{t}") for t in targets])
+    both = matches.join(guess, ["video", "p"]).join(label, ["video", "g"])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_g_{t}").alias("label"), F.col(f"_p_{t}").alias("guess")) for t in targets]))
+    return both.select("video", each.alias("r")).select("video", "r.*")
+
+
 def match_report(pred: DataFrame, gt: DataFrame, tol: int) -> DataFrame:
     """tp, fp, fn and rates per video and over all (video null): counts are summed before rates are taken."""
     m = match_greedy(pred, gt, tol)
@@ -60,8 +72,8 @@ def landings(hits: DataFrame, bounces: DataFrame) -> DataFrame:
 
 def endings_in_rallies(ends: DataFrame, rallies: DataFrame, slack: int) -> DataFrame:
     """Each ending with the first rally (by number) that holds it, start <= frame <= end + slack; nulls if none does."""
-    r = rallies.select(F.col("video").alias("_v"), "rally", "start", "end", F.col("point_winner").alias("predicted"))
-    j = ends.join(r, (F.col("video") == F.col("_v")) & F.col("frame").between(F.col("start"), F.col("end") + slack), "left")
+    r = spans(rallies.select(F.col("video").alias("_v"), "rally", "start", "end", F.col("point_winner").alias("predicted")), "start", F.col("end") + slack)
+    j = ends.withColumn("_e", span_of("frame")).join(r, (F.col("video") == F.col("_v")) & (F.col("_e") == F.col("_span")) & F.col("frame").between(F.col("start"), F.col("end") + slack), "left")
     return j.groupBy("video", "frame", "winner").agg(F.min(F.when(F.col("rally").isNotNull(), F.struct("rally", "predicted"))).alias("r")).select("video", "frame", "winner", F.col("r.rally").alias("rally"), F.col("r.predicted").alias("predicted"))
 
 

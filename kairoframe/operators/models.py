@@ -8,6 +8,9 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .matching import classification_report
 
 #: Features of another version are not read by a model.
 FEATURE_VERSION = 1
@@ -20,10 +23,9 @@ def dense(features: Column) -> Column:
 
 def fit(rows: DataFrame, target: str, features: str = "features", trees: int = 20, depth: int = 6, seed: int = 0) -> PipelineModel:
     """A forest for one target; each label weighs as much as the others."""
-    total = rows.count()
-    counts = rows.groupBy(target).agg(F.count("*").alias("_n"))
-    k = counts.count()
-    weighted = rows.join(F.broadcast(counts), target).withColumn("_w", F.lit(float(total)) / (k * F.col("_n"))).withColumn("_v", dense(F.col(features)))  # one row per label
+    counts = rows.groupBy(target).agg(F.count("*").alias("_n"))  # one row per label
+    weights = counts.withColumn("_w", F.sum("_n").over(Window.partitionBy()) / (F.count("*").over(Window.partitionBy()) * F.col("_n"))).drop("_n")
+    weighted = rows.join(weights, target).withColumn("_v", dense(F.col(features)))
     return Pipeline(stages=[
         StringIndexer(inputCol=target, outputCol="_y", handleInvalid="keep", stringOrderType="alphabetAsc"),
         VectorAssembler(inputCols=["_v"], outputCol="_x"),
@@ -40,6 +42,29 @@ def predict(model: PipelineModel, rows: DataFrame, target: str, features: str =
     return out.withColumn("_a", p).select(*rows.columns, F.element_at(names, F.array_position("_a", F.array_max("_a")).cast("int")).alias(f"{target}_pred"), F.round(F.array_max("_a"), 3).alias(f"{target}_conf"))
 
 
+#: What is said of a stroke.
+TARGETS = ("hand", "technique", "lean", "feet")
+
+
+def fit_all(rows: DataFrame, targets: tuple[str, ...] = TARGETS, **options) -> dict[str, PipelineModel]:
+    """A forest for each target."""
+    return {t: fit(rows.where(F.col(t).isNotNull()), t, **options) for t in targets}
+
+
+def predict_all(fitted: dict[str, PipelineModel], rows: DataFrame) -> DataFrame:
+    """rows with <target>_pred and <target>_conf of every target."""
+    for target, model in fitted.items():
+        rows = predict(model, rows, target)
+    return rows
+
+
+def side_report(predicted: DataFrame, side: str | None = "right", targets: tuple[str, ...] = TARGETS) -> DataFrame:
+    """target, n, accuracy, macro_f1 of predicted labels, over the strokes of one side (None: both)."""
+    rows = predicted if side is None else predicted.where(F.col("side") == side)
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("label"), F.col(f"{t}_pred").alias("guess")) for t in targets]))
+    return classification_report(rows.select(each.alias("r")).select("r.*"), "label", "guess", "target")
+
+
 def heuristic(first_of_rally: Column) -> Column:
     """What is said without a model: a rally's first stroke is a serve, all else is unknown."""
     return F.struct(F.lit("unknown").alias("hand"), F.when(first_of_rally, "serve").otherwise("unknown").alias("technique"), F.lit("unknown").alias("lean"), F.lit("unknown").alias("feet"))

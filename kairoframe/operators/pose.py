@@ -46,8 +46,13 @@ def wrist_travel(poses: DataFrame, hits: DataFrame, before: int, after: int) ->
     """video, right, left: summed steps of the wrists in [t - before, t + after) of all contacts.
 
     Steps are taken inside each contact's own window, so overlapping windows count twice, and a missing pose breaks a step.
+    Where hits have lo and hi (``sequence.in_segments``), only frames of a contact's own segment count, and contacts of none don't.
     """
-    span = hits.select("video", F.col("frame").alias("hit"), F.explode(F.sequence(F.greatest(F.col("frame") - before, F.lit(0)), F.col("frame") + after - 1)).alias("frame"))
+    first, last = F.greatest(F.col("frame") - before, F.lit(0)), F.col("frame") + after - 1
+    if {"lo", "hi"} <= set(hits.columns):
+        hits = hits.where("lo is not null")
+        first, last = F.greatest(first, F.col("lo")), F.least(last, F.col("hi"))
+    span = hits.select("video", F.col("frame").alias("hit"), F.explode(F.sequence(first, last)).alias("frame"))
     j = span.join(poses.select("video", "frame", point(F.col("pose"), R_WRI).alias("r"), point(F.col("pose"), L_WRI).alias("l")), ["video", "frame"])
     w = Window.partitionBy("video", "hit").orderBy("frame")
     step = lambda c: F.when(F.col("frame") - F.lag("frame").over(w) == 1, F.hypot(F.col(c)["x"] - F.lag(F.col(c)["x"]).over(w), F.col(c)["y"] - F.lag(F.col(c)["y"]).over(w)))

@@ -6,7 +6,7 @@ influence each other, so that an array holds one island and not a whole video.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,6 +83,26 @@ def alternate(hits: DataFrame) -> DataFrame:
     return hits.withColumn("_turn", turn).withColumn("_run", F.sum("_turn").over(w)).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_turn", "_run", "_n")
 
 
+#: Frames in a span: the equality key of joins between intervals and events of a video.
+SPAN = 1 << 10
+
+
+def spans(intervals: DataFrame, lo: str, hi: Column) -> DataFrame:
+    """intervals, once for each span of frames that [lo, hi] reaches into (``_span``); an event is in one span only."""
+    return intervals.withColumn("_span", F.explode(F.sequence(F.floor(F.col(lo) / SPAN), F.floor(F.greatest(F.col(lo), hi) / SPAN))))
+
+
+def span_of(frame: str) -> Column:
+    return F.floor(F.col(frame) / SPAN)
+
+
+def in_segments(events: DataFrame, merged: DataFrame) -> DataFrame:
+    """events with the lo and hi of the segment that holds their frame, null where none does. merged: disjoint, as of ``segments``."""
+    s = spans(merged.select(F.col("video").alias("_v"), "lo", "hi"), "lo", F.col("hi"))
+    e = events.withColumn("_e", span_of("frame"))
+    return e.join(s, (F.col("video") == F.col("_v")) & (F.col("_e") == F.col("_span")) & F.col("frame").between(F.col("lo"), F.col("hi")), "left").drop("_v", "_e", "_span")
+
+
 def rallies(hits: DataFrame, bounces: DataFrame, horizon: int) -> DataFrame:
     """Outcome of each rally of alternating hits: from the first bounce after its last hit.
 
@@ -92,8 +112,8 @@ def rallies(hits: DataFrame, bounces: DataFrame, horizon: int) -> DataFrame:
     w = Window.partitionBy("video").orderBy("rally")
     r = hits.groupBy("video", "rally").agg(F.min("frame").alias("start"), F.max("frame").alias("last"), F.max_by("side", "frame").alias("last_hitter"), F.count("*").alias("n_strokes"))
     r = r.withColumn("until", F.least(F.col("last") + horizon, F.lead("start").over(w)))
-    b = bounces.select(F.col("video").alias("_v"), F.col("frame").alias("_f"), F.col("half").alias("_h"))
-    j = r.join(b, (F.col("video") == F.col("_v")) & F.col("_f").between(F.col("start"), F.col("until")), "left")
+    b = bounces.select(F.col("video").alias("_v"), F.col("frame").alias("_f"), F.col("half").alias("_h"), span_of("frame").alias("_s"))
+    j = spans(r, "start", F.col("until")).join(b, (F.col("video") == F.col("_v")) & (F.col("_span") == F.col("_s")) & F.col("_f").between(F.col("start"), F.col("until")), "left")
     later = F.col("_f") > F.col("last")
     g = j.groupBy("video", "rally", "start", "last", "last_hitter", "n_strokes").agg(
         F.count("_f").alias("n_bounces"), F.min_by(F.when(later, F.col("_h")), F.when(later, F.col("_f"))).alias("half"), F.max(F.when(later, F.col("_f"))).alias("last_bounce")

@@ -69,10 +69,7 @@ def sft_pairs(spark, d: str) -> DataFrame:
 def split_resolve(spark, d: str) -> DataFrame:
     """Groups by source of the documents: names in order, groups replaced by their videos."""
     names = table(spark, d, "documents", "source").distinct().select("source", F.when(F.col("source") < "src2", "train, test_2").when(F.col("source") < "src5", "val,fit,val").otherwise("all,other").alias("names"))
-    parts = names.select("source", F.posexplode(F.split("names", ",")).alias("at", "name"))
-    groups = spark.createDataFrame([(k, i, v) for k, vs in readers.GROUPS.items() for i, v in enumerate(vs)], "name string, nth int, video string")
-    j = parts.withColumn("name", F.trim("name")).join(F.broadcast(groups), "name", "left")  # a fixed list
-    return j.select("source", "at", F.coalesce("nth", F.lit(0)).alias("nth"), F.coalesce("video", "name").alias("video"))
+    return readers.resolve(names, "names", "source")
 
 
 def split_except(spark, d: str) -> DataFrame:
@@ -97,7 +94,7 @@ def json_tolerant(spark, d: str) -> DataFrame:
 
 def densify(spark, d: str) -> DataFrame:
     pts = frames(spark, d).where("kind = 'click'").select("video", "frame", "value")
-    return readers.densify(pts, 10, 20)
+    return readers.densify_all(pts, frames(spark, d).groupBy("video").agg(F.count("*").alias("n_frames")))
 
 
 def clear_windows(spark, d: str) -> DataFrame:
@@ -148,7 +145,7 @@ SELECT source, "at"::INTEGER AS "at", coalesce(nth, 0)::INTEGER AS nth, coalesce
     "split_except": """SELECT o_custkey, 'early' AS part FROM (SELECT DISTINCT o_custkey FROM orders EXCEPT SELECT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01') UNION ALL SELECT c_custkey, 'never' FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
     "cache_key": "SELECT p_partkey, substr(md5(p_brand || '|' || p_type || '|' || p_size || '|v1'), 1, 12) AS key FROM part",
     "json_tolerant": "SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events",
-    "densify": f"WITH {FRAMES_SQL}, p AS (SELECT video, frame, value FROM frames WHERE kind = 'click') SELECT g.video, g.frame, p.value FROM (SELECT video, unnest(range(10, 30)) AS frame FROM (SELECT DISTINCT video FROM p)) g LEFT JOIN p ON p.video = g.video AND p.frame = g.frame",
+    "densify": f"WITH {FRAMES_SQL}, p AS (SELECT video, frame, value FROM frames WHERE kind = 'click') SELECT g.video, g.frame, p.value FROM (SELECT video, frame FROM frames) g LEFT JOIN p ON p.video = g.video AND p.frame = g.frame",
     "clear_windows": f"""WITH {FRAMES_SQL}, b AS (SELECT video, k AS x1, value AS y1, k + 8 AS x2, value + 6 AS y2 FROM frames WHERE kind = 'view'),
 w AS (SELECT video, i::INTEGER AS i, j::INTEGER AS j FROM (SELECT DISTINCT video FROM frames), range(10) a(i), range(10) c(j))
 SELECT video, i, j FROM w WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.video = w.video AND i * 10 < b.x2 + 0.1 * (b.x2 - b.x1) AND i * 10 + 5 > b.x1 - 0.1 * (b.x2 - b.x1) AND j * 10 < b.y2 + 0.1 * (b.y2 - b.y1) AND j * 10 + 5 > b.y1 - 0.1 * (b.y2 - b.y1))""",

@@ -22,6 +22,14 @@ def match_greedy(spark, d: str) -> DataFrame:
     return matching.match_greedy(*_pred_gt(spark, d), TOL)
 
 
+def matched_labels(spark, d: str) -> DataFrame:
+    """Hand and technique of each matched hit, truth beside what is said of it."""
+    f = frames(spark, d)
+    hand, technique = F.when(F.col("k") >= 50, "forehand").otherwise("backhand"), F.when(F.col("frame") < 5, "serve").when(F.col("frame") % 2 == 0, "loop").otherwise("block")
+    said, truth = (f.where(F.col("kind") == k).select("video", "frame", hand.alias("hand"), technique.alias("technique")) for k in ("click", "purchase"))
+    return matching.matched_labels(matching.match_greedy(*_pred_gt(spark, d), TOL), said, truth, "hand", "technique")
+
+
 def prf_by_video(spark, d: str) -> DataFrame:
     return matching.match_report(*_pred_gt(spark, d), TOL)
 
@@ -94,9 +102,12 @@ _ENDS = S._ALL + """,
 ends AS (SELECT video, frame, CASE WHEN k >= 50 THEN 'right' ELSE 'left' END AS winner FROM frames WHERE kind = 'signup'),
 en AS (SELECT e.video, e.frame, e.winner, arg_min(r.rally, r.rally)::BIGINT AS rally, arg_min(r.point_winner, r.rally) AS predicted FROM ends e LEFT JOIN rallies r ON r.video = e.video AND e.frame BETWEEN r.start AND r."end" + 3 GROUP BY ALL)"""
 
-QUERIES = {f.__name__: f for f in (match_greedy, prf_by_video, landing_asof, ball_counts, classification_report, rally_endings, rally_coverage, agreement, votes, history_delta)}
+QUERIES = {f.__name__: f for f in (match_greedy, matched_labels, prf_by_video, landing_asof, ball_counts, classification_report, rally_endings, rally_coverage, agreement, votes, history_delta)}
 SQL = {
     "match_greedy": f"WITH {_MATCH} SELECT video, p, g FROM m",
+    "matched_labels": f"""WITH {_MATCH}, l AS (SELECT video, frame, CASE WHEN k >= 50 THEN 'forehand' ELSE 'backhand' END AS hand, CASE WHEN frame < 5 THEN 'serve' WHEN frame % 2 = 0 THEN 'loop' ELSE 'block' END AS technique FROM frames),
+j AS (SELECT m.video, t.hand AS th, t.technique AS tt, s.hand AS sh, s.technique AS st FROM m JOIN l t ON t.video = m.video AND t.frame = m.g JOIN l s ON s.video = m.video AND s.frame = m.p)
+SELECT video, 'hand' AS target, th AS label, sh AS guess FROM j UNION ALL SELECT video, 'technique', tt, st FROM j""",
     "prf_by_video": f"""WITH {_MATCH}, c AS (SELECT v.video, (SELECT count(*) FROM pred WHERE pred.video = v.video) AS np, (SELECT count(*) FROM gt WHERE gt.video = v.video) AS ng, (SELECT count(*) FROM m WHERE m.video = v.video) AS tp
  FROM (SELECT video FROM pred UNION SELECT video FROM gt) v),
 t AS (SELECT video, sum(tp)::BIGINT AS tp, sum(np - tp)::BIGINT AS fp, sum(ng - tp)::BIGINT AS fn FROM c GROUP BY GROUPING SETS ((video), ()))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import labels as L
 from ..operators import detection, pose, presentation, sequence
@@ -36,7 +37,7 @@ def contour_candidates(spark, d: str) -> DataFrame:
 
 
 def median_corners(spark, d: str) -> DataFrame:
-    f = frames(spark, d).where("kind <> 'error'").withColumn("n_frames", F.lit(50))
+    f = frames(spark, d).withColumn("n_frames", F.count("*").over(Window.partitionBy("video"))).where("kind <> 'error'")
     pts = f.select("video", "frame", "n_frames", F.posexplode(F.array(F.struct(F.col("k").alias("x"), F.col("value").alias("y")), F.struct((F.col("k") + 10).alias("x"), (F.col("value") * 2).alias("y")))).alias("corner", "p"))
     return detection.median_corners(pts.select("video", "frame", "n_frames", "corner", "p.x", "p.y")).select("video", "corner", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n")
 
@@ -71,17 +72,37 @@ def best_epoch(spark, d: str) -> DataFrame:
     return presentation.best_epoch(o.select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 10000).alias("score")), "o_custkey", "o_orderkey", "score")
 
 
-def stroke_training(spark, d: str) -> DataFrame:
-    """The training matrix: labelled contacts with context by timing alone, handedness per video, and features."""
+def _labelled(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Labelled contacts with the segment that holds them, and the poses."""
     p = P.poses(spark, d).drop("vec_id")
-    hits = P._contacts(spark, d).withColumns({"side": F.when(F.col("frame") % 2 == 0, "left").otherwise("right"), "serve": F.lit(False), "score": F.lit(1.0)})
-    ctx = sequence.contexts(hits, 4.0)
-    hand = pose.handedness(pose.wrist_travel(p, hits, 4, 3)).select("video", F.col("hand").alias("racket"))
-    f = pose.stroke_features(ctx.join(hand, "video").select("video", "frame", "side", "racket"), p)
-    return f.join(ctx.select("video", "frame", "first_of_rally", "since_prev_s"), ["video", "frame"]).select("video", "frame", "side", "racket", "first_of_rally", "since_prev_s", F.size("features").alias("n_features"))
+    hits = P.strokes(spark, d).select("video", "frame", "side", "slope", "level")
+    return sequence.in_segments(hits, sequence.segments(hits.where("frame % 2 = 0"), 6, 4)), p
+
+
+def stroke_segments(spark, d: str) -> DataFrame:
+    return _labelled(spark, d)[0].select("video", "frame", "lo", "hi")
+
+
+def segment_handedness(spark, d: str) -> DataFrame:
+    """The racket hand from wrist travel around contacts, summed over the segments of a video."""
+    hits, p = _labelled(spark, d)
+    return pose.handedness(pose.wrist_travel(p, hits, 12, 6)).select("video", F.round("right", 4).alias("right"), F.round("left", 4).alias("left"), "hand")
+
+
+def stroke_training(spark, d: str) -> DataFrame:
+    """The training matrix: labelled contacts in segments, context by timing alone, handedness over segments, and features."""
+    hits, p = _labelled(spark, d)
+    ctx = sequence.contexts(hits.where("lo is not null").withColumn("serve", F.lit(False)), 4.0)
+    hand = pose.handedness(pose.wrist_travel(p, hits, 12, 6)).select("video", F.col("hand").alias("racket"))
+    f = pose.stroke_features(ctx.join(hand, "video"), p, P.ball(spark, d))
+    return f.select("video", "frame", "side", "racket", "first_of_rally", "since_prev_s", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
+
 
+_SEG = '''c AS (SELECT video, frame FROM pose WHERE frame % 9 = 4), e AS (SELECT video, greatest(frame - 6, 0) AS lo, frame + 4 AS hi FROM c WHERE frame % 2 = 0),
+q AS (SELECT *, sum(n) OVER (PARTITION BY video ORDER BY lo, hi) AS seg FROM (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY video ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM e) t),
+g AS (SELECT video, min(lo) AS lo, max(hi) AS hi FROM q GROUP BY video, seg)'''
 
-QUERIES = {f.__name__: f for f in (ball_trail, active_label, blob_candidates, contour_candidates, median_corners, compact_shots, prompts, request_errors, best_epoch, stroke_training)}
+QUERIES = {f.__name__: f for f in (ball_trail, active_label, blob_candidates, contour_candidates, median_corners, compact_shots, prompts, request_errors, best_epoch, stroke_segments, segment_handedness, stroke_training)}
 SQL = {
     "ball_trail": f"""WITH {TRAJ_SQL}, s AS (SELECT *, CASE WHEN sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) < 40 THEN 1 ELSE 0 END AS ok FROM traj WINDOW w AS (PARTITION BY video ORDER BY frame))
 SELECT video, frame, n::BIGINT AS n FROM (SELECT *, sum(ok) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS n FROM s) t WHERE x IS NOT NULL""",
@@ -90,10 +111,15 @@ SELECT video, frame, n::BIGINT AS n FROM (SELECT *, sum(ok) OVER (PARTITION BY v
 c AS (SELECT *, 0.5::DOUBLE * (area / (w * h)) + 0.5::DOUBLE * bright AS conf FROM b WHERE area BETWEEN 12 AND 900 AND greatest(w, h) <= 4 * greatest(least(w, h), 1))
 SELECT video, frame, id, rank::INTEGER AS rank, round(conf, 6) AS conf FROM (SELECT *, row_number() OVER (PARTITION BY video, frame ORDER BY conf DESC, id) AS rank FROM c) t WHERE rank <= 8""",
     "contour_candidates": f"WITH {FRAMES_SQL} SELECT video, frame FROM frames WHERE value > 2 AND k + 20 >= 24 AND k + 20 >= 2 * value / 8 AND (k + 20) * value / 8 >= 120 AND value + value / 16 >= 40",
-    "median_corners": f"""WITH {FRAMES_SQL}, p AS (SELECT video, 0 AS corner, k AS x, value AS y, frame FROM frames WHERE kind <> 'error' UNION ALL SELECT video, 1, k + 10, value * 2, frame FROM frames WHERE kind <> 'error')
-SELECT video, corner, round(median(x), 6) AS x, round(median(y), 6) AS y, count(*) AS n FROM p WHERE frame IN (0, 7, 14, 21, 28, 35, 42, 49) GROUP BY video, corner""",
+    "median_corners": f"""WITH {FRAMES_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY video) AS n_frames FROM frames), p AS (SELECT video, 0 AS corner, k AS x, value AS y, frame, n_frames FROM c WHERE kind <> 'error' UNION ALL SELECT video, 1, k + 10, value * 2, frame, n_frames FROM c WHERE kind <> 'error')
+SELECT video, corner, round(median(x), 6) AS x, round(median(y), 6) AS y, count(*) AS n FROM p WHERE list_contains(list_transform(range(8), lambda i: floor(i * ((n_frames - 1) / 7))::BIGINT), frame) GROUP BY video, corner""",
     "compact_shots": f"""WITH {R._SHOTS}, n AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY (rally * 10 + shots.n) * 1000000 + part) AS i FROM shots)
 SELECT player, count(*)::INTEGER AS n, string_agg(hand || '-' || technique, ',' ORDER BY i) AS shots FROM n WHERE i <= 5 GROUP BY player""",
+    "stroke_segments": f"""WITH {P._POSE}, {_SEG} SELECT c.video, c.frame, g.lo, g.hi FROM c LEFT JOIN g ON g.video = c.video AND c.frame BETWEEN g.lo AND g.hi""",
+    "segment_handedness": f"""WITH {P._POSE}, {_SEG},
+j AS (SELECT c.video, c.frame AS hit, p.frame, x[11] AS rx, y[11] AS ry, x[10] AS lx, y[10] AS ly FROM c JOIN g ON g.video = c.video AND c.frame BETWEEN g.lo AND g.hi JOIN pose p ON p.video = c.video AND p.frame BETWEEN greatest(c.frame - 12, g.lo) AND least(c.frame + 5, g.hi)),
+s AS (SELECT video, sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) AS r, sqrt(pow(lx - lag(lx) OVER w, 2) + pow(ly - lag(ly) OVER w, 2)) AS l FROM j WINDOW w AS (PARTITION BY video, hit ORDER BY frame)),
+t AS (SELECT video, coalesce(sum(r), 0) AS r, coalesce(sum(l), 0) AS l FROM s GROUP BY video) SELECT video, round(r, 4) AS "right", round(l, 4) AS "left", CASE WHEN l > r THEN 'L' ELSE 'R' END AS hand FROM t""",
     "prompts": f"""WITH {FRAMES_SQL} SELECT video, frame, md5('Label the stroke of the player on the ' || CASE WHEN k >= 50 THEN 'right' ELSE 'left' END || ' side.' || CASE frame % 3 WHEN 0 THEN ' The racket is in the left hand.' WHEN 1 THEN ' The racket is in the right hand.' ELSE '' END
  || ' Choose {_CHOICES}. Reply as one JSON object.') AS prompt FROM frames WHERE kind = 'click'""",
     "request_errors": """SELECT p_partkey, CASE WHEN p_partkey % 4 >= 2 THEN 'unsupported file type' WHEN p_partkey % 5 = 0 THEN 'side must be left or right' WHEN p_partkey % 7 = 0 THEN 'racket must be auto, left or right'

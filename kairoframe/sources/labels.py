@@ -42,18 +42,24 @@ def load_ball(spark: SparkSession, path: str) -> DataFrame:
     return b.select("video", "frame", F.when(seen, F.col("v.x")).alias("x"), F.when(seen, F.col("v.y")).alias("y"), seen.alias("visible"))
 
 
+def densify_all(points: DataFrame, lengths: DataFrame) -> DataFrame:
+    """One row per frame of each video of ``lengths`` (video, n_frames), with nulls where there is no point."""
+    grid = lengths.where("n_frames > 0").select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_frames") - 1)).alias("frame"))
+    return grid.join(points, ["video", "frame"], "left")
+
+
 def densify(points: DataFrame, start: int, n: int) -> DataFrame:
     """One row per video and frame of [start, start + n), with nulls where there is no point."""
     grid = points.select("video").distinct().select("video", F.explode(F.sequence(F.lit(start).cast("long"), F.lit(start + n - 1).cast("long"))).alias("frame")) if n > 0 else points.select("video", "frame").limit(0)
     return grid.join(points, ["video", "frame"], "left")
 
 
-def resolve(spark: SparkSession, names: DataFrame, column: str = "names") -> DataFrame:
-    """at, video: comma-separated group or video names in order, duplicates kept."""
-    parts = names.select(F.posexplode(F.split(column, ",")).alias("at", "name")).withColumn("name", F.trim("name"))
+def resolve(names: DataFrame, column: str = "names", *keys: str) -> DataFrame:
+    """``keys``, at, nth, video: comma-separated group or video names in order, duplicates kept."""
+    parts = names.select(*keys, F.posexplode(F.split(column, ",")).alias("at", "name")).withColumn("name", F.trim("name"))
     groups = F.create_map(*[x for k, v in GROUPS.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))])
     videos = F.coalesce(F.try_element_at(groups, F.col("name")), F.array("name"))
-    return parts.select("at", F.posexplode(videos).alias("nth", "video"))
+    return parts.select(*keys, "at", F.posexplode(videos).alias("nth", "video"))
 
 
 def split_of(video: Column) -> Column:

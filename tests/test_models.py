@@ -17,11 +17,50 @@ def test_heuristic(spark):
     assert r["a"]["technique"] == "serve" and r["b"]["technique"] == "unknown"
 
 
-def test_features_have_their_size_and_are_mirrored(spark):
+CONTACT = "video long, frame long, side string, racket string, first_of_rally boolean, since_prev_s double, slope double, level double"
+
+
+def body(spark):
     pts = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct((i * 3 % 7 + F.col("frame")).cast("double").alias("x"), (i * 10).cast("double").alias("y")))
-    poses = spark.range(40).select(F.lit(1).cast("long").alias("video"), F.col("id").alias("frame")).withColumn("pose", pts)
-    c = spark.createDataFrame([(1, 20, "left", "R"), (1, 20, "right", "R"), (1, 3, "right", "L")], "video long, frame long, side string, racket string")
-    got = {(r["frame"], r["side"]): r["features"] for r in pose.stroke_features(c, poses).collect()}
-    assert {len(v) for v in got.values()} == {9 * 13 * 2 + 6}
-    assert got[20, "left"][0] == -got[20, "right"][0] and got[20, "left"][1] == got[20, "right"][1]
+    return spark.range(60).select(F.lit(1).cast("long").alias("video"), F.col("id").alias("frame")).withColumn("pose", pts)
+
+
+def test_features_have_their_size_and_are_mirrored(spark):
+    ball = spark.range(60).select(F.lit(1).cast("long").alias("video"), F.col("id").alias("frame"), (F.col("id") * 3.0).alias("x"), F.when(F.col("id") != 25, F.col("id") * -2.0).alias("y"))
+    rows = [(1, 20, "left", "R", True, None, 0.5, 4.0), (1, 20, "right", "R", False, 1.5, None, None), (1, 3, "right", "L", False, 0.5, 0.5, 4.0), (1, 25, "left", "L", True, None, 0.5, 4.0)]
+    got = {(r["frame"], r["side"]): r["features"] for r in pose.stroke_features(spark.createDataFrame(rows, CONTACT), body(spark), ball).collect()}
+    assert {len(v) for v in got.values()} == {263} and len(got) == 4
+    left, right = got[20, "left"], got[20, "right"]
+    assert left[0] == -right[0] and left[1] == right[1]
     assert got[3, "right"][0] is None  # before the first frame
+    hip, sho = (11 * 3 % 7 + 12 * 3 % 7) / 2, (5 * 3 % 7 + 6 * 3 % 7) / 2
+    size = ((sho - hip) ** 2 + 60**2) ** 0.5
+    near = lambda a, b: abs(a - b) < 1e-9
+    assert near(right[249], 3 / size) and near(right[250], -2 / size) and near(left[251], -3.5 / size) and near(left[252], -7 / 3 / size)  # ball in and out; a missing sample isn't a step
+    assert near(right[253], (3.5**2 + (7 / 3) ** 2) ** 0.5 / size) and near(right[255], 7 / 6) and near(right[256], (60 - 20 - hip) / size)
+    assert right[258] is None and near(left[258], (-40 - 4 - 30) / size) and got[25, "left"][256] is None
+    assert left[259:] == [1.0, None, 1.0, 1.0] and right[259:] == [0.0, 1.5, 0.0, 0.0] and got[25, "left"][261] == 0.0
+
+
+def test_missing_torsos_take_the_median_of_the_frames_around(spark):
+    poses = body(spark).withColumn("pose", F.when(F.col("frame") == 20, F.transform("pose", lambda p: F.when(p["y"] < 100, p))).otherwise(F.col("pose")))
+    rows = [(1, f, "right", "R", False, 0.5, None, None) for f in (19, 20)]
+    none = spark.createDataFrame([], "video long, frame long, x double, y double")
+    got = {r["frame"]: r["features"] for r in pose.stroke_features(spark.createDataFrame(rows, CONTACT), poses, none).collect()}
+    # the hips of frames 0 to 39 but 20 have their middle at frame 19, at x = 3 + 19; the nose is at x = 18 two frames before
+    assert abs(got[20][4 * 26] - (18 - 22) / (60**2 + 0.5**2) ** 0.5) < 1e-9 and got[20][5 * 26 + 14] is None and got[20][5 * 26] is not None
+
+
+def test_players_stay_where_they_were(spark):
+    people = spark.createDataFrame([(1, 0, 1, 80.0, 0.0, 90.0, 50.0), (1, 0, 2, 150.0, 0.0, 160.0, 60.0)], "video long, frame long, id long, x1 double, y1 double, x2 double, y2 double")
+    before = spark.createDataFrame([(1, "right", 85.0)], "video long, side string, x double")
+    assert pose.choose_players(people, 60.0, 8.0).first()["id"] == 2 and pose.choose_players(people, 60.0, 8.0, before).first()["id"] == 1
+
+
+def test_all_targets_and_their_report_by_side(spark):
+    y = F.when(F.col("id") % 2 == 0, "a").otherwise("b")
+    rows = spark.range(120).select("id", *[y.alias(t) for t in models.TARGETS], F.when(F.col("id") % 3 == 0, "left").otherwise("right").alias("side"), F.array((F.col("id") % 2).cast("double")).alias("features"))
+    said = models.predict_all(models.fit_all(rows.where("id < 80"), trees=5, depth=2), rows.where("id >= 80"))
+    got = {r["target"]: (r["n"], r["accuracy"], r["macro_f1"]) for r in models.side_report(said).collect()}
+    assert got == {t: (rows.where("id >= 80 and side = 'right'").count(), 1.0, 1.0) for t in models.TARGETS}
+    assert models.side_report(said, None).first()["n"] == 40

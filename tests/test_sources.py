@@ -19,7 +19,7 @@ def test_json_readers(spark, tmp_path):
 
 def test_resolve_keeps_order_and_duplicates(spark):
     n = spark.createDataFrame([("val, test_2,val",)], "names string")
-    assert [r["video"] for r in labels.resolve(spark, n).orderBy("at", "nth").collect()] == ["game_5", "test_2", "game_5"]
+    assert [r["video"] for r in labels.resolve(n).orderBy("at", "nth").collect()] == ["game_5", "test_2", "game_5"]
     hands = {(r["video"], r["side"]): r["hand"] for r in labels.racket_truth(spark.createDataFrame([("test_3",), ("game_1",)], "video string")).collect()}
     assert hands == {("test_3", "left"): "R", ("test_3", "right"): "L", ("game_1", "left"): "R", ("game_1", "right"): "R"}
     assert spark.range(1).select(labels.ball_file(F.lit("game_4"))).first()[0] == "ball_data/train/train_4.json"
