@@ -5,7 +5,7 @@ Symbols are the most frequent words, the end of a text, and classes of all other
 of a class then takes its share of the class by its smoothed count, so that every word has a probability and they sum
 to one. With one word of context the likelihood depends on the corpus only through its symbol bigrams. Those, and every
 word's count, are gathered over all training texts (summed per task, then by key); the bigrams of a fixed number of symbols
-are bounded, so that training needs no sample: each step takes the exact noise-contrastive gradient over the whole table
+are bounded, so that training needs no sample and one task holds them: each step takes the exact noise-contrastive gradient over the whole table
 in matrix products. Normalised log-probabilities of all pairs are one more matrix product.
 
 Word counts stay a table. The ``KNOWN`` most frequent ones are looked up in the scan; the rest are joined by word, after
@@ -21,6 +21,7 @@ their own, equal scores; texts are scored whole.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -42,6 +43,8 @@ KNOWN = 1 << 18
 DIM = 32
 NOISE = 10
 STEPS = 200
+#: Contexts that training works on at a time.
+ROWS = 256
 #: The end of a text in the table of counts.
 END = -(1 << 63)
 SMOOTH = 0.1
@@ -114,8 +117,8 @@ class Symbols:
         return cur, before, owner
 
 
-def count_bigrams(texts: DataFrame, symbols: Symbols) -> np.ndarray:
-    """How often each symbol follows each other one, over all texts."""
+def count_bigrams(texts: DataFrame, symbols: Symbols) -> DataFrame:
+    """cell, n: how often each symbol follows each other one (cell: the first one's number times their number, plus the other's)."""
     s = symbols.size
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,59 +132,89 @@ def count_bigrams(texts: DataFrame, symbols: Symbols) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
-    got = texts.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(s * s)
-    table[got.column("cell").to_numpy()] = got.column("n").to_numpy()
-    return table.reshape(s, s)
+    return texts.mapInArrow(counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    """log10 of the softmax of each row."""
-    z = z.astype(np.float64)
-    z -= z.max(1, keepdims=True)
-    return (z - np.log(np.exp(z).sum(1, keepdims=True))) / np.log(10)
+def _log_softmax(r: np.ndarray, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """log10 of the softmax of r . q + b over all q, for each r; rows in blocks."""
+    out = np.empty((len(r), len(q)), np.float32)
+    for i in range(0, len(r), ROWS):
+        z = (r[i : i + ROWS] @ q.T + b).astype(np.float64)
+        z -= z.max(1, keepdims=True)
+        out[i : i + ROWS] = (z - np.log(np.exp(z).sum(1, keepdims=True))) / np.log(10)
+    return out
 
 
-def _fit(table: np.ndarray, steps: int, seed: int, against: np.ndarray | None = None) -> tuple[np.ndarray, int]:
-    """Adam on the noise-contrastive objective of a bigram table; log10 P(w | v) and the number of steps taken.
+def _fit(table: np.ndarray, steps: int, seed: int, against: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Adam on the noise-contrastive objective of a bigram table; r, q, b and the number of steps taken.
 
-    With ``against``, the number is the one (of every tenth, from 0) with the best likelihood of that other table.
+    With ``against``, the number is the one (of every tenth, from 0) with the best likelihood of that other table. The
+    contexts of a step go through in blocks of ``ROWS``, so that no more than the tables themselves is held.
     """
-    s, total = len(table), table.sum()
+    s, total = len(table), float(table.sum(dtype=np.float64))
     rng = np.random.default_rng(seed)
     r, q = (rng.normal(0, 0.1, (s, DIM)).astype(np.float32) for _ in range(2))
-    noise = ((table.sum(0) + 0.5) / (total + 0.5 * s)).astype(np.float32)
+    noise = ((table.sum(0, dtype=np.float64) + 0.5) / (total + 0.5 * s)).astype(np.float32)
     if not steps or not total:
-        return np.tile(np.log10(noise / noise.sum(dtype=np.float64)), (s, 1)), 0
-    data = (table / total).astype(np.float32)
-    context = data.sum(1, keepdims=True)
+        return np.zeros_like(r), np.zeros_like(q), np.log(noise), 0
+    context = (table.sum(1, dtype=np.float64) / total).astype(np.float32)[:, None]
     b = np.log(noise)
     base = np.log(NOISE * noise)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (r, q, b)]
-    best, taken = (float((against * np.log10(noise)).sum()), 0) if against is not None else (0.0, steps)
+    likelihood = lambda logs: float(sum((x * y).sum(dtype=np.float64) for x, y in zip(against, logs, strict=True)))
+    best, taken = (likelihood(np.broadcast_to(np.log10(noise), (s, s))), 0) if against is not None else (0.0, steps)
     for step in range(1, steps + 1):
-        fake = 1 / (1 + np.exp(-np.clip(r @ q.T + b - base, -30, 30)))  # odds that a pair is no noise
-        g = NOISE * context * noise * fake - data * (1 - fake)
+        slopes = [np.zeros_like(p) for p in (r, q, b)]
+        for i in range(0, s, ROWS):
+            own = slice(i, i + ROWS)
+            fake = 1 / (1 + np.exp(-np.clip(r[own] @ q.T + (b - base), -30, 30)))  # odds that a pair is no noise
+            g = NOISE * context[own] * noise * fake - table[own] / np.float32(total) * (1 - fake)
+            slopes[0][own] = g @ q
+            slopes[1] += g.T @ r[own]
+            slopes[2] += g.sum(0)
         rate = 0.05 * (1 - step / (STEPS + 1))
-        for p, grad, m in zip((r, q, b), (g @ q, g.T @ r, g.sum(0)), moments, strict=True):
+        for p, grad, m in zip((r, q, b), slopes, moments, strict=True):
             grad = grad * s
             m[0] += 0.1 * (grad - m[0])
             m[1] += 0.001 * (grad * grad - m[1])
             p -= (rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-6)).astype(np.float32)
-        if against is not None and step % 10 == 0 and (now := float((against * _log_softmax(r @ q.T + b)).sum())) > best:
+        if against is not None and step % 10 == 0 and (now := likelihood(_log_softmax(r, q, b))) > best:
             best, taken = now, step
-    return _log_softmax(r @ q.T + b), taken
+    return r, q, b, taken
 
 
-def train(table: np.ndarray, seed: int = 3) -> np.ndarray:
-    """log10 P(w | v) for all symbols v, w.
+def fit_table(table: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, q, b of a bigram table.
 
     A fifth of the tokens, drawn at random, first tells how many steps help on tokens that weren't fitted (none, on a
     small corpus without any order); then the whole table is fitted for so many.
     """
-    apart = np.random.default_rng(seed).binomial(table.astype(np.int64), 0.2).astype(float)
-    _, steps = _fit(table - apart, STEPS, seed, apart)
-    return _fit(table, steps, seed)[0]
+    rng = np.random.default_rng(seed)
+    apart = np.empty_like(table)
+    for i, row in enumerate(table):
+        apart[i] = rng.binomial(row.astype(np.int64), 0.2)
+    steps = _fit(table - apart, STEPS, seed, apart)[3]
+    del apart
+    return _fit(table, steps, seed)[:3]
+
+
+def train(bigrams: DataFrame, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """r, q, b of the counts of ``s`` symbols' bigrams: one task holds the table, whose size ``s`` bounds, and gives the vectors."""
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(s * s, np.float32)
+        for x in batches:
+            table[x.column(0).to_numpy()] = x.column(1).to_numpy()
+        r, q, b = fit_table(table.reshape(s, s))
+        each = np.full(s, DIM)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(s, dtype=np.int32)), W.lists(r.reshape(-1), each, pa.float32()), W.lists(q.reshape(-1), each, pa.float32()), pa.array(b, pa.float32())], ["i", "r", "q", "b"])
+        W.release()
+
+    got = bigrams.repartition(1).mapInArrow(fitted, "i int, r array<float>, q array<float>, b float").toArrow().combine_chunks().sort_by("i")
+    if not len(got):
+        return np.zeros((s, DIM), np.float32), np.zeros((s, DIM), np.float32), np.zeros(s, np.float32)
+    r, q = (np.array(got.column(k).to_pylist(), np.float32) for k in ("r", "q"))
+    return r, q, got.column("b").to_numpy().astype(np.float32)
 
 
 @dataclass
@@ -189,7 +222,7 @@ class Model:
     """Everything a scan needs: symbols, their log-probabilities, class sizes, known counts, and totals."""
 
     symbols: Symbols
-    table: np.ndarray
+    vectors: tuple[np.ndarray, np.ndarray, np.ndarray]  # r, q and b of the symbols
     class_log: np.ndarray  # log10 of a class's smoothed size
     known: W.HashSet
     known_log: np.ndarray  # log10 of a known word's smoothed count
@@ -198,6 +231,11 @@ class Model:
     types: int
     least: int  # words counted at least so often are known
 
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        """log10 P(w | v) for all symbols v, w; each worker works it out once."""
+        return _log_softmax(*self.vectors)
+
     @property
     def base_log(self) -> float:
         return float(np.log10(self.tokens + SMOOTH * (self.types + 1)))
@@ -230,8 +268,8 @@ def learn(texts: DataFrame) -> tuple[Model, DataFrame]:
         class_n[r["k"]], class_v[r["k"]] = r["n"], r["v"]
     np.subtract.at(class_n, common_k, common_n)
     np.subtract.at(class_v, common_k, 1)
-    table = train(count_bigrams(texts, symbols))
-    model = Model(symbols, table, np.log10(class_n + SMOOTH * (class_v + 1)), known, known_log, int(ends), int((n * m).sum()), int(m.sum()), least)
+    vectors = train(count_bigrams(texts, symbols), symbols.size)
+    model = Model(symbols, vectors, np.log10(class_n + SMOOTH * (class_v + 1)), known, known_log, int(ends), int((n * m).sum()), int(m.sum()), least)
     return model, counts
 
 
@@ -290,7 +328,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     ship(spark)
-    held = spark.sparkContext.broadcast(model)  # bounded by KNOWN counts and the squared number of symbols
+    held = spark.sparkContext.broadcast(model)  # bounded by KNOWN counts and the vectors of the symbols
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out(id_col, 10).alias("held_out")).mapInArrow(_scan(lambda: held.value), _ROWS)
     rare = counts.where(f"n < {model.least}").select("h", F.col("n").alias("c"))
     joined = rows.join(rare, "h", "left")
