@@ -94,9 +94,12 @@ class Index:
         blocks = max(1, -(-len(vectors) // BLOCK))
         place = term * blocks + ex // BLOCK
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
-        top = np.maximum.reduceat(value, first) if len(first) else np.zeros(0)
+        top = np.maximum.reduceat(value.astype(np.float32), first) if len(first) else np.zeros(0)
         entries = np.searchsorted(term[first], np.arange(len(keys.keys) + 1))
-        return Index(keys, weight, np.array(doc_ids, np.int64), np.array(labels, np.int64), entries, (ex[first] // BLOCK).astype(np.int32), top, np.append(first, len(place)), ex.astype(np.int32), value)
+        small = np.int16 if len(vectors) < 1 << 15 else np.int32
+        return Index(
+            keys, weight.astype(np.float32), np.array(doc_ids, np.int64), np.array(labels, np.int8), entries.astype(np.int32), (ex[first] // BLOCK).astype(small), top.astype(np.float32), np.append(first, len(place)).astype(np.int32), ex.astype(small), value.astype(np.float32)
+        )
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine with a unit vector, and the cosines; ties by example number."""
@@ -134,12 +137,12 @@ def _runs(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers from each begin up to its end, and which run each is of."""
     n = end - begin
     own = np.repeat(np.arange(len(n)), n)
-    return np.arange(len(own)) + (begin - np.cumsum(n) + n)[own], own
+    return np.arange(len(own)) + (begin - np.cumsum(n, dtype=np.int64) + n)[own], own
 
 
 def unit(weight: np.ndarray, term: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The unit vector of a text's terms."""
-    w = (1.0 + np.log(count)) * weight[term]
+    w = (1.0 + np.log(count)) * weight[term].astype(float)
     return w / max(np.sqrt((w * w).sum()), 1e-12)
 
 
@@ -272,6 +275,7 @@ def calibration_votes(rows: DataFrame, index: Index) -> list[tuple[float, float,
             yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in votes], pa.float64()), pa.array([v[1] for v in votes], pa.float64()), b.column(1)], ["vote", "top", "y"])
 
     got = rows.select("text", "y").mapInArrow(voted, "vote double, top double, y int").collect()  # LIMIT rows at most
+    held.destroy()  # each task has its votes out; the same index goes out once more with the model
     return sorted((r["vote"], r["top"], r["y"]) for r in got)
 
 

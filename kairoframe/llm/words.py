@@ -200,6 +200,16 @@ class HashSet:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.unique(np.asarray(keys, U64))
+        self._map()
+
+    def __getstate__(self):
+        return self.keys
+
+    def __setstate__(self, keys: np.ndarray):
+        self.keys = keys
+        self._map()
+
+    def _map(self) -> None:
         bits = max(12, min(24, int(len(self.keys)).bit_length() + 4))
         self.mask = U64((1 << bits) - 1)
         self.map = np.zeros(1 << bits, bool)

@@ -186,10 +186,10 @@ def test_neighbours_are_exact(monkeypatch, seed, at_once):
         t, c = vectors[i]
         e, s = index.nearest(t, toxicity.unit(weight, t, c), 7)
         cos = table_ @ table_[i]
-        order = np.lexsort((np.arange(n), -np.round(cos, 12)))
+        order = np.lexsort((np.arange(n), -np.round(cos, 7)))
         order = order[cos[order] > 1e-12][:7]
-        np.testing.assert_allclose(s, cos[order], atol=1e-9)
-        np.testing.assert_allclose(cos[e], cos[order], atol=1e-9)
+        np.testing.assert_allclose(s, cos[order], atol=1e-6)
+        np.testing.assert_allclose(cos[e], cos[order], atol=1e-6)
 
 
 def brute_terms():
@@ -242,7 +242,7 @@ def test_toxicity_query_equals_brute_force(spark, tmp_path):
             vote = sum(s * s * y for s, _, y in near) / (sum(s * s for s, *_ in near) + toxicity.DOUBT)
             z = model.coef @ [1, vote, vote * near[0][0]]
             want = 1 / (1 + math.exp(-z))
-        assert abs(got[(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0)]["score"] - want) < 1e-6
+        assert abs(got[(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0)]["score"] - want) < 1e-5
 
 
 def test_ties_among_examples_go_to_the_lower_ids():
@@ -271,7 +271,7 @@ def test_lm_base_scores_and_normalisation(spark):
         a, b, base, h = want[r["id"]][0]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["held_out"]) == (a, b, n, h) and abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
         assert r["score"] < 0
-    np.testing.assert_allclose((10**model.table).sum(1), 1, atol=1e-9)
+    np.testing.assert_allclose((10 ** model.table.astype(float)).sum(1), 1, atol=1e-5)
     fresh = [r for r in got if r["held_out"] and r["n_tokens"] > 50]
     assert fresh and sum(r["score"] for r in fresh) > 1.01 * sum(r["base_score"] for r in fresh)  # words without order: no worse
 
@@ -290,7 +290,7 @@ def test_lm_with_a_tie_of_counts_larger_than_what_is_known(spark, monkeypatch):
         w = W.words_of(texts[r["id"]], W.SOLID)
         cur, before, _ = model.symbols.sequence(w, s := model.symbols.of(w))
         shares = [0.0 if x < 30 else math.log10(2.1) - model.class_log[x - 30] for x in s.tolist()]
-        assert abs(r["score"] - model.table[before, cur].sum() - sum(shares)) < 1e-9
+        assert abs(r["score"] - model.table[before, cur].sum(dtype=float) - sum(shares)) < 1e-6
 
 
 def test_lm_on_an_empty_corpus(spark, tmp_path):
