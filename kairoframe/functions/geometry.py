@@ -44,6 +44,12 @@ class TableShape:
         self.m_per_px = LENGTH_M / self.length_px
         self.x_range = (float(c[:, 0].min()), float(c[:, 0].max()))
 
+    def over(self, x: Column, y: Column) -> Column:
+        """Whether a point is over the table in the image, a little to either side, above and below it."""
+        (x0, x1), ys = self.x_range, [c[1] for c in self.corners]
+        side = 0.03 * (x1 - x0)
+        return x.between(x0 - side, x1 + side) & y.between(min(ys) - 0.06 * self.length_px, max(ys) + 0.02 * self.length_px)
+
     def surface_y(self, x: Column) -> Column:
         """Height in the image of the table's near edge at a column of pixels."""
         (rx, ry), (lx, ly) = self.corners[2], self.corners[3]

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geometry import polygon_distance
 from ..session import ship
 from .report import top_k
 
@@ -60,3 +61,14 @@ def median_corners(found: DataFrame, tries: int = 8) -> DataFrame:
     step = (F.col("n_frames") - 1) / (tries - 1)
     picked = F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda i: F.floor(i * step))
     return found.where(F.array_contains(picked, F.col("frame"))).groupBy("video", "corner").agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count("*").alias("n"))
+
+
+def restrict_to_table(candidates: DataFrame, people: DataFrame, corners: list[tuple[float, float]], frame_height: float, keep: float = 0.5, margin: float = 1.0) -> DataFrame:
+    """candidates (video, frame, x, y, conf) with removed: uncertain ones farther from the table than a player is tall.
+
+    people: video, y1, y2. Without people in a video the distance is 0.4 of the frame's height. Tracks of what is left are
+    ``tracker.link(found.where("not removed"), ...)``; the number removed is a count.
+    """
+    tall = people.groupBy("video").agg(F.percentile(F.col("y2") - F.col("y1"), 0.5).alias("_tall"))
+    far = polygon_distance(F.col("x"), F.col("y"), corners) < -margin * F.coalesce("_tall", F.lit(0.4 * frame_height))
+    return candidates.join(tall, "video", "left").withColumn("removed", F.coalesce((F.col("conf") < keep) & far, F.lit(False))).drop("_tall")

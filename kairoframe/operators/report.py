@@ -104,3 +104,13 @@ def findings(r: DataFrame) -> Column:
 def shot_label(*parts: Column) -> Column:
     """Non-empty, known parts joined by two spaces."""
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "") & (p != "unknown")), "  ")
+
+
+def number_shots(shots: DataFrame, rally_hits: DataFrame) -> DataFrame:
+    """shots (video, frame, side) with n (from 1 per video and side) and the rally whose hit is in their frame, if one is.
+
+    rally_hits: video, frame, rally; of several in a frame the last rally counts.
+    """
+    of = rally_hits.groupBy("video", "frame").agg(F.max("rally").alias("rally"))
+    order = Window.partitionBy("video", "side").orderBy("frame")
+    return shots.withColumn("n", F.row_number().over(order)).join(of, ["video", "frame"], "left")

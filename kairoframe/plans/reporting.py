@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry
-from ..operators import report
+from ..operators import detection, report, sequence
 from ..sources.views import FRAMES_SQL, frames, table, trajectory
 from . import signal as S
 
@@ -98,6 +98,27 @@ def polygon_restrict(spark, d: str) -> DataFrame:
     return f.select("video", "frame", F.round(dist, 6).alias("distance"), conf.alias("conf")).where((F.col("conf") >= 0.5) | (F.col("distance") >= -10.0))
 
 
+def restricted_candidates(spark, d: str) -> DataFrame:
+    """Candidates left and removed per video, by the median height of people in it."""
+    f = frames(spark, d).where("kind <> 'error'")
+    c = f.select("video", "frame", F.col("k").alias("x"), F.col("value").alias("y"), ((F.col("secs") % 100) / 100).alias("conf"))
+    people = f.where("frame % 3 = 0").select("video", F.col("k").alias("y1"), (F.col("k") + F.col("value") / 10).alias("y2"))
+    found = detection.restrict_to_table(c, people, CORNERS, 100.0)
+    return found.groupBy("video").agg(F.count_if("removed").alias("removed"), F.count_if(~F.col("removed")).alias("kept"))
+
+
+def table_bounces(spark, d: str) -> DataFrame:
+    """Bounces over the table, by its halves."""
+    b = S._bounces(spark, d)
+    u, _ = geometry.to_table(F.col("x"), F.col("y"), TABLE.h)
+    return b.where(TABLE.over(F.col("x"), F.col("y"))).select("video", "frame", geometry.half(u).alias("half"))
+
+
+def numbered_shots(spark, d: str) -> DataFrame:
+    n = report.number_shots(S._hits(spark, d).select("video", "frame", "side"), sequence.alternate(S._sessions(spark, d)))
+    return n.select("video", "frame", "side", "n", "rally")
+
+
 def coaching_tips(spark, d: str) -> DataFrame:
     s = shots(spark, d)
     t = report.totals(s, "player", places=6)
@@ -139,7 +160,7 @@ def _edge_sql(a, b) -> tuple[str, str]:
 _EDGES = [_edge_sql(a, b) for a, b in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True)]
 _DIST = f"(CASE WHEN {' AND '.join(e[1] for e in _EDGES)} THEN 1 ELSE -1 END) * least({', '.join(e[0] for e in _EDGES)})"
 
-QUERIES = {f.__name__: f for f in (report_totals, technique_counts, won_lost, keyframes, topk_candidates, shot_speed, ball_visible, homography, placements, polygon_restrict, coaching_tips, report_json, shot_labels)}
+QUERIES = {f.__name__: f for f in (report_totals, technique_counts, won_lost, keyframes, topk_candidates, shot_speed, ball_visible, homography, placements, polygon_restrict, restricted_candidates, table_bounces, numbered_shots, coaching_tips, report_json, shot_labels)}
 SQL = {
     "report_totals": f"WITH {_TOTALS} SELECT * FROM totals",
     "technique_counts": f"""WITH {_SHOTS} SELECT player, technique, n, row_number() OVER (PARTITION BY player ORDER BY n DESC, f)::INTEGER AS rank FROM (SELECT player, technique, count(*) AS n, min((rally * 10 + shots.n) * 1000000 + part) AS f FROM shots GROUP BY ALL) t""",
@@ -156,6 +177,13 @@ SELECT h.video, h.frame, h.side, CASE WHEN n >= 3 AND v > 3 AND v < 200 THEN rou
 SELECT video, frame, side, round(u, 3) AS u, round(v, 3) AS v, round(CASE WHEN side = 'right' THEN (1.37 - u) / 1.37 ELSE (u - 1.37) / 1.37 END, 3) AS depth FROM p, (VALUES ('right'), ('left')) s(side)
 WHERE side <> CASE WHEN u < 1.37 THEN 'left' ELSE 'right' END AND u BETWEEN -0.2 AND 2.94""",
     "polygon_restrict": f"WITH {FRAMES_SQL} SELECT video, frame, distance, conf FROM (SELECT video, frame, round({_DIST}, 6) AS distance, (secs % 100) / 100 AS conf FROM frames WHERE kind <> 'error') t WHERE conf >= 0.5 OR distance >= -10.0",
+    "restricted_candidates": f"""WITH {FRAMES_SQL}, t AS (SELECT video, median((k + value / 10) - k) AS tall FROM frames WHERE kind <> 'error' AND frame % 3 = 0 GROUP BY video),
+c AS (SELECT video, (secs % 100) / 100 < 0.5 AND {_DIST} < -1.0 * coalesce(tall, 40.0) AS removed FROM frames LEFT JOIN t USING (video) WHERE kind <> 'error')
+SELECT video, count(*) FILTER (removed) AS removed, count(*) FILTER (NOT removed) AS kept FROM c GROUP BY video""",
+    "table_bounces": f"""WITH {S._BOUNCES} SELECT video, frame, CASE WHEN {_U} < 1.37 THEN 'left' ELSE 'right' END AS half FROM bounces
+WHERE x BETWEEN {TABLE.x_range[0] - 0.03 * (TABLE.x_range[1] - TABLE.x_range[0])!r} AND {TABLE.x_range[1] + 0.03 * (TABLE.x_range[1] - TABLE.x_range[0])!r} AND y BETWEEN {25.0 - 0.06 * TABLE.length_px!r} AND {75.0 + 0.02 * TABLE.length_px!r}""",
+    "numbered_shots": f"""WITH {S._HITS} {S._SESS}, a AS (SELECT video, frame, max(rally) AS rally FROM alt GROUP BY video, frame)
+SELECT h.video, h.frame, h.side, row_number() OVER (PARTITION BY h.video, h.side ORDER BY h.frame)::INTEGER AS n, a.rally::BIGINT AS rally FROM hits h LEFT JOIN a ON a.video = h.video AND a.frame = h.frame""",
     "coaching_tips": f"""WITH {_TOTALS}, c AS (SELECT player, count(*) FILTER (lean = 'back_heavy') AS back, count(*) FILTER (feet <> 'both_feet_planted') AS lifted, count(*) FILTER (technique = 'push') AS push, count(*) FILTER (technique = 'loop') AS loop,
  count(*) FILTER (n = 1 AND NOT won) AS lost, count(*) FILTER (n = 1 AND NOT won AND outcome = 'net') AS nets, count(*) FILTER (n = 1 AND NOT won AND outcome = 'out') AS outs FROM shots GROUP BY player),
 r AS (SELECT player, strokes, list_filter([CASE WHEN forehand + backhand >= 6 AND backhand / (forehand + backhand) < 0.25 THEN 'Backhand is under-used' END, CASE WHEN forehand + backhand >= 6 AND backhand / (forehand + backhand) > 0.75 THEN 'Forehand is under-used' END,
