@@ -41,9 +41,11 @@ STEM = 6
 SHRINK = 5.0
 #: Weight against a vote, in squared cosines: far neighbours alone say little.
 DOUBT = 0.02
-#: Example numbers in a block, and blocks that are read together first (twice as many each time after that).
+#: Share of the examples from which on a term's weights stand in a row of all examples instead of postings.
+COMMON = 1 / 32
+#: Example numbers in a block, and blocks that are read together first (eight times as many each time after that).
 BLOCK = 64
-AT_ONCE = 4
+AT_ONCE = 8
 NEIGHBOURS = 10
 
 
@@ -69,12 +71,17 @@ def doc_terms(c: W.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Index:
-    """Unit vectors of examples as postings by term and block of examples; only blocks that a term is in have an entry."""
+    """Unit vectors of examples as postings by term and block of examples; only blocks that a term is in have an entry.
+
+    Terms of many examples have a row of weights over all examples instead; their part of a cosine is worked out whole.
+    """
 
     keys: W.HashSet
     weight: np.ndarray  # per term, its factor
     doc_ids: np.ndarray
     labels: np.ndarray
+    row: np.ndarray  # per term, its row of ``common``, or -1
+    common: np.ndarray
     entries: np.ndarray  # per term, where its entries begin
     block: np.ndarray  # per entry, the block
     top: np.ndarray  # per entry, the largest weight
@@ -91,39 +98,55 @@ class Index:
         term, value = cat([t for t, _ in vectors], np.int64), cat(units, np.float64)
         o = np.lexsort((ex, term))
         term, ex, value = term[o], ex[o], value[o]
-        blocks = max(1, -(-len(vectors) // BLOCK))
+        blocks, m = max(1, -(-len(vectors) // BLOCK)), len(keys.keys)
+        many = np.flatnonzero(np.bincount(term, minlength=m) > max(BLOCK, COMMON * len(vectors)))
+        row = np.full(m, -1, np.int32)
+        row[many] = np.arange(len(many))
+        common = np.zeros((len(many), len(vectors)), np.float32)
+        wide = row[term] >= 0
+        common[row[term[wide]], ex[wide]] = value[wide]
+        term, ex, value = term[~wide], ex[~wide], value[~wide]
         place = term * blocks + ex // BLOCK
         first = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
         top = np.maximum.reduceat(value.astype(np.float32), first) if len(first) else np.zeros(0)
         entries = np.searchsorted(term[first], np.arange(len(keys.keys) + 1))
-        small = np.int16 if len(vectors) < 1 << 15 else np.int32
         return Index(
-            keys, weight.astype(np.float32), np.array(doc_ids, np.int64), np.array(labels, np.int8), entries.astype(np.int32), (ex[first] // BLOCK).astype(small), top.astype(np.float32), np.append(first, len(place)).astype(np.int32), ex.astype(small), value.astype(np.float32)
+            keys, weight.astype(np.float32), np.array(doc_ids, np.int64), np.array(labels, np.int8), row, common, entries.astype(np.int32), (ex[first] // BLOCK).astype(np.int32), top.astype(np.float32), np.append(first, len(place)).astype(np.int32), ex.astype(np.int32), value.astype(np.float32)
         )
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest positive cosine with a unit vector, and the cosines; ties by example number."""
+        """The k examples of highest positive cosine with a unit vector, and the cosines (to 7 places); ties by example number."""
+        n, row = len(self.labels), self.row[term]
+        wide = row >= 0
+        base = np.einsum("t,te->e", weight[wide].astype(np.float32), self.common[row[wide]]) if wide.any() else np.zeros(n, np.float32)
+        term, weight = term[~wide], weight[~wide]
         at, own = _runs(self.entries[term], self.entries[term + 1])
         block, w = self.block[at], weight[own]
-        bound = np.bincount(block, weights=w * self.top[at], minlength=1)
+        edges = np.arange(0, n, BLOCK)
+        bound = (np.maximum.reduceat(base, edges) if n else base) + np.bincount(block, weights=w * self.top[at], minlength=len(edges))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        rank = np.full(len(bound), len(bound))
+        rank = np.full(len(bound), len(bound), np.int32)
         rank[order] = np.arange(len(order))
-        sorted_by = np.argsort(rank[block], kind="stable")
-        at, w, place = at[sorted_by], w[sorted_by], rank[block][sorted_by]
+        place = rank[block]
+        by_rank = np.argsort(place, kind="stable")
+        at, w, place = at[by_rank], w[by_rank], place[by_rank]
         best_e, best_s, done, step = np.zeros(0, np.int64), np.zeros(0), 0, AT_ONCE
-        while done < len(order) and not (len(best_e) >= k and bound[order[done]] < best_s.min() - 1e-9):
+        while done < len(order) and not (len(best_e) >= k and bound[order[done]] < best_s.min() - 1e-6):
             i, j = np.searchsorted(place, (done, done + step))
-            p, which = _runs(self.postings[at[i:j]], self.postings[at[i:j] + 1])
-            score = np.bincount(self.example[p], weights=self.value[p] * w[i:j][which], minlength=1)
-            e = np.flatnonzero(score > 0)
-            best_e, best_s = np.concatenate([best_e, e]), np.concatenate([best_s, score[e]])
+            begin = self.postings[at[i:j]]
+            which = self.postings[at[i:j] + 1] - begin
+            p = np.arange(which.sum()) + np.repeat(begin - np.cumsum(which) + which, which)
+            score = np.bincount(self.example[p], weights=self.value[p] * np.repeat(w[i:j], which), minlength=n)
+            e = (order[done : done + step, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            e = e[e < n]
+            s = np.round(score[e] + base[e], 7)
+            best_e, best_s = np.concatenate([best_e, e[s > 0]]), np.concatenate([best_s, s[s > 0]])
             if len(best_e) > k:
                 near = np.flatnonzero(best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k])
                 near = near[np.lexsort((best_e[near], -best_s[near]))[:k]]
                 best_e, best_s = best_e[near], best_s[near]
-            done, step = done + step, 2 * step
+            done, step = done + step, 8 * step
         o = np.lexsort((best_e, -best_s))
         return best_e[o], best_s[o]
 

@@ -172,6 +172,8 @@ def test_toxicity_without_labels(spark):
 @pytest.mark.parametrize("at_once", [1, 4])
 def test_neighbours_are_exact(monkeypatch, seed, at_once):
     monkeypatch.setattr(toxicity, "AT_ONCE", at_once)
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "COMMON", 0.08)  # some terms have rows, some postings
     rng = np.random.default_rng(seed)
     n, m = 400, 50
     dense = np.where(rng.random((n, m)) < 0.08, rng.integers(1, 4, (n, m)), 0)
