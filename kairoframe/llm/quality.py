@@ -179,9 +179,9 @@ def _measurer(passage_words: int):
 
 
 def assess(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", out: str = "quality") -> DataFrame:  # noqa: B008
-    """``docs`` with a column ``out``: the measures, base_failed, reasons (what failed) and kept."""
+    """``docs`` with a column ``out`` (one of that name is replaced): the measures, base_failed, reasons (what failed) and kept."""
     ship(docs.sparkSession)
-    tmp, r = f"__{out}", rules
+    tmp, r = W.fresh(docs, "measures"), rules
     m = F.col(tmp)
     n = m["n_words"].cast("double")
     base = (m["n_words"] < r.min_words) | (m["n_repeat_words"] > r.max_repeat_share * n)
@@ -199,8 +199,9 @@ def assess(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", out:
 
 
 def filter_quality(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:  # noqa: B008
-    """The rows of ``docs`` that pass, with their own columns."""
-    return assess(docs, rules, text_col, "__quality").where(F.col("__quality")["kept"]).drop("__quality")
+    """The rows of ``docs`` that pass, with their own columns, whatever their names."""
+    out = W.fresh(docs, "quality")
+    return assess(docs, rules, text_col, out).where(F.col(out)["kept"]).drop(out)
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

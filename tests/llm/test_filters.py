@@ -163,6 +163,10 @@ def test_quality_measures_and_verdicts(spark):
     by = {r["text"]: r["q"] for r in got}
     assert by[prose(1, 200)]["kept"] and by[prose(3, 20000)]["kept"] and "symbols" in by["##% " * 100]["reasons"]
     assert by[texts[-3]]["n_passage_words"] >= 120
+    clash = table(spark, texts).selectExpr("*", "'own' AS __quality", "'own' AS __measures", "'own' AS quality")
+    assert quality.filter_quality(clash).columns == clash.columns
+    assert [r["__quality"] for r in quality.filter_quality(clash).collect()] == ["own"] * quality.filter_quality(clash).count()
+    assert quality.assess(clash).columns == clash.columns
     kept = quality.filter_quality(table(spark, texts))
     assert kept.columns == table(spark, texts).columns and kept.count() == sum(r["q"]["kept"] for r in got)
     assert quality.assess(table(spark, texts).limit(0)).count() == 0
