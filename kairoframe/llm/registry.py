@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, near_dup, quality, sentencepiece_codec, token_counts, toxicity
+from . import decontaminate, html_extract, language_id, license_scan, line_dedup, lm_score, near_dup, periodic_runs, quality, sentencepiece_codec, token_counts, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_near_dedup": near_dup.op9_near_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op13_periodic_runs": periodic_runs.op13_periodic_runs,
 }
 SQL = {
     "op2_benchmark_decontamination": decontaminate.OP2_SQL,
     "op3_license_scans": license_scan.OP3_SQL,
     "op9_near_dedup": near_dup.OP9_SQL,
     "op11_line_dedup": line_dedup.OP11_SQL,
+    "op13_periodic_runs": periodic_runs.OP13_SQL,
 }
