@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .matching import classification_report
 
 #: Features of another version are not read by a model.
-FEATURE_VERSION = 1
+FEATURE_VERSION = 2  # 263 values; version 1 had 240
 
 
 def dense(features: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.geometry import angle
+from .signal import own, with_margin
 
 # Indices of the 17-point order that are used.
 NOSE, L_SHO, R_SHO, L_ELB, R_ELB, L_WRI, R_WRI, L_HIP, R_HIP, L_KNE, R_KNE, L_ANK, R_ANK = 0, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16
@@ -65,7 +66,7 @@ def handedness(travel: DataFrame) -> DataFrame:
     return travel.withColumn("hand", F.when(F.col("left") > F.col("right"), "L").otherwise("R"))
 
 
-def choose_players(people: DataFrame, net_x: float, margin: float, before: DataFrame | None = None) -> DataFrame:
+def choose_players(people: DataFrame, net_x: float | Column, margin: float | Column, before: DataFrame | None = None) -> DataFrame:
     """The tallest person of each frame clearly on either side of the net. people: video, frame, id, x1, y1, x2, y2.
 
     Where ``before`` (video, side, x) says where a side's player was seen last, height loses half the distance from there.
@@ -80,6 +81,76 @@ def choose_players(people: DataFrame, net_x: float, margin: float, before: DataF
     return p.groupBy("video", "frame", "side").agg(best.alias("b")).select("video", "frame", "side", (-F.col("b.i")).alias("id"), F.col("b.height").alias("height"))
 
 
+def follow_players(people: DataFrame, net_x: float | Column, margin: float | Column, block: int = 256) -> DataFrame:
+    """``choose_players`` frame by frame: height loses half the distance to where the side's player was chosen last.
+
+    A frame's choice depends on the frame before it, and through it on all frames before. So a video is cut into blocks of
+    frames, each worked through in one task for every place that the player can have had before it (one for each person on
+    that side in the last frame with any). How blocks lead from place to place is then followed over a video's blocks, one row
+    each, and picks one course of each block. The same sums are made as frame by frame, so the choice is exactly the same.
+    Of equal scores the least id is chosen. ``net_x`` and ``margin`` may be columns, for videos of their own scale.
+    """
+    key = ["video", "side"]
+    c = (F.col("x1") + F.col("x2")) / 2
+    p = people.withColumns({"side": F.when(c >= net_x + margin, "right").when(c <= net_x - margin, "left"), "_c": c, "_h": F.col("y2") - F.col("y1")}).where("side is not null")
+    seen = p.groupBy(*key, "frame").agg(F.sort_array(F.collect_list(F.struct("id", F.col("_c").alias("c"), F.col("_h").alias("h")))).alias("people"))
+    blocks = seen.groupBy(*key, F.floor(F.col("frame") / block).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("frame", "people"))).alias("_frames"))
+    before = Window.partitionBy(*key).orderBy("_block")
+    last = F.element_at("_frames", -1)["people"]
+    none = F.array(F.lit(None).cast("double"))
+    blocks = blocks.withColumn("_from", F.coalesce(F.lag(F.transform(last, lambda x: x["c"])).over(before), none))
+
+    def choose(people: Column, x: Column) -> Column:
+        scored = F.transform(people, lambda q: F.struct((q["h"] - F.coalesce(0.5 * F.abs(q["c"] - x), F.lit(0.0))).alias("score"), (-q["id"]).alias("i"), q["c"].alias("c"), q["h"].alias("h")))
+        return F.array_max(scored)
+
+    def course(frames: Column, x: Column) -> Column:
+        """frame, id, c, h of the choices of a block that begins with a player at x."""
+        kind = "struct<x:double,out:array<struct<frame:bigint,id:bigint,c:double,h:double>>>"
+        start = F.struct(x.alias("x"), F.array().alias("out")).cast(kind)
+
+        def step(acc: Column, f: Column) -> Column:
+            row = lambda b: F.struct(b["c"].alias("x"), F.concat(acc["out"], F.array(F.struct(f["frame"].cast("long").alias("frame"), (-b["i"]).cast("long").alias("id"), b["c"].alias("c"), b["h"].alias("h")))).alias("out")).cast(kind)
+            return F.get(F.transform(F.array(choose(f["people"], acc["x"])), row), F.lit(0))
+
+        return F.aggregate(frames, start, step)["out"]
+
+    blocks = blocks.withColumn("_courses", F.transform("_from", lambda x: course(F.col("_frames"), x)))
+    # Where a course ends, as a place among the people of the block's last frame: the next block's places to begin from.
+    end_id = lambda run: F.element_at(run, -1)["id"]
+    ends = F.transform("_courses", lambda run: F.array_position(F.transform(last, lambda q: q["id"].cast("long")), end_id(run)).cast("int"))
+    chain = blocks.select(*key, "_block", ends.alias("_ends")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("_block", "_ends"))).alias("_chain"))
+    picks = F.aggregate(
+        "_chain",
+        F.array(F.lit(1)),
+        lambda acc, b: F.concat(acc, F.array(F.element_at(b["_ends"], F.element_at(acc, -1)))),
+    )
+    chain = chain.withColumn("_picks", picks).select(*key, F.posexplode(F.transform("_chain", lambda b: b["_block"])).alias("_n", "_block"), "_picks")
+    chain = chain.select(*key, "_block", F.get("_picks", F.col("_n")).alias("_pick"))
+    out = blocks.join(chain, [*key, "_block"]).select(*key, F.explode(F.element_at("_courses", F.col("_pick"))).alias("r"))
+    return out.select("video", "r.frame", "side", "r.id", F.col("r.c").alias("x"), F.col("r.h").alias("height"))
+
+
+def fill_poses(poses: DataFrame, max_gap: int = 8) -> DataFrame:
+    """poses with gaps filled whole: every point's x, y and conf on the line between the poses around a gap.
+
+    A pose counts where its first point is there. Two such poses 2 to ``max_gap`` frames apart have a gap; a point that either
+    of them lacks stays missing, and nothing is extrapolated. poses: video, frame, pose (array of x, y, conf), dense frames.
+    """
+    here = F.get(F.col("pose"), NOSE)
+    known = F.when(here.isNotNull() & here["x"].isNotNull(), F.struct(F.col("frame").alias("f"), F.col("pose").alias("p")))
+    w = Window.partitionBy("video", "_bucket").orderBy("frame")
+    df = with_margin(poses, max_gap)
+    df = df.withColumns({"_a": F.last(known, True).over(w.rowsBetween(-max_gap, 0)), "_b": F.first(known, True).over(w.rowsBetween(0, max_gap))})
+    gap = F.col("_b.f") - F.col("_a.f")
+    share = (F.col("frame") - F.col("_a.f")) / gap
+    between = lambda a, b, c: (a[c] + share * (b[c] - a[c])).alias(c)
+    both = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(*[between(a, b, c) for c in ("x", "y", "conf")]))
+    missing = here.isNull() | here["x"].isNull()
+    filled = F.when(missing & (gap > 1) & (gap <= max_gap), F.zip_with(F.col("_a.p"), F.col("_b.p"), both)).otherwise(F.col("pose"))
+    return own(df.withColumn("pose", filled)).drop("_a", "_b")
+
+
 def around_contacts(contacts: DataFrame, poses: DataFrame, ball: DataFrame, offsets: list[int], into: list[int], out: list[int], reach: int = 20) -> DataFrame:
     """contacts with what is seen around them.
 
@@ -132,13 +203,14 @@ def stroke_features(contacts: DataFrame, poses: DataFrame, ball: DataFrame, kt:
         "_mirror": F.when(F.col("side") == "left", -1.0).otherwise(1.0),
     })
     size, hip, mirror = F.col("_size"), F.col("_hip"), F.col("_mirror")
-    norm = lambda p: F.struct(((p["x"] - hip["x"]) / size * mirror).alias("x"), ((p["y"] - hip["y"]) / size).alias("y"))
+    per_torso = lambda v: F.try_divide(v, size)  # noqa: E731  nothing where the torso has no length
+    norm = lambda p: F.struct((per_torso(p["x"] - hip["x"]) * mirror).alias("x"), per_torso(p["y"] - hip["y"]).alias("y"))
 
     def arms(p: Column) -> Column:
         return F.when(F.col("racket") == "L", F.array(*[point(p, MIRRORED.get(i, i)) for i in range(17)])).when(p.isNotNull(), p)
 
     def speed(ball: Column) -> Column:  # in torso lengths a frame at 120 a second
-        step = lambda c: (ball["last"][c] - ball["first"][c]) / (ball["n"] - 1) / kt / size
+        step = lambda c: per_torso((ball["last"][c] - ball["first"][c]) / (ball["n"] - 1) / kt)
         return F.when(ball["n"] >= 2, F.struct((step("x") * mirror).alias("x"), step("y").alias("y")))
 
     rows = rows.withColumns({f"_k{i}": F.transform(arms(F.col(f"p{i}")), norm) for i in range(len(OFFSETS))} | {"_in": speed(F.col("into")), "_out": speed(F.col("out"))})
@@ -158,7 +230,7 @@ def stroke_features(contacts: DataFrame, poses: DataFrame, ball: DataFrame, kt:
     ]
     flight = [
         v_in["x"], v_in["y"], v_out["x"], v_out["y"], fast, F.degrees(F.atan2(-v_out["y"], -v_out["x"])), fast / F.greatest(F.hypot(v_in["x"], v_in["y"]), F.when(v_in.isNotNull(), F.lit(1e-3))),
-        norm(b0)["x"], norm(b0)["y"], (b0["y"] - F.col("level") - F.col("slope") * b0["x"]) / size,
+        norm(b0)["x"], norm(b0)["y"], per_torso(b0["y"] - F.col("level") - F.col("slope") * b0["x"]),
     ]
     flag = lambda c: c.cast("double")
     context = [flag(F.col("first_of_rally")), F.col("since_prev_s"), flag((F.col("side") == "left") == (F.col("racket") == "R")), flag(F.col("side") == "left")]

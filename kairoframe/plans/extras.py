@@ -76,7 +76,7 @@ def _labelled(spark, d: str) -> tuple[DataFrame, DataFrame]:
     """Labelled contacts with the segment that holds them, and the poses."""
     p = P.poses(spark, d).drop("vec_id")
     hits = P.strokes(spark, d).select("video", "frame", "side", "slope", "level")
-    return sequence.in_segments(hits, sequence.segments(hits.where("frame % 2 = 0"), 6, 4)), p
+    return sequence.in_segments(hits, sequence.segments(hits, 6, 4)), p
 
 
 def stroke_segments(spark, d: str) -> DataFrame:
@@ -98,7 +98,7 @@ def stroke_training(spark, d: str) -> DataFrame:
     return f.select("video", "frame", "side", "racket", "first_of_rally", "since_prev_s", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
 
 
-_SEG = '''c AS (SELECT video, frame FROM pose WHERE frame % 9 = 4), e AS (SELECT video, greatest(frame - 6, 0) AS lo, frame + 4 AS hi FROM c WHERE frame % 2 = 0),
+_SEG = '''c AS (SELECT video, frame FROM pose WHERE frame % 9 = 4), e AS (SELECT video, greatest(frame - 6, 0) AS lo, frame + 4 AS hi FROM c),
 q AS (SELECT *, sum(n) OVER (PARTITION BY video ORDER BY lo, hi) AS seg FROM (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY video ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM e) t),
 g AS (SELECT video, min(lo) AS lo, max(hi) AS hi FROM q GROUP BY video, seg)'''
 

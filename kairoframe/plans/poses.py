@@ -49,6 +49,19 @@ def select_players(spark, d: str) -> DataFrame:
     return p.select("video", "frame", "side", "id", F.round("height", 6).alias("height"))
 
 
+def followed_players(spark, d: str) -> DataFrame:
+    """The players frame by frame, each near to where it was chosen last."""
+    p = pose.follow_players(_boxes(spark, d), 60.0, 8.0, 8)
+    return p.select("video", "frame", "side", "id", F.round("x", 6).alias("x"), F.round("height", 6).alias("height"))
+
+
+def filled_poses(spark, d: str) -> DataFrame:
+    """Each point of each pose after filling gaps of whole poses."""
+    whole = F.transform("pose", lambda p, i: F.when(p.isNotNull(), F.struct(p["x"].alias("x"), p["y"].alias("y"), ((F.col("vec_id") + i) % 10 / 10).alias("conf"))))
+    f = pose.fill_poses(poses(spark, d).select("video", "frame", whole.alias("pose")), 8)
+    return f.select("video", "frame", F.posexplode("pose").alias("i", "p")).select("video", "frame", "i", *[F.round(f"p.{c}", 6).alias(c) for c in ("x", "y", "conf")])
+
+
 def iou_best(spark, d: str) -> DataFrame:
     """Each box with the other box of its frame that it overlaps most, over a tenth."""
     b = _boxes(spark, d)
@@ -171,7 +184,7 @@ SELECT video, frame, i::INTEGER AS i, round(nx, 5) AS value FROM r UNION ALL SEL
 UNION ALL SELECT video, frame, (233 + n)::INTEGER, round(vs[n], 5) FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS n FROM e) u"""
 
 
-QUERIES = {f.__name__: f for f in (joint_angles, torso_fallback, handedness, select_players, iou_best, same_row, stroke_features, track_link, tracklet_paint, tracklet_scores, stroke_rf, heuristic_strokes, stream_sessions)}
+QUERIES = {f.__name__: f for f in (joint_angles, torso_fallback, handedness, select_players, followed_players, filled_poses, iou_best, same_row, stroke_features, track_link, tracklet_paint, tracklet_scores, stroke_rf, heuristic_strokes, stream_sessions)}
 SQL = {
     "joint_angles": f"WITH {_POSE} SELECT vec_id, {_angle_sql(6, 8, 10)} AS right_elbow, {_angle_sql(5, 7, 9)} AS left_elbow, {_angle_sql(12, 14, 16)} AS right_knee, {_angle_sql(11, 13, 15)} AS left_knee, round({_TORSO}, 4) AS torso FROM pose",
     "torso_fallback": f"""WITH {_POSE}, t AS (SELECT *, {_TORSO} AS t FROM pose)
@@ -181,6 +194,16 @@ s AS (SELECT video, sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w,
 t AS (SELECT video, coalesce(sum(r), 0) AS r, coalesce(sum(l), 0) AS l FROM s GROUP BY video) SELECT video, round(r, 4) AS "right", round(l, 4) AS "left", CASE WHEN l > r THEN 'L' ELSE 'R' END AS hand FROM t""",
     "select_players": f"""WITH {_BOXES}, s AS (SELECT *, CASE WHEN (x1 + x2) / 2 >= 68 THEN 'right' WHEN (x1 + x2) / 2 <= 52 THEN 'left' END AS side, y2 - y1 AS height FROM b)
 SELECT video, frame, side, id, round(height, 6) AS height FROM (SELECT *, row_number() OVER (PARTITION BY video, frame, side ORDER BY height DESC, id) AS rn FROM s WHERE side IS NOT NULL) t WHERE rn = 1""",
+    "followed_players": f"""WITH RECURSIVE {_BOXES}, s AS (SELECT *, (x1 + x2) / 2 AS x, y2 - y1 AS height, CASE WHEN (x1 + x2) / 2 >= 68 THEN 'right' WHEN (x1 + x2) / 2 <= 52 THEN 'left' END AS side FROM b),
+c AS (SELECT video, side, frame, id, x, height, dense_rank() OVER (PARTITION BY video, side ORDER BY frame) AS n FROM s WHERE side IS NOT NULL),
+walk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video, side ORDER BY height DESC, id) AS rn FROM c WHERE n = 1) t WHERE rn = 1
+ UNION ALL SELECT * FROM (SELECT c.*, row_number() OVER (PARTITION BY c.video, c.side ORDER BY c.height - 0.5::DOUBLE * abs(c.x - w.x) DESC, c.id) AS rn FROM walk w JOIN c ON c.video = w.video AND c.side = w.side AND c.n = w.n + 1) t WHERE rn = 1)
+SELECT video, frame, side, id, round(x, 6) AS x, round(height, 6) AS height FROM walk""",
+    "filled_poses": f"""WITH {_POSE}, k AS (SELECT video, frame, vec_id, i, x[i + 1] AS x, y[i + 1] AS y, CASE WHEN x[i + 1] IS NOT NULL THEN (vec_id + i) % 10 / 10 END AS conf, x[1] AS first FROM pose, (SELECT unnest(range(17)) AS i) r),
+g AS (SELECT k.*, (SELECT max(frame) FROM k a WHERE a.video = k.video AND a.i = 0 AND a.frame <= k.frame AND a.first IS NOT NULL) AS a, (SELECT min(frame) FROM k b WHERE b.video = k.video AND b.i = 0 AND b.frame >= k.frame AND b.first IS NOT NULL) AS b FROM k),
+j AS (SELECT g.video, g.frame, g.i, g.first IS NULL AND coalesce(g.b - g.a BETWEEN 2 AND 8, false) AND p.x IS NOT NULL AND q.x IS NOT NULL AS filled, g.first IS NULL AND coalesce(g.b - g.a BETWEEN 2 AND 8, false) AS gap, (g.frame - g.a) / (g.b - g.a) AS share, g.x, g.y, g.conf, p.x AS px, p.y AS py, p.conf AS pc, q.x AS qx, q.y AS qy, q.conf AS qc
+ FROM g LEFT JOIN k p ON p.video = g.video AND p.frame = g.a AND p.i = g.i LEFT JOIN k q ON q.video = g.video AND q.frame = g.b AND q.i = g.i)
+SELECT video, frame, i::INTEGER AS i,  {', '.join(f"round(CASE WHEN filled THEN p{c[0]} + share * (q{c[0]} - p{c[0]}) WHEN NOT gap THEN {c} END, 6) AS {c}" for c in ('x', 'y', 'conf'))} FROM j""",
     "iou_best": f"""WITH {_BOXES}, j AS (SELECT a.video, a.frame, a.id, c.id AS other, greatest(0.0, least(a.x2, c.x2) - greatest(a.x1, c.x1)) * greatest(0.0, least(a.y2, c.y2) - greatest(a.y1, c.y1)) AS i, (a.x2 - a.x1) * (a.y2 - a.y1) + (c.x2 - c.x1) * (c.y2 - c.y1) AS u
  FROM b a JOIN b c ON a.video = c.video AND a.frame = c.frame AND a.id <> c.id), r AS (SELECT video, frame, id, other, round(i / (u - i + 1e-9), 6) AS iou FROM j)
 SELECT video, frame, id, iou, other FROM (SELECT *, row_number() OVER (PARTITION BY video, frame, id ORDER BY iou DESC, other) AS rn FROM r WHERE iou > 0.1) t WHERE rn = 1""",

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from kairoframe.operators import models, pose
@@ -64,3 +65,20 @@ def test_all_targets_and_their_report_by_side(spark):
     got = {r["target"]: (r["n"], r["accuracy"], r["macro_f1"]) for r in models.side_report(said).collect()}
     assert got == {t: (rows.where("id >= 80 and side = 'right'").count(), 1.0, 1.0) for t in models.TARGETS}
     assert models.side_report(said, None).first()["n"] == 40
+
+
+def test_a_torso_without_length_gives_nothing_and_stops_nothing(spark):
+    flat = F.transform(F.sequence(F.lit(0), F.lit(16)), lambda i: F.struct(F.lit(5.0).alias("x"), F.lit(6.0).alias("y")))
+    poses = spark.range(60).select(F.lit(1).cast("long").alias("video"), F.col("id").alias("frame"), flat.alias("pose"))
+    ball = spark.range(60).select(F.lit(1).cast("long").alias("video"), F.col("id").alias("frame"), (F.col("id") * 3.0).alias("x"), (F.col("id") * 2.0).alias("y"))
+    got = pose.stroke_features(spark.createDataFrame([(1, 20, "left", "R", True, None, 0.5, 4.0)], CONTACT), poses, ball).first()["features"]
+    assert len(got) == 263 and set(got[:259]) == {None} and got[259:] == [1.0, None, 1.0, 1.0]
+
+
+def test_a_model_of_other_features_is_refused(spark, tmp_path):
+    rows = spark.range(40).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("hand"), F.array((F.col("id") % 2).cast("double")).alias("features"))
+    model = models.fit(rows, "hand", trees=2, depth=2)
+    model.write().save(f"{tmp_path}/v1")  # as the version before wrote it
+    assert models.FEATURE_VERSION == 2
+    with pytest.raises(Exception, match="v2"):
+        models.load(str(tmp_path))
