@@ -1,4 +1,4 @@
-"""Table geometry and pose geometry as column expressions; only a homography's eight numbers are solved on the driver."""
+"""Table geometry and pose geometry as column expressions, for one table or for one in each row."""
 
 from __future__ import annotations
 
@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import bound
+
 #: Table length and width in metres.
 LENGTH_M, WIDTH_M = 2.74, 1.525
 
@@ -19,8 +21,80 @@ def homography(corners: list[tuple[float, float]], length: float = LENGTH_M, wid
     return [*np.linalg.solve(np.array(rows, float), np.array(right, float)).tolist(), 1.0]
 
 
-def to_table(x: Column, y: Column, h: list[float]) -> tuple[Column, Column]:
-    """Image point to metres on the table; null where the point is at infinity."""
+def _named(**values: Column) -> Column:
+    return F.struct(*[v.alias(k) for k, v in values.items()])
+
+
+def _map(p: Column) -> Column:
+    """Entries a to h of the map of the unit square to four points (x0, y0 to x3, y3), each step worked out once."""
+    sides = _named(sx=p["x0"] - p["x1"] + p["x2"] - p["x3"], sy=p["y0"] - p["y1"] + p["y2"] - p["y3"], ax=p["x1"] - p["x2"], ay=p["y1"] - p["y2"], bx=p["x3"] - p["x2"], by=p["y3"] - p["y2"])
+
+    def bent(s: Column) -> Column:
+        below = s["ax"] * s["by"] - s["bx"] * s["ay"]
+        return _named(g=F.try_divide(s["sx"] * s["by"] - s["bx"] * s["sy"], below), h=F.try_divide(s["ax"] * s["sy"] - s["sx"] * s["ay"], below))
+
+    def whole(q: Column) -> Column:
+        g, h = q["g"], q["h"]
+        return _named(a=p["x1"] - p["x0"] + g * p["x1"], b=p["x3"] - p["x0"] + h * p["x3"], c=p["x0"], d=p["y1"] - p["y0"] + g * p["y1"], e=p["y3"] - p["y0"] + h * p["y3"], f=p["y0"], g=g, h=h)
+
+    return bound(sides, lambda s: bound(bent(s), whole))
+
+
+def _back(m: Column, length: float, width: float) -> Column:
+    """The adjugate of a map, which leads back, with the unit square stretched to length and width; null if it is singular."""
+    a, b, c, d, e, f, g, h = (m[k] for k in "abcdefgh")
+    rows = [e - f * h, c * h - b, b * f - c * e, f * g - d, a - c * g, c * d - a * f, d * h - e * g, b * g - a * h, a * e - b * d]
+    scale = [length] * 3 + [width] * 3 + [1.0] * 3
+    return F.when(a * rows[0] + b * rows[3] + c * rows[6] != 0, F.array(*[v * k for v, k in zip(rows, scale, strict=True)]))
+
+
+def _points(corners: list[tuple[Column, Column]]) -> Column:
+    return _named(**{f"{c}{i}": v.cast("double") for i, p in enumerate(corners) for c, v in zip("xy", p, strict=True)})
+
+
+def solved(corners: list[tuple[Column, Column]], length: float = LENGTH_M, width: float = WIDTH_M) -> Column:
+    """The nine entries of ``homography``'s map, up to a factor, as an array, for corners that differ by row.
+
+    The map of the unit square to four points has a closed form, and its adjugate leads back. Null where three corners lie on
+    a line, or one is missing.
+    """
+    return bound(_points(corners), lambda p: bound(_map(p), lambda m: _back(m, length, width)))
+
+
+def table_of(corners: list[tuple[Column, Column]]) -> Column:
+    """A table's scalars from its corners (far left, far right, near right, near left) as a struct; null without a table.
+
+    h: entries of the map to metres; net_x, length_px, m_per_px; x0, x1, y0, y1: the corners' range; slope and level: height
+    in the image of the near edge, level + slope * x.
+    """
+
+    def scalars(p: Column) -> Column:
+        xs, ys = ([p[f"{c}{i}"] for i in range(4)] for c in "xy")
+        plain = _named(
+            map=_map(p), length_px=(F.hypot(xs[1] - xs[0], ys[1] - ys[0]) + F.hypot(xs[2] - xs[3], ys[2] - ys[3])) / 2,
+            x0=F.least(*xs), x1=F.greatest(*xs), y0=F.least(*ys), y1=F.greatest(*ys), slope=(ys[2] - ys[3]) / F.greatest(xs[2] - xs[3], F.lit(1e-6)), x=xs[3], y=ys[3],
+        )
+        return bound(plain, lambda t: bound(_named(h=_back(t["map"], LENGTH_M, WIDTH_M), t=t), placed))
+
+    def placed(v: Column) -> Column:
+        t, m = v["t"], v["t"]["map"]
+        net = F.try_divide((m["a"] + m["b"]) / 2 + m["c"], (m["g"] + m["h"]) / 2 + 1)
+        keep = {k: t[k] for k in ("length_px", "x0", "x1", "y0", "y1", "slope")}
+        return F.when(v["h"].isNotNull() & net.isNotNull(), _named(h=v["h"], net_x=net, m_per_px=F.try_divide(F.lit(LENGTH_M), t["length_px"]), level=t["y"] - t["slope"] * t["x"], **keep))
+
+    return bound(_points(corners), scalars)
+
+
+def over_table(table: Column, x: Column, y: Column) -> Column:
+    """``TableShape.over`` with the scalars of ``table_of``."""
+    side = 0.03 * (table["x1"] - table["x0"])
+    return x.between(table["x0"] - side, table["x1"] + side) & y.between(table["y0"] - 0.06 * table["length_px"], table["y1"] + 0.02 * table["length_px"])
+
+
+def to_table(x: Column, y: Column, h: list[float] | Column) -> tuple[Column, Column]:
+    """Image point to metres on the table; null where the point is at infinity. h: nine numbers, or an array column of them."""
+    if isinstance(h, Column):
+        h = [F.get(h, i) for i in range(9)]
     w = h[6] * x + h[7] * y + h[8]
     return F.try_divide(h[0] * x + h[1] * y + h[2], w), F.try_divide(h[3] * x + h[4] * y + h[5], w)
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.labels import mirrored
+from .signal import own, with_margin
 
 
 def expand(strokes: DataFrame, jitters: tuple[int, ...], labels: tuple[str, ...] = ("side", "lean", "feet")) -> DataFrame:
@@ -27,8 +30,9 @@ def with_neighbours(frames: DataFrame) -> DataFrame:
 
 def triplets(frames: DataFrame, value: str) -> DataFrame:
     """Each frame's value with the ones before and after; at the ends its own is repeated."""
-    w = Window.partitionBy("video").orderBy("frame")
-    return frames.select("video", "frame", F.coalesce(F.lag(value).over(w), value).alias("prev"), F.col(value).alias("cur"), F.coalesce(F.lead(value).over(w), value).alias("next"))
+    w = Window.partitionBy("video", "_bucket").orderBy("frame")
+    near = with_margin(frames.select("video", "frame", F.col(value).alias("cur")), 1)
+    return own(near.withColumns({"prev": F.coalesce(F.lag("cur").over(w), "cur"), "next": F.coalesce(F.lead("cur").over(w), "cur")})).select("video", "frame", "prev", "cur", "next")
 
 
 def turns(conversations: DataFrame) -> DataFrame:
@@ -38,11 +42,23 @@ def turns(conversations: DataFrame) -> DataFrame:
     return c.where("role = 'user' and _role = 'assistant'").select("conv_id", "turn", F.col("text").alias("prompt"), "answer")
 
 
-def clear_of(windows: DataFrame, boxes: DataFrame, grow: float = 0.1) -> DataFrame:
-    """Windows (video, x1, y1, x2, y2) that no box of their video, grown by a share of its size, touches."""
-    w, h = F.col("b.x2") - F.col("b.x1"), F.col("b.y2") - F.col("b.y1")
-    touch = (F.col("w.x1") < F.col("b.x2") + grow * w) & (F.col("w.x2") > F.col("b.x1") - grow * w) & (F.col("w.y1") < F.col("b.y2") + grow * h) & (F.col("w.y2") > F.col("b.y1") - grow * h)
-    return windows.alias("w").join(boxes.alias("b"), (F.col("w.video") == F.col("b.video")) & touch, "left_anti")
+def clear_of(windows: DataFrame, boxes: DataFrame, grow: float = 0.1, cell: float = 256.0) -> DataFrame:
+    """Windows (video, x1, y1, x2, y2) that no box of their video, grown by a share of its size, touches.
+
+    Windows and grown boxes meet in the cells of a grid that they both reach into, not in their whole video.
+    """
+    edges = ("x1", "y1", "x2", "y2")
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    grown = boxes.select("video", (F.col("x1") - grow * w).alias("x1"), (F.col("y1") - grow * h).alias("y1"), (F.col("x2") + grow * w).alias("x2"), (F.col("y2") + grow * h).alias("y2"))
+
+    def cells(df: DataFrame) -> DataFrame:
+        along = lambda c: F.explode(F.sequence(F.floor(F.least(f"{c}1", f"{c}2") / cell), F.floor(F.greatest(f"{c}1", f"{c}2") / cell)))
+        return df.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in edges])).withColumn("_cx", along("x")).withColumn("_cy", along("y"))
+
+    touch = (F.col("a.x1") < F.col("b.x2")) & (F.col("a.x2") > F.col("b.x1")) & (F.col("a.y1") < F.col("b.y2")) & (F.col("a.y2") > F.col("b.y1"))
+    same = reduce(Column.__and__, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("video", "_cx", "_cy")])
+    touched = cells(windows.select("video", *edges)).alias("a").join(cells(grown).alias("b"), same & touch, "left_semi").select("video", *edges).distinct()
+    return windows.join(touched, ["video", *edges], "left_anti").select(*windows.columns)
 
 
 def seeded_sample(rows: DataFrame, n: int, seed: int, *keys: str) -> DataFrame:

@@ -98,3 +98,21 @@ def classification_report(rows: DataFrame, truth: str, guess: str, *keys: str) -
     by = long.groupBy(*keys, s["label"].alias("label")).agg(F.sum(F.when(s["t"], F.col("n")).otherwise(0)).alias("support"), F.sum(F.when(~s["t"], F.col("n")).otherwise(0)).alias("guessed"), F.sum(F.when(s["ok"], F.col("n")).otherwise(0)).alias("hit"))
     f1 = 2 * F.col("hit") / (F.col("support") + F.col("guessed"))
     return by.where("support > 0").groupBy(*keys).agg(F.sum("support").alias("n"), F.round(F.sum("hit") / F.sum("support"), 4).alias("accuracy"), F.round(F.avg(f1), 4).alias("macro_f1"))
+
+
+def unless_unlabelled(counts: DataFrame, unlabelled: tuple, *columns: str, key: str = "video") -> DataFrame:
+    """counts with nulls in ``columns`` for videos that have no such labels: nothing is known of them, which isn't nothing found."""
+    known = ~F.col(key).isin(*unlabelled) if unlabelled else F.lit(True)
+    return counts.withColumns({c: F.when(known, F.col(c)) for c in columns})
+
+
+def answer_accuracy(rows: DataFrame, targets: tuple[str, ...], answer: str = "answer", reply: str = "reply") -> DataFrame:
+    """n, <target>_acc and bad_json of replies that should be JSON objects, against answers that are.
+
+    A target counts as right if the reply's value as text, stripped and in lower case, is the answer's. A reply that isn't JSON
+    is wrong in all of them. One row, also for an empty table (with null rates).
+    """
+    value = lambda c, t: F.lower(F.trim(F.coalesce(F.try_variant_get(c, f"$.{t}", "string"), F.lit(""))))
+    r = rows.select(F.try_parse_json(answer).alias("a"), F.try_parse_json(reply).alias("r"))
+    right = [F.round(F.avg((value(F.col("r"), t) == F.try_variant_get("a", f"$.{t}", "string")).cast("int")), 4).alias(f"{t}_acc") for t in targets]
+    return r.agg(F.count("*").alias("n"), *right, F.count_if(F.col("r").isNull()).alias("bad_json"))

@@ -38,9 +38,9 @@ def torso(pose: Column) -> Column:
 
 def torso_or_median(poses: DataFrame, key: str = "video", reach: int = 20) -> DataFrame:
     """poses with torso: its own if it is at least 1, else the median over the frames around it."""
-    w = Window.partitionBy(key).orderBy("frame").rowsBetween(-reach, reach - 1)
-    t = poses.withColumn("_t", torso(F.col("pose")))
-    return t.withColumn("torso", F.when(F.col("_t") >= 1, F.col("_t")).otherwise(F.percentile("_t", 0.5).over(w))).drop("_t")
+    w = Window.partitionBy(key, "_bucket").orderBy("frame").rowsBetween(-reach, reach - 1)
+    t = with_margin(poses, reach).withColumn("_t", torso(F.col("pose")))
+    return own(t.withColumn("torso", F.when(F.col("_t") >= 1, F.col("_t")).otherwise(F.percentile("_t", 0.5).over(w)))).drop("_t")
 
 
 def wrist_travel(poses: DataFrame, hits: DataFrame, before: int, after: int) -> DataFrame:

@@ -6,20 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .signal import own, with_margin
+
 
 def trail(traj: DataFrame, reach: int, max_step: float) -> DataFrame:
     """video, frame, n: how many steps of the trail of each visible frame are drawn; a jump or a missing sample is left out."""
-    w = Window.partitionBy("video").orderBy("frame")
+    w = Window.partitionBy("video", "_bucket").orderBy("frame")
     step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) < max_step
-    t = traj.withColumn("_ok", F.coalesce(step.cast("int"), F.lit(0)))
-    return t.withColumn("n", F.sum("_ok").over(w.rowsBetween(-(reach - 1), 0))).where("x is not null").select("video", "frame", "n")
+    t = with_margin(traj, reach).withColumn("_ok", F.coalesce(step.cast("int"), F.lit(0)))
+    return own(t.withColumn("n", F.sum("_ok").over(w.rowsBetween(-(reach - 1), 0)))).where("x is not null").select("video", "frame", "n")
 
 
 def on_show(frames: DataFrame, shots: DataFrame, hold: int) -> DataFrame:
     """video, frame, shot: the last shot of at most ``hold`` frames ago, for each frame that has one."""
-    w = Window.partitionBy("video").orderBy("frame")
+    w = Window.partitionBy("video", "_bucket").orderBy("frame").rangeBetween(-hold, 0)
     j = frames.select("video", "frame").join(shots.select("video", "frame", F.col("frame").alias("shot")), ["video", "frame"], "left")
-    return j.withColumn("shot", F.last("shot", True).over(w)).where(F.col("frame") - F.col("shot") <= hold)
+    return own(with_margin(j, hold).withColumn("shot", F.last("shot", True).over(w))).where("shot is not null")
 
 
 def compact(shots: DataFrame, key: str, order: str, fields: list[str], k: int = 40) -> DataFrame:

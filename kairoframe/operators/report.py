@@ -67,8 +67,23 @@ def top_k(rows: DataFrame, key: list[str], score: str, tie: str, k: int = 8) ->
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(score), tie))).where(F.col("rank") <= k)
 
 
+#: What a player can do about a finding.
+DETAILS = {
+    "Not enough strokes detected": "Film a longer rally, from the side and with the table in full view, so that there is more to measure.",
+    "Backhand is under-used": "Nearly all balls are taken with the forehand, which invites play into the other corner. Train backhand rallies and changes between both sides.",
+    "Forehand is under-used": "Nearly all balls are taken with the backhand. Train the footwork that brings the forehand, mostly the stronger side, into play.",
+    "Weight falling backwards at contact": "Body weight is often on the back foot when the ball is hit. Load that leg in the backswing and move through the ball.",
+    "Balance at contact": "A foot is often in the air at contact. Power strokes allow for that; on others a low and wide stance gives control.",
+    "Passive rallies": "Pushes are many and loops few. Use long or high balls to open with topspin.",
+    "Backhand lacks pace": "Backhands are clearly slower than forehands. Meet the ball in front of the body, with more of the forearm and wrist.",
+    "Errors into the net": "Own errors mostly end in the net. Brush upwards more, and meet the ball earlier and higher.",
+    "Errors long or wide": "Own errors mostly miss the table. Close the racket a little, and put more of the swing into spin.",
+    "Solid, balanced session": "Nothing stands out in what was measured. Keep working on steadiness and placement.",
+}
+
+
 def findings(r: DataFrame) -> Column:
-    """Title and evidence of the rules that a report row meets, in the rules' order.
+    """Title, detail and evidence of the rules that a report row meets, in the rules' order.
 
     Columns: strokes, forehand, backhand, lean, feet, technique (maps of counts), forehand_avg, backhand_avg, lost_net,
     lost_out, lost (own errors). Fewer than four strokes give one finding, and no rule met gives the default one.
@@ -95,7 +110,7 @@ def findings(r: DataFrame) -> Column:
         ((c("lost") >= 3) & (c("lost_net") > c("lost_out")), "Errors into the net", errors),
         ((c("lost") >= 3) & (c("lost_out") > c("lost_net")), "Errors long or wide", errors),
     ]
-    found = lambda title, evidence: F.struct(F.lit(title).alias("title"), evidence.alias("evidence"))
+    found = lambda title, evidence: F.struct(F.lit(title).alias("title"), F.lit(DETAILS[title]).alias("detail"), evidence.alias("evidence"))
     met = F.filter(F.array(*[F.when(cond, found(title, evidence)) for cond, title, evidence in rules]), lambda x: x.isNotNull())
     few, none = F.array(found("Not enough strokes detected", text(n_of(n), " strokes"))), F.array(found("Solid, balanced session", text(n_of(n), " strokes")))
     return F.when(n < 4, few).when(F.size(met) == 0, none).otherwise(met)

@@ -10,30 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .signal import own, with_margin
 
-def islands(df: DataFrame, gap: float, key: str = "video", at: str = "frame", out: str = "island") -> DataFrame:
+
+def _column(v: float | str) -> Column:
+    """A number, or the column of that name: a limit that differs by video."""
+    return F.col(v) if isinstance(v, str) else F.lit(v)
+
+
+def islands(df: DataFrame, gap: float | str, key: str = "video", at: str = "frame", out: str = "island") -> DataFrame:
     """Number the runs of events that follow each other by at most ``gap``."""
     w = Window.partitionBy(key).orderBy(at)
-    new = (F.col(at) - F.lag(at).over(w) > gap).cast("int")
+    new = (F.col(at) - F.lag(at).over(w) > _column(gap)).cast("int")
     return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(out, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def suppress(df: DataFrame, radius: int, key: str = "video") -> DataFrame:
+def suppress(df: DataFrame, radius: int | str, key: str = "video") -> DataFrame:
     """Greedy non-maximum suppression: by score (then frame), keep what is more than ``radius`` from all kept frames.
 
     Returns (key, frame) of kept frames. Candidates further apart than the radius can't suppress each other, so each
-    island is folded by itself.
+    island is folded by itself. The radius may be a column, the same for all rows of a video.
     """
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("frame").cast("long").alias("f"))))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("frame").cast("long").alias("f"), _column(radius).alias("r"))))
     kept = F.aggregate(
         best,
         F.array().cast("array<bigint>"),
-        lambda acc, x: F.when(F.forall(acc, lambda k: F.abs(x["f"] - k) > radius), F.concat(acc, F.array(x["f"]))).otherwise(acc),
+        lambda acc, x: F.when(F.forall(acc, lambda k: F.abs(x["f"] - k) > x["r"]), F.concat(acc, F.array(x["f"]))).otherwise(acc),
     )
     return islands(df, radius, key).groupBy(key, "island").agg(kept.alias("kept")).select(key, F.explode("kept").alias("frame"))
 
 
-def detect_hits(candidates: DataFrame, radius: int) -> DataFrame:
+def detect_hits(candidates: DataFrame, radius: int | str) -> DataFrame:
     """Suppress candidates of both sides together; a kept frame takes side, serve and score of its best candidate.
 
     Of equal scores the right side's candidate is taken, which is looked at first.
@@ -42,33 +49,38 @@ def detect_hits(candidates: DataFrame, radius: int) -> DataFrame:
     return suppress(candidates, radius).join(best, ["video", "frame"]).select("video", "frame", F.col("b.side").alias("side"), (~F.col("b.stroke")).alias("serve"), F.col("b.score").alias("score"))
 
 
-def far_from(events: DataFrame, others: DataFrame, guard: int) -> DataFrame:
-    """Events with none of ``others`` (video, frame) within ``guard`` frames: an anti range join on buckets of the guard."""
-    size = guard + 1
-    near = others.select(F.col("video").alias("_v"), F.col("frame").alias("_f")).distinct().withColumn("_b", F.explode(F.array(*[F.floor(F.col("_f") / size) + d for d in (-1, 0, 1)])))
+def far_from(events: DataFrame, others: DataFrame, guard: int | str) -> DataFrame:
+    """Events with none of ``others`` (video, frame) within ``guard`` frames: an anti range join on buckets of the guard.
+
+    The guard may be a column that both have, the same for all rows of a video.
+    """
+    size, guard = _column(guard) + 1, _column(guard)
+    near = others.select(F.col("video").alias("_v"), F.col("frame").alias("_f"), size.alias("_g")).distinct().withColumn("_b", F.explode(F.array(*[F.floor(F.col("_f") / F.col("_g")) + d for d in (-1, 0, 1)])))
     e = events.withColumn("_bb", F.floor(F.col("frame") / size))
     return e.join(near, (e.video == near._v) & (F.col("_bb") == F.col("_b")) & (F.abs(F.col("frame") - F.col("_f")) <= guard), "left_anti").drop("_bb")
 
 
-def net_crossings(traj: DataFrame, net_x: float, refractory: int) -> DataFrame:
+def net_crossings(traj: DataFrame, net_x: float | str, refractory: int | str) -> DataFrame:
     """video, frame of strict sign changes between neighbouring valid samples, debounced against the last one emitted.
 
-    Crossings more than the refractory time apart don't affect each other, so each island is folded by itself.
+    Crossings more than the refractory time apart don't affect each other, so each island is folded by itself. Both limits may
+    be columns of traj, the same for all rows of a video.
     """
-    w = Window.partitionBy("video").orderBy("frame")
-    change = traj.withColumn("_x", F.lag("x").over(w)).where((F.col("_x") - net_x) * (F.col("x") - net_x) < 0).select("video", F.col("frame").cast("long").alias("frame"))
+    w = Window.partitionBy("video", "_bucket").orderBy("frame")
+    net = _column(net_x)
+    change = own(with_margin(traj, 1).withColumn("_x", F.lag("x").over(w))).where((F.col("_x") - net) * (F.col("x") - net) < 0)
     kept = F.aggregate(
-        F.array_sort(F.collect_list("frame")),
+        F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("f"), _column(refractory).alias("r")))),
         F.array().cast("array<bigint>"),
-        lambda acc, x: F.when((F.size(acc) == 0) | (x - F.try_element_at(acc, F.lit(-1)) > refractory), F.concat(acc, F.array(x))).otherwise(acc),
+        lambda acc, x: F.when((F.size(acc) == 0) | (x["f"] - F.try_element_at(acc, F.lit(-1)) > x["r"]), F.concat(acc, F.array(x["f"]))).otherwise(acc),
     )
     return islands(change, refractory).groupBy("video", "island").agg(kept.alias("kept")).select("video", F.explode("kept").alias("frame"))
 
 
-def rally_sessions(hits: DataFrame, max_gap: float, at: str = "frame") -> DataFrame:
+def rally_sessions(hits: DataFrame, max_gap: float | str, at: str = "frame") -> DataFrame:
     """hits with rally (from 0 per video): a new one after a longer gap, or at a serve."""
     w = Window.partitionBy("video").orderBy(at, "frame")
-    new = F.col("serve") | (F.col(at) - F.lag(at).over(w) > max_gap)
+    new = F.col("serve") | (F.col(at) - F.lag(at).over(w) > _column(max_gap))
     return hits.withColumn("_new", F.coalesce(new, F.lit(False)).cast("int")).withColumn("_first", F.lag(at).over(w).isNull()).withColumn("rally", F.sum(F.when(F.col("_first"), 0).otherwise(F.col("_new"))).over(w)).drop("_new", "_first")
 
 
@@ -103,15 +115,16 @@ def in_segments(events: DataFrame, merged: DataFrame) -> DataFrame:
     return e.join(s, (F.col("video") == F.col("_v")) & (F.col("_e") == F.col("_span")) & F.col("frame").between(F.col("lo"), F.col("hi")), "left").drop("_v", "_e", "_span")
 
 
-def rallies(hits: DataFrame, bounces: DataFrame, horizon: int) -> DataFrame:
+def rallies(hits: DataFrame, bounces: DataFrame, horizon: int | str) -> DataFrame:
     """Outcome of each rally of alternating hits: from the first bounce after its last hit.
 
     On the other half the hitter wins; on the own half, or with no bounce before the horizon (cut by the next rally's
-    start), the hitter loses. A rally of one hit and no bounce is dropped, after the horizons are set.
+    start), the hitter loses. A rally of one hit and no bounce is dropped, after the horizons are set. The horizon may be a
+    column of hits, the same for all rows of a video.
     """
     w = Window.partitionBy("video").orderBy("rally")
-    r = hits.groupBy("video", "rally").agg(F.min("frame").alias("start"), F.max("frame").alias("last"), F.max_by("side", "frame").alias("last_hitter"), F.count("*").alias("n_strokes"))
-    r = r.withColumn("until", F.least(F.col("last") + horizon, F.lead("start").over(w)))
+    r = hits.groupBy("video", "rally").agg(F.min("frame").alias("start"), F.max("frame").alias("last"), F.max_by("side", "frame").alias("last_hitter"), F.count("*").alias("n_strokes"), F.max(_column(horizon)).alias("_horizon"))
+    r = r.withColumn("until", F.least(F.col("last") + F.col("_horizon"), F.lead("start").over(w)))
     b = bounces.select(F.col("video").alias("_v"), F.col("frame").alias("_f"), F.col("half").alias("_h"), span_of("frame").alias("_s"))
     j = spans(r, "start", F.col("until")).join(b, (F.col("video") == F.col("_v")) & (F.col("_span") == F.col("_s")) & F.col("_f").between(F.col("start"), F.col("until")), "left")
     later = F.col("_f") > F.col("last")
@@ -127,9 +140,9 @@ def rallies(hits: DataFrame, bounces: DataFrame, horizon: int) -> DataFrame:
     )
 
 
-def contexts(hits: DataFrame, fps: float, max_gap_s: float = 2.5) -> DataFrame:
+def contexts(hits: DataFrame, fps: float | str, max_gap_s: float = 2.5) -> DataFrame:
     """hits with first_of_rally and since_prev_s (null at a first one), over both sides."""
-    w = Window.partitionBy("video").orderBy("frame")
+    w, fps = Window.partitionBy("video").orderBy("frame"), _column(fps)
     gap = F.col("frame") - F.lag("frame").over(w)
     first = F.col("serve") | gap.isNull() | (gap > max_gap_s * fps)
     return hits.withColumn("first_of_rally", first).withColumn("since_prev_s", F.when(~first, gap / fps))

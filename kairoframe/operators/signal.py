@@ -7,6 +7,8 @@ are partitioned by (video, bucket): one video of any length spreads over many ta
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
@@ -15,12 +17,18 @@ from pyspark.sql.window import Window, WindowSpec
 BUCKET = 1 << 16
 
 
-def with_margin(df: DataFrame, reach: int, frame: str = "frame", bucket: int = BUCKET) -> DataFrame:
-    """Rows with columns _bucket and _own: each row once in its own bucket and once in each that its reach touches."""
-    bucket = max(bucket, reach + 1)  # so that a reach touches neighbouring buckets only
+def with_margin(df: DataFrame, reach: int | str, frame: str = "frame", bucket: int = BUCKET) -> DataFrame:
+    """Rows with columns _bucket and _own: each row once in its own bucket and once in each that its reach touches.
+
+    The reach may be a column.
+    """
     at = lambda c: F.floor(c / bucket)
     f = F.col(frame)
-    buckets = F.array_distinct(F.array(at(f), at(f - reach), at(f + reach)))
+    if isinstance(reach, str):
+        buckets = F.sequence(at(f - F.col(reach)), at(f + F.col(reach)))
+    else:
+        bucket = max(bucket, reach + 1)  # so that a reach touches neighbouring buckets only
+        buckets = F.array_distinct(F.array(at(f), at(f - reach), at(f + reach)))
     return df.withColumn("_bucket", F.explode(buckets)).withColumn("_own", F.col("_bucket") == at(f))
 
 
@@ -97,15 +105,18 @@ def reversal_candidates(traj: DataFrame, net_x: float, w: int, vmin: float, min_
     )
 
 
-def bounce_candidates(traj: DataFrame, w: int, vmin: float) -> DataFrame:
+def bounce_candidates(traj: DataFrame, w: int, vmin: float, over_table: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """video, frame, x, y, score of frames where the vertical direction turns from down to up at a local lowest point.
 
-    Image y grows downwards, so the lowest point is the first largest y within w frames.
+    Image y grows downwards, so the lowest point is the first largest y within w frames. ``over_table`` says which smoothed
+    points are candidates at all: one off the table must not suppress one on it.
     """
     over = _over()
     top = F.max(F.when(F.col("sy").isNotNull(), F.struct(F.col("sy").alias("v"), (-F.col("frame")).alias("f")))).over(over.rowsBetween(-w, w))
     df = motion(traj, "y", w).withColumn("top", -top["f"])
     ok = F.col("inside") & F.col("sy").isNotNull() & (F.col("before") >= vmin) & (F.col("after") <= -vmin) & (F.col("top") == F.col("frame"))
+    if over_table is not None:
+        ok &= over_table(F.col("sx"), F.col("sy"))
     return df.where(F.col("_own") & ok).select("video", "frame", F.coalesce("x", "sx").alias("x"), F.coalesce("y", "sy").alias("y"), (F.col("before") - F.col("after")).alias("score"))
 
 

@@ -108,10 +108,9 @@ def restricted_candidates(spark, d: str) -> DataFrame:
 
 
 def table_bounces(spark, d: str) -> DataFrame:
-    """Bounces over the table, by its halves."""
-    b = S._bounces(spark, d)
+    """Bounces over the table, by its halves; what is off the table is no candidate."""
     u, _ = geometry.to_table(F.col("x"), F.col("y"), TABLE.h)
-    return b.where(TABLE.over(F.col("x"), F.col("y"))).select("video", "frame", geometry.half(u).alias("half"))
+    return S._bounces(spark, d, TABLE.over).select("video", "frame", geometry.half(u).alias("half"))
 
 
 def numbered_shots(spark, d: str) -> DataFrame:
@@ -119,13 +118,18 @@ def numbered_shots(spark, d: str) -> DataFrame:
     return n.select("video", "frame", "side", "n", "rally")
 
 
-def coaching_tips(spark, d: str) -> DataFrame:
+def found(spark, d: str) -> DataFrame:
+    """player, findings: what the rules find in each player's shots."""
     s = shots(spark, d)
     t = report.totals(s, "player", places=6)
     counts = lambda c: s.groupBy("player", c).agg(F.count("*").alias("n")).groupBy("player").agg(F.map_from_entries(F.collect_list(F.struct(c, "n"))).alias(c))  # noqa: E731  (a handful of labels)
     own = s.where("n = 1 and not won").groupBy("player").agg(F.count("*").alias("lost"), F.count_if(F.col("outcome") == "net").alias("lost_net"), F.count_if(F.col("outcome") == "out").alias("lost_out"))
     r = t.join(counts("technique"), "player").join(counts("lean"), "player").join(counts("feet"), "player").join(own, "player", "left").na.fill(0, ["lost", "lost_net", "lost_out"])
-    return r.select("player", F.array_join(F.transform(report.findings(r), lambda t: t["title"]), "; ").alias("tips"))
+    return r.select("player", report.findings(r).alias("findings"))
+
+
+def coaching_tips(spark, d: str) -> DataFrame:
+    return found(spark, d).select("player", F.array_join(F.transform("findings", lambda t: t["title"]), "; ").alias("tips"))
 
 
 def report_json(spark, d: str) -> DataFrame:
@@ -160,6 +164,8 @@ def _edge_sql(a, b) -> tuple[str, str]:
 _EDGES = [_edge_sql(a, b) for a, b in zip(CORNERS, CORNERS[1:] + CORNERS[:1], strict=True)]
 _DIST = f"(CASE WHEN {' AND '.join(e[1] for e in _EDGES)} THEN 1 ELSE -1 END) * least({', '.join(e[0] for e in _EDGES)})"
 
+_X0, _X1 = TABLE.x_range
+_OVER = f"m.sx BETWEEN {_X0 - 0.03 * (_X1 - _X0)!r} AND {_X1 + 0.03 * (_X1 - _X0)!r} AND m.sy BETWEEN {25.0 - 0.06 * TABLE.length_px!r} AND {75.0 + 0.02 * TABLE.length_px!r}"
 QUERIES = {f.__name__: f for f in (report_totals, technique_counts, won_lost, keyframes, topk_candidates, shot_speed, ball_visible, homography, placements, polygon_restrict, restricted_candidates, table_bounces, numbered_shots, coaching_tips, report_json, shot_labels)}
 SQL = {
     "report_totals": f"WITH {_TOTALS} SELECT * FROM totals",
@@ -180,8 +186,7 @@ WHERE side <> CASE WHEN u < 1.37 THEN 'left' ELSE 'right' END AND u BETWEEN -0.2
     "restricted_candidates": f"""WITH {FRAMES_SQL}, t AS (SELECT video, median((k + value / 10) - k) AS tall FROM frames WHERE kind <> 'error' AND frame % 3 = 0 GROUP BY video),
 c AS (SELECT video, (secs % 100) / 100 < 0.5 AND {_DIST} < -1.0 * coalesce(tall, 40.0) AS removed FROM frames LEFT JOIN t USING (video) WHERE kind <> 'error')
 SELECT video, count(*) FILTER (removed) AS removed, count(*) FILTER (NOT removed) AS kept FROM c GROUP BY video""",
-    "table_bounces": f"""WITH {S._BOUNCES} SELECT video, frame, CASE WHEN {_U} < 1.37 THEN 'left' ELSE 'right' END AS half FROM bounces
-WHERE x BETWEEN {TABLE.x_range[0] - 0.03 * (TABLE.x_range[1] - TABLE.x_range[0])!r} AND {TABLE.x_range[1] + 0.03 * (TABLE.x_range[1] - TABLE.x_range[0])!r} AND y BETWEEN {25.0 - 0.06 * TABLE.length_px!r} AND {75.0 + 0.02 * TABLE.length_px!r}""",
+    "table_bounces": f"""WITH {S._HITS + S._bounce_sql(_OVER)} SELECT video, frame, CASE WHEN {_U} < 1.37 THEN 'left' ELSE 'right' END AS half FROM bounces""",
     "numbered_shots": f"""WITH {S._HITS} {S._SESS}, a AS (SELECT video, frame, max(rally) AS rally FROM alt GROUP BY video, frame)
 SELECT h.video, h.frame, h.side, row_number() OVER (PARTITION BY h.video, h.side ORDER BY h.frame)::INTEGER AS n, a.rally::BIGINT AS rally FROM hits h LEFT JOIN a ON a.video = h.video AND a.frame = h.frame""",
     "coaching_tips": f"""WITH {_TOTALS}, c AS (SELECT player, count(*) FILTER (lean = 'back_heavy') AS back, count(*) FILTER (feet <> 'both_feet_planted') AS lifted, count(*) FILTER (technique = 'push') AS push, count(*) FILTER (technique = 'loop') AS loop,

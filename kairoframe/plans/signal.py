@@ -39,9 +39,9 @@ def nms_hits(spark, d: str) -> DataFrame:
     return _hits(spark, d)
 
 
-def _bounces(spark, d: str) -> DataFrame:
-    c = signal.bounce_candidates(trajectory(spark, d), WIDTH_W, 1.0).withColumn("score", F.round("score", 6))
-    c = sequence.far_from(c, _candidates(spark, d).select("video", "frame"), GUARD)
+def _bounces(spark, d: str, over_table=None) -> DataFrame:
+    c = signal.bounce_candidates(trajectory(spark, d), WIDTH_W, 1.0, over_table).withColumn("score", F.round("score", 6))
+    c = sequence.far_from(c, _hits(spark, d).select("video", "frame"), GUARD)
     best = c.select("video", "frame", "x", "y")
     return sequence.suppress(c, RADIUS).join(best, ["video", "frame"]).withColumn("half", F.when(F.col("x") > NET, "right").otherwise("left"))
 
@@ -131,13 +131,17 @@ def _nms_sql(source: str, out: str) -> str:
 
 _HITS = _CAND + _nms_sql("cand", "kept") + """,
 hits AS (SELECT video, frame, side, serve, score FROM (SELECT c.*, row_number() OVER (PARTITION BY video, frame ORDER BY score DESC, side DESC, serve) AS rn FROM cand c JOIN kept USING (video, frame)) t WHERE rn = 1)"""
-_BOUNCE_ONLY = _motion_sql("sy") + f""",
+
+def _bounce_sql(over_table: str = "TRUE") -> str:
+    return _motion_sql("sy") + f""",
 low AS (SELECT m.video, m.frame, coalesce(m.x, m.sx) AS x, coalesce(m.y, m.sy) AS y, round(m.before - m.after, 6) AS score, arg_min(t.frame, (-t.sy, t.frame)) AS top
         FROM msy m JOIN s t ON t.video = m.video AND t.frame BETWEEN m.frame - {WIDTH_W} AND m.frame + {WIDTH_W}
-        WHERE m.frame >= {WIDTH_W} AND m.frame < m.n - {WIDTH_W} AND m.sy IS NOT NULL AND t.sy IS NOT NULL AND m.before >= 1.0 AND m.after <= -1.0 GROUP BY ALL),
-bcand AS (SELECT * FROM low b WHERE top = frame AND NOT EXISTS (SELECT 1 FROM cand c WHERE c.video = b.video AND abs(c.frame - b.frame) <= {GUARD}))""" + _nms_sql("bcand", "bkept") + f""",
+        WHERE m.frame >= {WIDTH_W} AND m.frame < m.n - {WIDTH_W} AND m.sy IS NOT NULL AND t.sy IS NOT NULL AND m.before >= 1.0 AND m.after <= -1.0 AND {over_table} GROUP BY ALL),
+bcand AS (SELECT * FROM low b WHERE top = frame AND NOT EXISTS (SELECT 1 FROM hits c WHERE c.video = b.video AND abs(c.frame - b.frame) <= {GUARD}))""" + _nms_sql("bcand", "bkept") + f""",
 bounces AS (SELECT video, frame, x, y, CASE WHEN x > {NET} THEN 'right' ELSE 'left' END AS half FROM bcand JOIN bkept USING (video, frame))"""
-_BOUNCES = _HITS + _BOUNCE_ONLY
+
+
+_BOUNCES = _HITS + _bounce_sql()
 _SESS = f""",
 sess AS (SELECT *, sum(CASE WHEN p IS NULL THEN 0 WHEN serve OR frame - p > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY frame) AS rally FROM (SELECT *, lag(frame) OVER (PARTITION BY video ORDER BY frame) AS p FROM hits) t),
 runs AS (SELECT *, sum(turn) OVER (PARTITION BY video, rally ORDER BY frame) AS run FROM (SELECT *, CASE WHEN side <> lag(side) OVER (PARTITION BY video, rally ORDER BY frame) THEN 1 ELSE 0 END AS turn FROM sess) t),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,3 +46,21 @@ def detection_line(x: Column, y: Column, w: Column, h: Column, width: float, hei
     """Centre and size of a box as shares of the image, to 6 places; an empty line where there is no box."""
     line = F.format_string("0 %.6f %.6f %.6f %.6f", x / width, y / height, w / width, h / height)
     return F.when(x.isNotNull() & y.isNotNull(), line).otherwise("")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, bad: str = "bad_line") -> DataFrame:
+    """Rows of JSON lines by an explicit schema. A line that isn't JSON, or not of the schema's types, has nulls and itself in ``bad``."""
+    lines = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).schema(f"{schema}, {bad} string")
+    return lines.json(path)
+
+
+def write_detections(rows: DataFrame, path: str, meta: dict[str, str | float]) -> None:
+    """Label lines (split, video, frame, line) as a table partitioned by split and video, with how they were made beside it."""
+    rows.select("split", "video", "frame", "line").repartition("split", "video").sortWithinPartitions("frame").write.mode("overwrite").partitionBy("split", "video").parquet(f"{path}/labels")
+    rows.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+
+
+def read_detections(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """What ``write_detections`` has written."""
+    schema = "frame long, line string, split string, video string"
+    return spark.read.schema(schema).parquet(f"{path}/labels"), json.loads(spark.read.text(f"{path}/meta").first()["value"])
