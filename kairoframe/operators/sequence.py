@@ -61,14 +61,14 @@ def far_from(events: DataFrame, others: DataFrame, guard: int | str) -> DataFram
 
 
 def net_crossings(traj: DataFrame, net_x: float | str, refractory: int | str) -> DataFrame:
-    """video, frame of strict sign changes between neighbouring valid samples, debounced against the last one emitted.
+    """video, frame of strict sign changes between valid samples of neighbouring frames, debounced against the last one emitted.
 
     Crossings more than the refractory time apart don't affect each other, so each island is folded by itself. Both limits may
     be columns of traj, the same for all rows of a video.
     """
     w = Window.partitionBy("video", "_bucket").orderBy("frame")
     net = _column(net_x)
-    change = own(with_margin(traj, 1).withColumn("_x", F.lag("x").over(w))).where((F.col("_x") - net) * (F.col("x") - net) < 0)
+    change = own(with_margin(traj, 1).withColumn("_x", F.when(F.lag("frame").over(w) == F.col("frame") - 1, F.lag("x").over(w)))).where((F.col("_x") - net) * (F.col("x") - net) < 0)
     kept = F.aggregate(
         F.array_sort(F.collect_list(F.struct(F.col("frame").cast("long").alias("f"), _column(refractory).alias("r")))),
         F.array().cast("array<bigint>"),

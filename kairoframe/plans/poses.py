@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry
 from ..operators import models, pose, tracker
 from ..sources.views import FRAMES_SQL, frames, table
-from ..streaming import sessions
+from ..streaming import ordered, sessions
 
 
 def poses(spark, d: str) -> DataFrame:
@@ -139,6 +139,21 @@ def stream_sessions(spark, d: str) -> DataFrame:
     return s.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "n")
 
 
+def stream_rallies(spark, d: str) -> DataFrame:
+    """Rallies with serves over the stream of events: a signup stands for a serve, an error is no hit."""
+    e = sessions.read_events(spark, d).where("event_type <> 'error'")
+    hits = e.select(F.col("user_id").alias("video"), "ts", F.col("event_id").alias("id"), (F.col("event_type") == "signup").alias("serve"))
+    return sessions.run_once(ordered.rallies(hits, 43200.0, "1 hour"), "rallies")
+
+
+def stream_crossings(spark, d: str) -> DataFrame:
+    """Debounced net crossings over the stream of events; an error is a sample that is missing."""
+    e = sessions.read_events(spark, d)
+    x = F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("double"))
+    samples = e.select(F.col("user_id").alias("video"), "ts", F.col("event_id").alias("id"), x.alias("x"))
+    return sessions.run_once(ordered.crossings(samples, 50.0, 36000.0, "1 hour"), "crossings").select("video", "at", "id")
+
+
 _POSE = """p0 AS (SELECT label::BIGINT AS video, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame, vec_id, list_transform(embedding, lambda x: x::DOUBLE * 100) AS v FROM embeddings),
 pose AS (SELECT video, frame, vec_id, list_transform(range(0, 17), lambda i: CASE WHEN vec_id % 23 <> 0 OR i % 5 <> 0 THEN v[2 * i + 1] END) AS x, list_transform(range(0, 17), lambda i: CASE WHEN vec_id % 23 <> 0 OR i % 5 <> 0 THEN v[2 * i + 2] END) AS y FROM p0)"""
 
@@ -184,7 +199,7 @@ SELECT video, frame, i::INTEGER AS i, round(nx, 5) AS value FROM r UNION ALL SEL
 UNION ALL SELECT video, frame, (233 + n)::INTEGER, round(vs[n], 5) FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS n FROM e) u"""
 
 
-QUERIES = {f.__name__: f for f in (joint_angles, torso_fallback, handedness, select_players, followed_players, filled_poses, iou_best, same_row, stroke_features, track_link, tracklet_paint, tracklet_scores, stroke_rf, heuristic_strokes, stream_sessions)}
+QUERIES = {f.__name__: f for f in (joint_angles, torso_fallback, handedness, select_players, followed_players, filled_poses, iou_best, same_row, stroke_features, track_link, tracklet_paint, tracklet_scores, stroke_rf, heuristic_strokes, stream_sessions, stream_rallies, stream_crossings)}
 SQL = {
     "joint_angles": f"WITH {_POSE} SELECT vec_id, {_angle_sql(6, 8, 10)} AS right_elbow, {_angle_sql(5, 7, 9)} AS left_elbow, {_angle_sql(12, 14, 16)} AS right_knee, {_angle_sql(11, 13, 15)} AS left_knee, round({_TORSO}, 4) AS torso FROM pose",
     "torso_fallback": f"""WITH {_POSE}, t AS (SELECT *, {_TORSO} AS t FROM pose)
@@ -216,6 +231,14 @@ g AS (SELECT video, track, count(*) AS n, avg(conf) AS c, median(speed) AS s, co
 SELECT video, track, n, round(n * c * greatest(0.0, least(1.5, s / 2.0 / 6.0)) / (1.0 + j / 2.0 / 4.0), 6) AS score FROM g WHERE n >= 3""",
     "stroke_features": _stroke_sql(),
     "heuristic_strokes": f"WITH {FRAMES_SQL} SELECT video, frame, CASE WHEN frame < 5 THEN 'serve' ELSE 'unknown' END AS technique FROM frames WHERE kind = 'click'",
+    "stream_rallies": """WITH e AS (SELECT user_id AS video, event_id AS id, epoch_us(ts) AS t, event_type = 'signup' AS serve FROM events WHERE event_type <> 'error'), w AS (SELECT max(t) // 1000 - 3600000 AS now FROM e),
+g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND (serve OR t - p > 43200000000) THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY t, id) AS rally FROM (SELECT *, lag(t) OVER (PARTITION BY video ORDER BY t, id) AS p FROM e, w WHERE t // 1000 <= now) q),
+r AS (SELECT video, rally, min(t) AS started, max(t) AS ended, count(*) AS n, arg_min(serve, (t, id)) AS with_serve, lead(rally) OVER (PARTITION BY video ORDER BY rally) IS NULL AS open FROM g GROUP BY video, rally)
+SELECT video, started, ended, n, with_serve FROM r, w WHERE NOT open OR (ended + 43200000000) // 1000 < now""",
+    "stream_crossings": """WITH e AS (SELECT user_id AS video, event_id AS id, epoch_us(ts) AS at, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS x FROM events), w AS (SELECT max(at) // 1000 - 3600000 AS now FROM e),
+c AS (SELECT video, at, id FROM (SELECT *, lag(x) OVER (PARTITION BY video ORDER BY at, id) AS p FROM e, w WHERE at // 1000 <= now) q WHERE (p - 50) * (x - 50) < 0),
+f AS (SELECT video, list_reduce(list_transform(list_sort(list([at, id])), lambda t: [t]), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1][1] - acc[-1][1] > 36000000000 THEN list_concat(acc, x) ELSE acc END, []::BIGINT[][]) AS kept FROM c GROUP BY video)
+SELECT video, unnest(kept)[1] AS at, unnest(kept)[2] AS id FROM f""",
     "stream_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, sum(CASE WHEN t - p >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS s FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p FROM e) q),
 r AS (SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS n FROM g GROUP BY user_id, s) SELECT user_id, started, ended, n FROM r WHERE ended + 43200000000 <= (SELECT max(t) FROM e) // 1000 * 1000 - 3600000000""",
 }
