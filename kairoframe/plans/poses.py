@@ -235,10 +235,10 @@ SELECT video, track, n, round(n * c * greatest(0.0, least(1.5, s / 2.0 / 6.0)) /
 g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND (serve OR t - p > 43200000000) THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY t, id) AS rally FROM (SELECT *, lag(t) OVER (PARTITION BY video ORDER BY t, id) AS p FROM e, w WHERE t // 1000 <= now) q),
 r AS (SELECT video, rally, min(t) AS started, max(t) AS ended, count(*) AS n, arg_min(serve, (t, id)) AS with_serve, lead(rally) OVER (PARTITION BY video ORDER BY rally) IS NULL AS open FROM g GROUP BY video, rally)
 SELECT video, started, ended, n, with_serve FROM r, w WHERE NOT open OR (ended + 43200000000) // 1000 < now""",
-    "stream_crossings": """WITH e AS (SELECT user_id AS video, event_id AS id, epoch_us(ts) AS at, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS x FROM events), w AS (SELECT max(at) // 1000 - 3600000 AS now FROM e),
-c AS (SELECT video, at, id FROM (SELECT *, lag(x) OVER (PARTITION BY video ORDER BY at, id) AS p FROM e, w WHERE at // 1000 <= now) q WHERE (p - 50) * (x - 50) < 0),
-f AS (SELECT video, list_reduce(list_transform(list_sort(list([at, id])), lambda t: [t]), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1][1] - acc[-1][1] > 36000000000 THEN list_concat(acc, x) ELSE acc END, []::BIGINT[][]) AS kept FROM c GROUP BY video)
-SELECT video, unnest(kept)[1] AS at, unnest(kept)[2] AS id FROM f""",
+    "stream_crossings": """WITH e AS (SELECT user_id AS video, event_id AS id, epoch_us(ts) AS t, CASE WHEN event_type <> 'error' THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS x FROM events), w AS (SELECT max(t) // 1000 - 3600000 AS now FROM e),
+c AS (SELECT video, t, id FROM (SELECT *, lag(x) OVER (PARTITION BY video ORDER BY t, id) AS p FROM e, w WHERE t // 1000 <= now) q WHERE (p - 50) * (x - 50) < 0),
+f AS (SELECT video, list_reduce(list_transform(list_sort(list([t, id])), lambda r: [r]), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1][1] - acc[-1][1] > 36000000000 THEN list_concat(acc, x) ELSE acc END, []::BIGINT[][]) AS kept FROM c GROUP BY video),
+u AS (SELECT video, unnest(kept) AS k FROM f) SELECT video, k[1] AS "at", k[2] AS id FROM u""",
     "stream_sessions": """WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, sum(CASE WHEN t - p >= 43200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS s FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS p FROM e) q),
 r AS (SELECT user_id, min(t) AS started, max(t) AS ended, count(*) AS n FROM g GROUP BY user_id, s) SELECT user_id, started, ended, n FROM r WHERE ended + 43200000000 <= (SELECT max(t) FROM e) // 1000 * 1000 - 3600000000""",
 }
