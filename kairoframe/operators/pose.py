@@ -234,5 +234,8 @@ def stroke_features(contacts: DataFrame, poses: DataFrame, ball: DataFrame, kt:
     ]
     flag = lambda c: c.cast("double")
     context = [flag(F.col("first_of_rally")), F.col("since_prev_s"), flag((F.col("side") == "left") == (F.col("racket") == "R")), flag(F.col("side") == "left")]
-    points = [k(o, i)[c] for o in OFFSETS for i in USED for c in ("x", "y")]
-    return rows.select(*contacts.columns, F.array(*[v.cast("double") for v in (*points, *body, *flight, *context)]).alias("features"))
+    # Points by offset, keypoint and coordinate: loops over arrays, as hundreds of single expressions take long to compile.
+    of_pose = lambda p: F.flatten(F.transform(F.array(*[F.lit(i) for i in USED]), lambda i: F.array(F.get(p, i)["x"], F.get(p, i)["y"])))
+    points = F.flatten(F.transform(F.array(*[F.col(f"_k{i}") for i in range(len(OFFSETS))]), of_pose))
+    rest = F.array(*[v.cast("double") for v in (*body, *flight, *context)])
+    return rows.select(*contacts.columns, F.concat(points, rest).alias("features"))

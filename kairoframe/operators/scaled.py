@@ -124,7 +124,7 @@ def bounces(candidates: DataFrame, found: DataFrame) -> DataFrame:
     """video, frame, x, y, half of candidates that no hit is near to, after suppression."""
     guards = candidates.select("video", "guard").distinct()
     c = sequence.far_from(candidates, found.select("video", "frame").join(guards, "video"), "guard")
-    return sequence.suppress(c, "bounce_radius").join(c.select("video", "frame", "x", "y", "half"), ["video", "frame"])
+    return sequence.suppress(c, "bounce_radius", carry=("x", "y", "half"))
 
 
 def crossings(traj: DataFrame, videos: DataFrame) -> DataFrame:

@@ -25,28 +25,31 @@ def islands(df: DataFrame, gap: float | str, key: str = "video", at: str = "fram
     return df.withColumn("_new", F.coalesce(new, F.lit(0))).withColumn(out, F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
-def suppress(df: DataFrame, radius: int | str, key: str = "video") -> DataFrame:
+def suppress(df: DataFrame, radius: int | str, key: str = "video", carry: tuple[str, ...] = ()) -> DataFrame:
     """Greedy non-maximum suppression: by score (then frame), keep what is more than ``radius`` from all kept frames.
 
-    Returns (key, frame) of kept frames. Candidates further apart than the radius can't suppress each other, so each
-    island is folded by itself. The radius may be a column, the same for all rows of a video.
+    Returns key and frame of what is kept, and the columns of ``carry`` (of equal scores in a frame, those of the row that is
+    least by them). Candidates further apart than the radius can't suppress each other, so each island is folded by itself. The
+    radius may be a column, the same for all rows of a video.
     """
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("frame").cast("long").alias("f"), _column(radius).alias("r"))))
+    row = F.struct((-F.col("score")).alias("s"), F.col("frame").cast("long").alias("f"), *carry, _column(radius).alias("r"))
+    kind = df.select(row.alias("row")).schema["row"].dataType.simpleString()
     kept = F.aggregate(
-        best,
-        F.array().cast("array<bigint>"),
-        lambda acc, x: F.when(F.forall(acc, lambda k: F.abs(x["f"] - k) > x["r"]), F.concat(acc, F.array(x["f"]))).otherwise(acc),
+        F.array_sort(F.collect_list(row)),
+        F.array().cast(f"array<{kind}>"),
+        lambda acc, x: F.when(F.forall(acc, lambda k: F.abs(x["f"] - k["f"]) > x["r"]), F.concat(acc, F.array(x))).otherwise(acc),
     )
-    return islands(df, radius, key).groupBy(key, "island").agg(kept.alias("kept")).select(key, F.explode("kept").alias("frame"))
+    out = islands(df, radius, key).groupBy(key, "island").agg(kept.alias("kept")).select(key, F.explode("kept").alias("k"))
+    return out.select(key, F.col("k.f").alias("frame"), *[F.col("k")[c].alias(c) for c in carry])
 
 
 def detect_hits(candidates: DataFrame, radius: int | str) -> DataFrame:
     """Suppress candidates of both sides together; a kept frame takes side, serve and score of its best candidate.
 
-    Of equal scores the right side's candidate is taken, which is looked at first.
+    Of equal scores the right side's candidate is taken, which is looked at first, and a rally stroke before a serve.
     """
-    best = candidates.groupBy("video", "frame").agg(F.max(F.struct("score", "side", (~F.col("serve")).alias("stroke"))).alias("b"))
-    return suppress(candidates, radius).join(best, ["video", "frame"]).select("video", "frame", F.col("b.side").alias("side"), (~F.col("b.stroke")).alias("serve"), F.col("b.score").alias("score"))
+    c = candidates.withColumn("_left", F.col("side") != "right")
+    return suppress(c, radius, carry=("_left", "serve", "side", "score")).select("video", "frame", "side", "serve", "score")
 
 
 def far_from(events: DataFrame, others: DataFrame, guard: int | str) -> DataFrame:

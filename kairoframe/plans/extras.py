@@ -90,18 +90,23 @@ def segment_handedness(spark, d: str) -> DataFrame:
 
 
 def stroke_training(spark, d: str) -> DataFrame:
-    """The training matrix: labelled contacts in segments, context by timing alone, handedness over segments, and features."""
+    """The training matrix by place: labelled contacts in segments, context by timing alone, handedness over segments, and features."""
     hits, p = _labelled(spark, d)
     ctx = sequence.contexts(hits.where("lo is not null").withColumn("serve", F.lit(False)), 4.0)
     hand = pose.handedness(pose.wrist_travel(p, hits, 12, 6)).select("video", F.col("hand").alias("racket"))
     f = pose.stroke_features(ctx.join(hand, "video"), p, P.ball(spark, d))
-    return f.select("video", "frame", "side", "racket", "first_of_rally", "since_prev_s", F.transform("features", lambda v: F.round(v, 5)).alias("features"))
+    rows = f.select("video", "frame", "side", "racket", "first_of_rally", "since_prev_s", F.posexplode("features").alias("i", "value"))
+    return rows.withColumn("value", F.round("value", 5))
 
 
 _SEG = '''c AS (SELECT video, frame FROM pose WHERE frame % 9 = 4), e AS (SELECT video, greatest(frame - 6, 0) AS lo, frame + 4 AS hi FROM c),
 q AS (SELECT *, sum(n) OVER (PARTITION BY video ORDER BY lo, hi) AS seg FROM (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY video ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS n FROM e) t),
 g AS (SELECT video, min(lo) AS lo, max(hi) AS hi FROM q GROUP BY video, seg)'''
 
+_TRAVEL = """j AS (SELECT c.video, c.frame AS hit, p.frame, x[11] AS rx, y[11] AS ry, x[10] AS lx, y[10] AS ly FROM c JOIN g ON g.video = c.video AND c.frame BETWEEN g.lo AND g.hi JOIN pose p ON p.video = c.video AND p.frame BETWEEN greatest(c.frame - 12, g.lo) AND least(c.frame + 5, g.hi)),
+s AS (SELECT video, sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) AS r, sqrt(pow(lx - lag(lx) OVER w, 2) + pow(ly - lag(ly) OVER w, 2)) AS l FROM j WINDOW w AS (PARTITION BY video, hit ORDER BY frame)),
+t AS (SELECT video, coalesce(sum(r), 0) AS r, coalesce(sum(l), 0) AS l FROM s GROUP BY video)"""
+
 QUERIES = {f.__name__: f for f in (ball_trail, active_label, blob_candidates, contour_candidates, median_corners, compact_shots, prompts, request_errors, best_epoch, stroke_segments, segment_handedness, stroke_training)}
 SQL = {
     "ball_trail": f"""WITH {TRAJ_SQL}, s AS (SELECT *, CASE WHEN sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) < 40 THEN 1 ELSE 0 END AS ok FROM traj WINDOW w AS (PARTITION BY video ORDER BY frame))
@@ -117,9 +122,12 @@ SELECT video, corner, round(median(x), 6) AS x, round(median(y), 6) AS y, count(
 SELECT player, count(*)::INTEGER AS n, string_agg(hand || '-' || technique, ',' ORDER BY i) AS shots FROM n WHERE i <= 5 GROUP BY player""",
     "stroke_segments": f"""WITH {P._POSE}, {_SEG} SELECT c.video, c.frame, g.lo, g.hi FROM c LEFT JOIN g ON g.video = c.video AND c.frame BETWEEN g.lo AND g.hi""",
     "segment_handedness": f"""WITH {P._POSE}, {_SEG},
-j AS (SELECT c.video, c.frame AS hit, p.frame, x[11] AS rx, y[11] AS ry, x[10] AS lx, y[10] AS ly FROM c JOIN g ON g.video = c.video AND c.frame BETWEEN g.lo AND g.hi JOIN pose p ON p.video = c.video AND p.frame BETWEEN greatest(c.frame - 12, g.lo) AND least(c.frame + 5, g.hi)),
-s AS (SELECT video, sqrt(pow(rx - lag(rx) OVER w, 2) + pow(ry - lag(ry) OVER w, 2)) AS r, sqrt(pow(lx - lag(lx) OVER w, 2) + pow(ly - lag(ly) OVER w, 2)) AS l FROM j WINDOW w AS (PARTITION BY video, hit ORDER BY frame)),
-t AS (SELECT video, coalesce(sum(r), 0) AS r, coalesce(sum(l), 0) AS l FROM s GROUP BY video) SELECT video, round(r, 4) AS "right", round(l, 4) AS "left", CASE WHEN l > r THEN 'L' ELSE 'R' END AS hand FROM t""",
+{_TRAVEL} SELECT video, round(r, 4) AS "right", round(l, 4) AS "left", CASE WHEN l > r THEN 'L' ELSE 'R' END AS hand FROM t""",
+    "stroke_training": f"""{P._stroke_sql(f"""hit_travel AS (WITH {_SEG},
+{_TRAVEL} SELECT video, CASE WHEN l > r THEN 'L' ELSE 'R' END AS racket FROM t),
+c AS (SELECT p.*, CASE WHEN frame % 2 = 0 THEN -1.0::DOUBLE ELSE 1 END AS mirror, racket, CASE WHEN video % 3 <> 1 THEN 0.1::DOUBLE END AS slope, CASE WHEN video % 3 <> 1 THEN 5.0::DOUBLE END AS level,
+ coalesce(frame - lag(frame) OVER w > 10, true) AS begins, CASE WHEN frame - lag(frame) OVER w <= 10 THEN (frame - lag(frame) OVER w) / 4 END AS since_s FROM p JOIN hit_travel USING (video) WHERE frame % 9 = 4 WINDOW w AS (PARTITION BY video ORDER BY frame))""")}
+SELECT video, frame, CASE WHEN mirror < 0 THEN 'left' ELSE 'right' END AS side, racket, begins AS first_of_rally, since_s AS since_prev_s, i, value FROM vals JOIN c USING (video, frame)""",
     "prompts": f"""WITH {FRAMES_SQL} SELECT video, frame, md5('Label the stroke of the player on the ' || CASE WHEN k >= 50 THEN 'right' ELSE 'left' END || ' side.' || CASE frame % 3 WHEN 0 THEN ' The racket is in the left hand.' WHEN 1 THEN ' The racket is in the right hand.' ELSE '' END
  || ' Choose {_CHOICES}. Reply as one JSON object.') AS prompt FROM frames WHERE kind = 'click'""",
     "request_errors": """SELECT p_partkey, CASE WHEN p_partkey % 4 >= 2 THEN 'unsupported file type' WHEN p_partkey % 5 = 0 THEN 'side must be left or right' WHEN p_partkey % 7 = 0 THEN 'racket must be auto, left or right'

@@ -167,8 +167,12 @@ def _angle_sql(a: int, b: int, c: int) -> str:
 _TORSO = "sqrt(pow((x[6] + x[7]) / 2 - (x[12] + x[13]) / 2, 2) + pow((y[6] + y[7]) / 2 - (y[12] + y[13]) / 2, 2))"
 _BOXES = FRAMES_SQL + ", b AS (SELECT video, frame // 5 AS frame, frame AS id, k AS x1, value AS y1, k + 20 AS x2, value + 10 + k / 4 AS y2 FROM frames)"
 
-def _stroke_sql() -> str:
-    """The features as rows: keypoints uy place, then all others of a contact as one list."""
+_CONTACTS = """c AS (SELECT *, CASE WHEN frame % 2 = 0 THEN -1.0::DOUBLE ELSE 1 END AS mirror, CASE WHEN video % 3 = 0 THEN 'L' ELSE 'R' END AS racket, CASE WHEN video % 3 <> 1 THEN 0.1::DOUBLE END AS slope, CASE WHEN video % 3 <> 1 THEN 5.0::DOUBLE END AS level,
+ frame % 4 = 0 AS begins, CASE WHEN frame % 4 <> 0 THEN frame / 120 END AS since_s FROM p WHERE frame % 9 = 4)"""
+
+
+def _stroke_sql(contacts: str = _CONTACTS) -> str:
+    """The features as rows ``vals`` (video, frame, i, value) of the contacts ``c``: keypoints by place, then all others of a contact as one list."""
     k = lambda o, i, c: f"max(n{c}) FILTER (WHERE o = {o} AND i = {i})"
     names = {f"w{n}{c}": k(o, 10, c) for n, o in enumerate(pose.OFFSETS) for c in "xy"}
     names |= {f"k{i}{c}": k(0, i, c) for i in pose.USED for c in "xy"} | {"la0": k(-16, 15, "y"), "la1": k(8, 15, "y"), "ra0": k(-16, 16, "y"), "ra1": k(8, 16, "y"), "h0": k(-16, 0, "x"), "h1": k(8, 0, "x"), "n0": "count(*) FILTER (WHERE o = 0 AND nx IS NOT NULL AND ny IS NOT NULL)"}
@@ -182,11 +186,11 @@ def _stroke_sql() -> str:
 
     body = [speeds[4], f"greatest({', '.join(speeds)})", "k10y - k6y", "k10x", "w2x", angle(6, 8, 10), angle(11, 13, 15), angle(12, 14, 16), "CASE WHEN n0 = 17 THEN degrees(atan2(k5y + k6y - k11y - k12y, k5x + k6x - k11x - k12x)) END", "k15x - k16x", "k15y - k16y", "la1 - la0", "ra1 - ra0", "h1 - h0", "(k11y + k12y - k15y - k16y) / 2"]
     flight = ["ix", "iy", "ox", "oy", "sqrt(ox * ox + oy * oy)", "degrees(atan2(-oy, -ox))", "CASE WHEN ix IS NOT NULL THEN sqrt(ox * ox + oy * oy) / greatest(sqrt(ix * ix + iy * iy), 1e-3) END", "(ux - hx) / size * mirror", "(uy - hy) / size", "(uy - level - slope * ux) / size"]
-    context = ["CASE WHEN frame % 4 = 0 THEN 1 ELSE 0 END", "CASE WHEN frame % 4 <> 0 THEN frame / 120 END", "CASE WHEN (mirror < 0) = (racket = 'R') THEN 1 ELSE 0 END", "CASE WHEN mirror < 0 THEN 1 ELSE 0 END"]
+    context = ["CASE WHEN begins THEN 1 ELSE 0 END", "since_s", "CASE WHEN (mirror < 0) = (racket = 'R') THEN 1 ELSE 0 END", "CASE WHEN mirror < 0 THEN 1 ELSE 0 END"]
     speed = lambda lo, hi, c: f"CASE WHEN count(*) FILTER (WHERE o >= {lo} AND o < {hi} AND ux IS NOT NULL) >= 2 THEN (arg_max(u{c}, o) FILTER (WHERE o >= {lo} AND o < {hi} AND ux IS NOT NULL) - arg_min(u{c}, o) FILTER (WHERE o >= {lo} AND o < {hi} AND ux IS NOT NULL)) / (count(*) FILTER (WHERE o >= {lo} AND o < {hi} AND ux IS NOT NULL) - 1) END"
     own = "sqrt(pow((x[6] + x[7]) / 2 - (x[12] + x[13]) / 2, 2) + pow((y[6] + y[7]) / 2 - (y[12] + y[13]) / 2, 2))"
     return f"""WITH {_POSE}, p AS (SELECT pose.video, pose.frame, x, y, {own} AS t, (x[12] + x[13]) / 2 AS mx, (y[12] + y[13]) / 2 AS my, CASE WHEN pose.vec_id % 11 <> 0 THEN v[35] END AS ux, CASE WHEN pose.vec_id % 11 <> 0 THEN v[36] END AS uy FROM pose JOIN p0 USING (video, frame)),
-c AS (SELECT *, CASE WHEN frame % 2 = 0 THEN -1.0::DOUBLE ELSE 1 END AS mirror, CASE WHEN video % 3 = 0 THEN 'L' ELSE 'R' END AS racket, CASE WHEN video % 3 <> 1 THEN 0.1::DOUBLE END AS slope, CASE WHEN video % 3 <> 1 THEN 5.0::DOUBLE END AS level FROM p WHERE frame % 9 = 4),
+{contacts},
 w AS (SELECT c.video, c.frame, median(p.t) AS t, median(p.mx) AS mx, median(p.my) AS my FROM c JOIN p ON p.video = c.video AND p.frame BETWEEN c.frame - 20 AND c.frame + 19 GROUP BY ALL),
 b AS (SELECT c.*, CASE WHEN c.t >= 1 THEN c.t ELSE w.t END AS size, CASE WHEN c.t >= 1 THEN c.mx ELSE coalesce(w.mx, c.mx) END AS hx, CASE WHEN c.t >= 1 THEN c.my ELSE coalesce(w.my, c.my) END AS hy FROM c JOIN w USING (video, frame)),
 f AS (SELECT b.video, b.frame, {', '.join(f"{speed(*r, z)} AS {n}{z}" for n, r in (('i', (-8, -1)), ('o', (1, 9))) for z in 'xy')} FROM (SELECT b.video, b.frame, p.frame - b.frame AS o, p.ux, p.uy FROM b JOIN p ON p.video = b.video AND p.frame BETWEEN b.frame - 8 AND b.frame + 8) b GROUP BY ALL),
@@ -194,9 +198,9 @@ o AS (SELECT b.video, b.frame, o, i, (p.x[m + 1] - hx) / size * mirror AS nx, (p
  FROM (SELECT *, CASE WHEN racket = 'R' OR i = 0 THEN i WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END AS m FROM b, (SELECT unnest([{', '.join(map(str, pose.OFFSETS))}]) AS o), (SELECT unnest(range(17)) AS i)) b LEFT JOIN p ON p.video = b.video AND p.frame = b.frame + o),
 wide AS (SELECT video, frame, {wide} FROM o GROUP BY video, frame),
 r AS (SELECT video, frame, (list_position([{', '.join(map(str, pose.OFFSETS))}], o) - 1) * 26 + CASE i WHEN 0 THEN 0 ELSE 2 * (i - 4) END AS i, nx, ny FROM o WHERE i = 0 OR i >= 5),
-e AS (SELECT b.video, b.frame, [{', '.join(f"({v})::DOUBLE" for v in (*body, *[x.replace('ix', 'f.ix * mirror / size').replace('iy', 'f.iy / size').replace('ox', 'f.ox * mirror / size').replace('oy', 'f.oy / size') if n < 7 else x for n, x in enumerate(flight)], *context))}] AS vs FROM b JOIN wide USING (video, frame) JOIN f USING (video, frame))
-SELECT video, frame, i::INTEGER AS i, round(nx, 5) AS value FROM r UNION ALL SELECT video, frame, (i + 1)::INTEGER, round(ny, 5) FROM r
-UNION ALL SELECT video, frame, (233 + n)::INTEGER, round(vs[n], 5) FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS n FROM e) u"""
+e AS (SELECT b.video, b.frame, [{', '.join(f"({v})::DOUBLE" for v in (*body, *[x.replace('ix', 'f.ix * mirror / size').replace('iy', 'f.iy / size').replace('ox', 'f.ox * mirror / size').replace('oy', 'f.oy / size') if n < 7 else x for n, x in enumerate(flight)], *context))}] AS vs FROM b JOIN wide USING (video, frame) JOIN f USING (video, frame)),
+vals AS (SELECT video, frame, i::INTEGER AS i, round(nx, 5) AS value FROM r UNION ALL SELECT video, frame, (i + 1)::INTEGER, round(ny, 5) FROM r
+UNION ALL SELECT video, frame, (233 + n)::INTEGER, round(vs[n], 5) FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS n FROM e) u)"""
 
 
 QUERIES = {f.__name__: f for f in (joint_angles, torso_fallback, handedness, select_players, followed_players, filled_poses, iou_best, same_row, stroke_features, track_link, tracklet_paint, tracklet_scores, stroke_rf, heuristic_strokes, stream_sessions, stream_rallies, stream_crossings)}
@@ -229,7 +233,7 @@ v AS (SELECT *, (x - lag(x) OVER w) / (frame - lag(frame) OVER w) AS vx, (y - la
 j AS (SELECT *, sqrt(vx * vx + vy * vy) AS speed, sqrt(pow(vx - lag(vx) OVER w, 2) + pow(vy - lag(vy) OVER w, 2)) AS jerk FROM v WINDOW w AS (PARTITION BY video, track ORDER BY frame)),
 g AS (SELECT video, track, count(*) AS n, avg(conf) AS c, median(speed) AS s, coalesce(median(jerk), 0) AS j FROM j GROUP BY ALL)
 SELECT video, track, n, round(n * c * greatest(0.0, least(1.5, s / 2.0 / 6.0)) / (1.0 + j / 2.0 / 4.0), 6) AS score FROM g WHERE n >= 3""",
-    "stroke_features": _stroke_sql(),
+    "stroke_features": f"{_stroke_sql()} SELECT video, frame, i, value FROM vals",
     "heuristic_strokes": f"WITH {FRAMES_SQL} SELECT video, frame, CASE WHEN frame < 5 THEN 'serve' ELSE 'unknown' END AS technique FROM frames WHERE kind = 'click'",
     "stream_rallies": """WITH e AS (SELECT user_id AS video, event_id AS id, epoch_us(ts) AS t, event_type = 'signup' AS serve FROM events WHERE event_type <> 'error'), w AS (SELECT max(t) // 1000 - 3600000 AS now FROM e),
 g AS (SELECT *, sum(CASE WHEN p IS NOT NULL AND (serve OR t - p > 43200000000) THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY t, id) AS rally FROM (SELECT *, lag(t) OVER (PARTITION BY video ORDER BY t, id) AS p FROM e, w WHERE t // 1000 <= now) q),

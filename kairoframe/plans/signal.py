@@ -42,8 +42,7 @@ def nms_hits(spark, d: str) -> DataFrame:
 def _bounces(spark, d: str, over_table=None) -> DataFrame:
     c = signal.bounce_candidates(trajectory(spark, d), WIDTH_W, 1.0, over_table).withColumn("score", F.round("score", 6))
     c = sequence.far_from(c, _hits(spark, d).select("video", "frame"), GUARD)
-    best = c.select("video", "frame", "x", "y")
-    return sequence.suppress(c, RADIUS).join(best, ["video", "frame"]).withColumn("half", F.when(F.col("x") > NET, "right").otherwise("left"))
+    return sequence.suppress(c, RADIUS, carry=("x", "y")).withColumn("half", F.when(F.col("x") > NET, "right").otherwise("left"))
 
 
 def detected_bounces(spark, d: str) -> DataFrame:
