@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
 from ..operators import dataset
+from ..session import shared_dir
 from ..sources import labels as readers
 from ..sources import store
-from ..sources.views import FRAMES_SQL, frames, table, trajectory
+from ..sources.views import FRAMES_SQL, TRAJ_SQL, frames, table, trajectory
 
 
 def _raw(spark, d: str) -> DataFrame:
@@ -23,6 +26,30 @@ def _raw(spark, d: str) -> DataFrame:
     return f.select("video", "frame", F.when(F.col("kind") == "view", full).when(F.col("kind") == "click", F.concat(side, F.lit("_"), pick(_OUT, k))).when(F.col("kind") == "purchase", pick(_BARE, k)).when(F.col("kind") == "signup", F.concat(F.lit("  x"), stroke, F.lit("  "))).alias("raw"))
 
 
+def _stored(spark, rows: DataFrame, value: str) -> str:
+    """A folder of annotation files made of these rows."""
+    path = f"{shared_dir(spark)}/annotations-{uuid.uuid4().hex}"
+    readers.write_annotations(rows, path, value)
+    return path
+
+
+def loaded_events(spark, d: str) -> DataFrame:
+    """Annotations written as files, one for each video, and read again."""
+    e = readers.load_events(spark, _stored(spark, _raw(spark, d), "raw"))
+    return e.select(F.col("video").cast("long").alias("video"), "frame", "kind", "side", "hand", "technique", "lean", "feet", "outcome", "point_winner")
+
+
+def loaded_ball(spark, d: str) -> DataFrame:
+    """Ball positions written as files and read again; a missing one is labelled as not visible."""
+    t = trajectory(spark, d).where("frame % 4 <> 1")
+    at = F.struct(F.coalesce("x", F.lit(-1.0)).alias("x"), F.coalesce("y", F.lit(-1.0)).alias("y"))
+    return readers.load_ball(spark, _stored(spark, t.withColumn("at", at), "at")).withColumn("video", F.col("video").cast("long"))
+
+
+def side_strokes(spark, d: str) -> DataFrame:
+    return readers.strokes(_parsed(spark, d), "left").select("video", "frame", "side", "hand", "technique")
+
+
 _SIDE = ["right", "left", "xright", "middle"]
 _HAND = ["forehand", "backhand"]
 _TECH = ["loop", "push", "serve", "drive", "chop"]
@@ -129,9 +156,12 @@ parsed AS (SELECT video, frame, kind, CASE WHEN kind IN ('stroke', 'rally_end')
 _MIR = "CASE {c} " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in L.MIRROR.items()) + " ELSE {c} END"
 _GROUP_ROWS = ", ".join(f"('{k}', {i}, '{v}')" for k, vs in readers.GROUPS.items() for i, v in enumerate(vs))
 
-QUERIES = {f.__name__: f for f in (parse_labels, mirror_jitter_expand, stride_sample, wanted_frames, frame_triplets, detection_lines, sft_pairs, split_resolve, split_except, cache_key, json_tolerant, densify, clear_windows)}
+QUERIES = {f.__name__: f for f in (parse_labels, mirror_jitter_expand, stride_sample, wanted_frames, frame_triplets, detection_lines, sft_pairs, split_resolve, split_except, cache_key, json_tolerant, densify, clear_windows, loaded_events, loaded_ball, side_strokes)}
 SQL = {
     "parse_labels": f"WITH {_PARSED} SELECT * FROM parsed",
+    "loaded_events": f"WITH {_PARSED} SELECT * FROM parsed",
+    "loaded_ball": f"WITH {TRAJ_SQL} SELECT video, frame, x, y, x IS NOT NULL AS visible FROM traj WHERE frame % 4 <> 1",
+    "side_strokes": f"WITH {_PARSED} SELECT video, frame, side, hand, technique FROM parsed WHERE kind = 'stroke' AND side = 'left'",
     "mirror_jitter_expand": f"""WITH {_PARSED} SELECT video, frame, mirror, jitter, frame + jitter AS "at", {', '.join(f"CASE WHEN mirror THEN {_MIR.format(c=c)} ELSE {c} END AS {c}" for c in ('side', 'lean', 'feet'))}
 FROM parsed, (VALUES (false), (true)) m(mirror), (VALUES (-1), (0), (1)) j(jitter) WHERE kind = 'stroke'""",
     "stride_sample": f"WITH {FRAMES_SQL} SELECT video, frame, k AS x FROM (SELECT *, row_number() OVER (PARTITION BY video ORDER BY frame) - 1 AS n FROM frames WHERE kind <> 'error') t WHERE n % 5 = 0",

@@ -66,7 +66,8 @@ def _names(spark, d: str) -> DataFrame:
 
 def label_files(spark, d: str) -> DataFrame:
     """Where each video's ball positions are."""
-    return _names(spark, d).select("user_id", labels.ball_file(F.col("video")).alias("path"))
+    v = F.col("video")
+    return _names(spark, d).select("user_id", labels.ball_file(v).alias("ball"), labels.events_file(v).alias("events"), labels.video_file(v).alias("video"))
 
 
 def racket_hands(spark, d: str) -> DataFrame:
@@ -99,6 +100,17 @@ def boost_report(spark, d: str) -> DataFrame:
     return models.side_report(p, "right", ("label",)).withColumn("side", F.lit("right")).unionByName(models.side_report(p, "left", ("label",)).withColumn("side", F.lit("left")))
 
 
+def target_report(spark, d: str) -> DataFrame:
+    """Held-out report of a forest for each of the four targets, over strokes of the right side; vectors stand for features."""
+    e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
+    pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (n % len(words) + 1).cast("int"))
+    k = F.col("label").cast("int")
+    named = {"hand": pick(("forehand", "backhand"), k), "technique": pick(("loop", "push", "serve"), k), "lean": pick(("neutral", "back_heavy"), k + F.col("vec_id") % 2), "feet": F.when(F.col("vec_id") % 5 != 0, pick(("both_feet_planted", "left_foot_lifted"), k))}
+    rows = e.select("vec_id", F.when(F.col("vec_id") % 2 == 0, "left").otherwise("right").alias("side"), F.transform("embedding", lambda x: x.cast("double")).alias("features"), *[v.alias(n) for n, v in named.items()])
+    fitted = models.fit_all(rows.where("vec_id % 3 <> 0"), trees=3, depth=4)
+    return models.side_report(models.predict_all(fitted, rows.where("vec_id % 3 = 0 and feet is not null")))
+
+
 def _md_sql() -> str:
     esc = "replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
     strong = lambda x: f"regexp_replace(regexp_replace({esc.replace('(x,', f'({x},')}, '\\*\\*(.+?)\\*\\*', '<b>\\1</b>', 'g'), '\\*(.+?)\\*', '<i>\\1</i>', 'g')"
@@ -126,7 +138,7 @@ f AS (SELECT player, CASE WHEN strokes < 4 THEN [['Not enough strokes detected',
 SELECT player, (i - 1)::INTEGER AS nth, fs[i][1] AS title, md5(MAP {{{', '.join(f"'{k}': '{v.replace("'", "''")}'" for k, v in report.DETAILS.items())}}}[fs[i][1]]) AS detail, fs[i][2] AS evidence FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS i FROM f) q"""
 _NAMES = "names AS (SELECT DISTINCT user_id, CASE WHEN user_id % 12 < 5 THEN 'game_' || (user_id % 12 + 1) ELSE 'test_' || (user_id % 12 - 4) END AS video FROM events)"
 
-QUERIES = {f.__name__: f for f in (notes_html, image_urls, run_names, answer_accuracy, coaching_findings, player_scale, label_files, racket_hands, bounce_scores, stroke_boost, boost_report)}
+QUERIES = {f.__name__: f for f in (notes_html, image_urls, run_names, answer_accuracy, coaching_findings, player_scale, label_files, racket_hands, bounce_scores, stroke_boost, boost_report, target_report)}
 SQL = {
     "notes_html": f"WITH {_md_sql()} SELECT conv_id, turn, md5(html) AS html, length(html) AS n FROM o",
     "image_urls": "SELECT p_partkey, 'data:image/jpeg;base64,' || to_base64(encode(p_name)) AS url, p_name AS name FROM part",
@@ -135,7 +147,8 @@ SQL = {
 SELECT count(*) AS n, round(avg(CASE WHEN bad THEN 0 ELSE 1 END), 4) AS hand_acc, round(avg(CASE WHEN NOT bad AND told THEN 1 ELSE 0 END), 4) AS technique_acc, count(*) FILTER (WHERE bad) AS bad_json FROM a""",
     "coaching_findings": _TIPS,
     "player_scale": f"""WITH {FRAMES_SQL} SELECT video, CASE WHEN count(*) FILTER (WHERE frame % 5 <> 0) > 50 THEN round(1.55::DOUBLE / median(value + 10 + k / 4 - value) FILTER (WHERE frame % 5 <> 0), 8) END AS m_per_px FROM frames GROUP BY video""",
-    "label_files": f"WITH {_NAMES} SELECT user_id, 'ball_data/' || CASE WHEN video LIKE 'game%' THEN 'train' ELSE 'test' END || '/' || replace(video, 'game_', 'train_') || '.json' AS path FROM names",
+    "label_files": f"""WITH {_NAMES}, s AS (SELECT *, CASE WHEN video LIKE 'game%' THEN 'train' ELSE 'test' END AS split FROM names)
+SELECT user_id, 'ball_data/' || split || '/' || replace(video, 'game_', 'train_') || '.json' AS ball, 'game_data/' || split || '/' || video || '.json' AS events, split || '/' || video || '.mp4' AS video FROM s""",
     "racket_hands": f"""WITH {_NAMES} SELECT video, side, CASE WHEN (video, side) IN (('test_3', 'right'), ('test_5', 'left'), ('test_5', 'right'), ('test_7', 'right')) THEN 'L' ELSE 'R' END AS hand
 FROM (SELECT DISTINCT video FROM names) n, (VALUES ('left'), ('right')) s(side)""",
     "bounce_scores": f"""WITH {FRAMES_SQL}, {_NAMES}, c AS (SELECT n.video AS name, count(*) FILTER (WHERE kind = 'click') AS tp, count(*) FILTER (WHERE kind = 'view') AS fp, count(*) FILTER (WHERE kind = 'error') AS fn FROM frames f JOIN names n ON n.user_id = f.video GROUP BY n.video)

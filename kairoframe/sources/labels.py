@@ -21,7 +21,8 @@ NO_BOUNCE_LABELS = ("test_2",)
 
 def _last_by_key(files: DataFrame, kind: str) -> DataFrame:
     """video, frame, value of JSON objects by frame; of a key that occurs twice the last value holds."""
-    pairs = files.select(F.regexp_extract(F.col("path"), r"([^/]+)\.json$", 1).alias("video"), F.posexplode(F.from_json("value", f"map<string,{kind}>")).alias("at", "frame", "v"))
+    named, stored = (F.regexp_extract(F.col("path"), p, 1) for p in (r"([^/]+)\.json$", r"/video=([^/]+)/[^/]*$"))
+    pairs = files.select(F.when(named != "", named).otherwise(stored).alias("video"), F.posexplode(F.from_json("value", f"map<string,{kind}>")).alias("at", "frame", "v"))
     return pairs.groupBy("video", F.col("frame").cast("long").alias("frame")).agg(F.max_by("v", "at").alias("v"))
 
 
@@ -35,6 +36,20 @@ def load_events(spark: SparkSession, path: str) -> DataFrame:
     return e.select("video", "frame", F.col("v").alias("raw"), "e.*").withColumn("point_winner", point_winner(F.col("kind"), F.col("side"), F.col("outcome")))
 
 
+def strokes(events: DataFrame, side: str | None = None) -> DataFrame:
+    """The strokes among events, of one side or of both."""
+    found = events.where("kind = 'stroke'")
+    return found if side is None else found.where(F.col("side") == side)
+
+
+def write_annotations(rows: DataFrame, path: str, value: str = "value") -> None:
+    """One JSON object {frame: value} per video, in order of frames; the readers find it by its folder's name."""
+    entry = F.struct("frame", F.col(value).alias("v"))
+    one = rows.where(F.col(value).isNotNull()).groupBy("video").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    text = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["frame"].cast("string"), x["v"]))))
+    one.select("video", text.alias("value")).repartition("video").write.mode("overwrite").partitionBy("video").text(path)
+
+
 def load_ball(spark: SparkSession, path: str) -> DataFrame:
     """Ball positions {frame: {x, y}}: x below 0 means labelled as not visible; frames without a label have no row."""
     b = _last_by_key(_files(spark, path), "struct<x:double,y:double>")
@@ -66,6 +81,14 @@ def split_of(video: Column) -> Column:
     return F.when(video.startswith("game_"), "train").otherwise("test")
 
 
+def video_file(video: Column) -> Column:
+    return F.concat_ws("/", split_of(video), F.concat(video, F.lit(".mp4")))
+
+
+def events_file(video: Column) -> Column:
+    return F.concat_ws("/", F.lit("game_data"), split_of(video), F.concat(video, F.lit(".json")))
+
+
 def ball_file(video: Column) -> Column:
     """Ball files of training videos are numbered as train_<n>."""
     return F.concat_ws("/", F.lit("ball_data"), split_of(video), F.concat(F.regexp_replace(video, "^game_", "train_"), F.lit(".json")))

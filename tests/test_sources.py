@@ -56,3 +56,13 @@ def test_dataset_helpers(spark):
     got = sorted((r["mirror"], r["jitter"], r["side"], r["lean"], r["at"]) for r in dataset.expand(s, (0, 2)).collect())
     assert got == [(False, 0, "left", "right_leaning", 5), (False, 2, "left", "right_leaning", 7), (True, 0, "right", "left_leaning", 5), (True, 2, "right", "left_leaning", 7)]
     assert dataset.seeded_sample(spark.range(50), 5, 1, "id").collect() == dataset.seeded_sample(spark.range(50).repartition(7), 5, 1, "id").collect()
+
+
+def test_annotations_are_written_and_read_again(spark, tmp_path):
+    rows = [("game_1", 10, "bounce"), ("game_1", 9, "left_forehand_loop neutral both_feet_planted"), ("game_1", 11, None), ("test_2", 0, "right_backhand_push")]
+    labels.write_annotations(spark.createDataFrame(rows, "video string, frame long, value string"), str(tmp_path / "a"))
+    events = labels.load_events(spark, str(tmp_path / "a"))
+    assert sorted((r["video"], r["frame"], r["kind"]) for r in events.collect()) == [("game_1", 9, "stroke"), ("game_1", 10, "bounce"), ("test_2", 0, "stroke")]
+    assert [r["frame"] for r in labels.strokes(events, "right").collect()] == [0] and labels.strokes(events).count() == 2
+    paths = spark.range(1).select(labels.events_file(F.lit("game_4")).alias("e"), labels.video_file(F.lit("test_1")).alias("v")).first()
+    assert tuple(paths) == ("game_data/train/game_4.json", "test/test_1.mp4")
