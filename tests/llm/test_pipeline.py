@@ -50,5 +50,5 @@ def test_registered():
     import __spark_entry__ as entry
 
     q = entry.queries()
-    assert "pipeline" in q and {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert "pipeline" in q and {n.split("_")[0] for n in q if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert set(entry.oracle_sql()) <= set(q)
