@@ -23,12 +23,12 @@ def _pick(words: tuple[str, ...], n):
 
 
 def shots(spark, d: str) -> DataFrame:
-    """player, rally, n, hand, technique, lean, feet, speed (0: unknown), won, outcome of each line."""
+    """player, rally, n, part, supplier, hand, technique, lean, feet, speed (0: unknown), won, outcome of each line."""
     li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
     j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
     return j.select(
-        F.col("o_custkey").alias("player"), F.col("l_orderkey").alias("rally"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("part"),
+        F.col("o_custkey").alias("player"), F.col("l_orderkey").alias("rally"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"),
         F.when(F.col("l_returnflag") == "R", "backhand").otherwise("forehand").alias("hand"), _pick(TECHNIQUES, F.col("l_partkey")).alias("technique"), _pick(LEANS, F.col("l_suppkey")).alias("lean"),
         _pick(FEET, F.col("l_partkey") + F.col("l_suppkey")).alias("feet"), F.when(F.col("l_discount") == 0, 0.0).otherwise(F.col("l_extendedprice") / 997).alias("speed"),
         F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False).alias("won"), F.when(F.col("l_linestatus") == "F", "net").otherwise("out").alias("outcome"),
@@ -40,8 +40,8 @@ def report_totals(spark, d: str) -> DataFrame:
 
 
 def _at():
-    """Order of a player's shots; (order, line) alone is not unique in the table."""
-    return (F.col("rally") * 10 + F.col("n")) * 1_000_000 + F.col("part")
+    """Order of a player's shots. Order, line and part are not unique in the table: equal ones go by supplier, then by what they show."""
+    return F.struct(((F.col("rally") * 10 + F.col("n")) * 1_000_000 + F.col("part")).alias("key"), "supplier", "rally", "n", "hand")
 
 
 def technique_counts(spark, d: str) -> DataFrame:
