@@ -38,14 +38,24 @@ def placement(side: Column, half: Column, u: Column, v: Column) -> Column:
     return F.when(ok, F.struct(F.round(u, 3).alias("u"), F.round(v, 3).alias("v"), F.round(depth, 3).alias("depth")))
 
 
-def totals(shots: DataFrame, key: str, hand: str = "hand", speed: str = "speed", places: int = 1) -> DataFrame:
-    """Strokes by hand and speeds; a speed of null or 0 is not known."""
+def total_columns(hand: str = "hand", speed: str = "speed", places: int = 1) -> list[Column]:
+    """Aggregates: strokes by hand and speeds; a speed of null or 0 is not known."""
     known = F.when(F.col(speed) > 0, F.col(speed))
     by = lambda h: F.round(F.avg(F.when(F.col(hand) == h, known)), places)
-    return shots.groupBy(key).agg(
+    return [
         F.count("*").alias("strokes"), F.count_if(F.col(hand) == "forehand").alias("forehand"), F.count_if(F.col(hand) == "backhand").alias("backhand"),
         F.round(F.avg(known), places).alias("avg_speed"), F.round(F.max(known), places).alias("peak_speed"), by("forehand").alias("forehand_avg"), by("backhand").alias("backhand_avg"),
-    )
+    ]
+
+
+def totals(shots: DataFrame, key: str, hand: str = "hand", speed: str = "speed", places: int = 1) -> DataFrame:
+    """``total_columns`` of each key."""
+    return shots.groupBy(key).agg(*total_columns(hand, speed, places))
+
+
+def label_counts(column: str, labels: tuple[str, ...]) -> Column:
+    """Aggregate: a map of how often each of a few labels occurs."""
+    return F.create_map(*[x for v in labels for x in (F.lit(v), F.count_if(F.col(column) == v))]).alias(column)
 
 
 def ranked_counts(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
