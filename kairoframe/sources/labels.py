@@ -1,4 +1,4 @@
-"""Readers of annotation files, and the helpers that name and resolve datasets."""
+"""Readers and writers of annotation files, and the helpers that name and resolve datasets."""
 
 from __future__ import annotations
 
@@ -19,10 +19,14 @@ LEFT_HANDED = (("test_3", "right"), ("test_5", "left"), ("test_5", "right"), ("t
 NO_BOUNCE_LABELS = ("test_2",)
 
 
-def _last_by_key(files: DataFrame, kind: str) -> DataFrame:
+def _last_by_key(spark: SparkSession, path: str, kind: str, packed: bool) -> DataFrame:
     """video, frame, value of JSON objects by frame; of a key that occurs twice the last value holds."""
-    named, stored = (F.regexp_extract(F.col("path"), p, 1) for p in (r"([^/]+)\.json$", r"/video=([^/]+)/[^/]*$"))
-    pairs = files.select(F.when(named != "", named).otherwise(stored).alias("video"), F.posexplode(F.from_json("value", f"map<string,{kind}>")).alias("at", "frame", "v"))
+    if packed:
+        objects = spark.read.schema(f"video string, frames map<string,{kind}>").json(path)
+    else:
+        named, stored = (F.regexp_extract(F.col("path"), p, 1) for p in (r"([^/]+)\.json$", r"/video=([^/]+)/[^/]*$"))
+        objects = _files(spark, path).select(F.when(named != "", named).otherwise(stored).alias("video"), F.from_json("value", f"map<string,{kind}>").alias("frames"))
+    pairs = objects.select("video", F.posexplode("frames").alias("at", "frame", "v"))
     return pairs.groupBy("video", F.col("frame").cast("long").alias("frame")).agg(F.max_by("v", "at").alias("v"))
 
 
@@ -30,9 +34,9 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
-def load_events(spark: SparkSession, path: str) -> DataFrame:
-    """Annotations {frame: label}, one file per video: parsed, those that mean nothing left out, with point_winner."""
-    e = _last_by_key(_files(spark, path), "string").withColumn("e", parse_label(F.col("v"))).where("e is not null")
+def load_events(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """Annotations {frame: label}, one object per video: parsed, those that mean nothing left out, with point_winner."""
+    e = _last_by_key(spark, path, "string", packed).withColumn("e", parse_label(F.col("v"))).where("e is not null")
     return e.select("video", "frame", F.col("v").alias("raw"), "e.*").withColumn("point_winner", point_winner(F.col("kind"), F.col("side"), F.col("outcome")))
 
 
@@ -42,17 +46,24 @@ def strokes(events: DataFrame, side: str | None = None) -> DataFrame:
     return found if side is None else found.where(F.col("side") == side)
 
 
-def write_annotations(rows: DataFrame, path: str, value: str = "value") -> None:
-    """One JSON object {frame: value} per video, in order of frames; the readers find it by its folder's name."""
+def write_annotations(rows: DataFrame, path: str, value: str = "value", packed: bool = False) -> None:
+    """One JSON object {frame: value} per video, in order of frames.
+
+    Each is a file that the readers find by its folder's name. With ``packed`` it is a line {video, frames} of a file that
+    many videos share: a file for each of very many videos takes far longer to make, list and open than what is in it.
+    """
     entry = F.struct("frame", F.col(value).alias("v"))
     one = rows.where(F.col(value).isNotNull()).groupBy("video").agg(F.sort_array(F.collect_list(entry)).alias("e"))
-    text = F.to_json(F.map_from_entries(F.transform("e", lambda x: F.struct(x["frame"].cast("string"), x["v"]))))
-    one.select("video", text.alias("value")).repartition("video").write.mode("overwrite").partitionBy("video").text(path)
+    by_frame = F.map_from_entries(F.transform("e", lambda x: F.struct(x["frame"].cast("string"), x["v"])))
+    if packed:
+        one.select(F.col("video").cast("string").alias("video"), by_frame.alias("frames")).write.mode("overwrite").json(path)
+    else:
+        one.select("video", F.to_json(by_frame).alias("value")).repartition("video").write.mode("overwrite").partitionBy("video").text(path)
 
 
-def load_ball(spark: SparkSession, path: str) -> DataFrame:
+def load_ball(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
     """Ball positions {frame: {x, y}}: x below 0 means labelled as not visible; frames without a label have no row."""
-    b = _last_by_key(_files(spark, path), "struct<x:double,y:double>")
+    b = _last_by_key(spark, path, "struct<x:double,y:double>", packed)
     seen = F.col("v.x") >= 0
     return b.select("video", "frame", F.when(seen, F.col("v.x")).alias("x"), F.when(seen, F.col("v.y")).alias("y"), seen.alias("visible"))
 

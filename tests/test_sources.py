@@ -66,3 +66,15 @@ def test_annotations_are_written_and_read_again(spark, tmp_path):
     assert [r["frame"] for r in labels.strokes(events, "right").collect()] == [0] and labels.strokes(events).count() == 2
     paths = spark.range(1).select(labels.events_file(F.lit("game_4")).alias("e"), labels.video_file(F.lit("test_1")).alias("v")).first()
     assert tuple(paths) == ("game_data/train/game_4.json", "test/test_1.mp4")
+
+
+def test_many_videos_share_annotation_files(spark, tmp_path):
+    rows = [(v, f, None if f == 2 else ("bounce", "net")[f % 2]) for v in range(200) for f in range(3)]
+    path = str(tmp_path / "a")
+    labels.write_annotations(spark.createDataFrame(rows, "video long, frame long, value string"), path, packed=True)
+    assert len(list((tmp_path / "a").rglob("part-*"))) <= 8
+    events = labels.load_events(spark, path, packed=True)
+    assert sorted((int(r["video"]), r["frame"], r["raw"]) for r in events.collect()) == [r for r in rows if r[2]]
+    (tmp_path / "b.json").write_text('{"video": "game_1", "frames": {"7": {"x": -1, "y": -1}, "3": {"x": 4, "y": 6}, "7": {"x": 1, "y": 2}}}\n')
+    ball = labels.load_ball(spark, str(tmp_path / "b.json"), packed=True)
+    assert sorted(tuple(r) for r in ball.collect()) == [("game_1", 3, 4.0, 6.0, True), ("game_1", 7, 1.0, 2.0, True)]
