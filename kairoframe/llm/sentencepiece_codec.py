@@ -17,12 +17,12 @@ their own result; very long texts are encoded whole.
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -143,14 +143,18 @@ class Codec:
         inside = any("\n" in t for t in self.ids if len(t) > 1)
         crosses = any(MARK in t.lstrip(MARK) for t in self.ids)
         if self.kind == _BPE and not crosses:
-            self.parts = regex.compile(rf"{MARK}*[^{MARK}]+|{MARK}+" if inside else rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
+            self.parts = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+" if inside else rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
         else:
             self.parts = lambda s: [s] if s else []
         self.known: dict[str, bytes] = {}
+        self.again: set[str] = set()  # known parts that have come again
         self.raw = [bytes([int(t[1:-1], 16)]) if k == _BYTE else t.encode() if k in (_NORMAL, _USER) else b"" for t, k in zip(self.pieces, self.types, strict=True)]
+        self.raw_size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "known", "raw")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "known", "again") and not k.startswith("raw")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -185,39 +189,46 @@ class Codec:
         return out
 
     def learn(self, parts: set[str]) -> None:
-        """Encode the parts that aren't known yet."""
-        new = [p for p in parts if p not in self.known]
+        """Encode the parts that aren't known yet. Beyond ``KEEP``, parts that have not come again are forgotten."""
+        new = list(parts - self.known.keys())
+        self.again |= parts & self.known.keys()
         if len(self.known) + len(new) > KEEP:
-            self.known.clear()
-            new = list(parts)
-        for p in new:
-            if self.pairs is None or len(p) > 2 * self.longest:
-                self.known[p] = Stream(self).packed(p)
-        new = [p for p in new if self.pairs is not None and len(p) <= 2 * self.longest]
+            stay = self.again if len(self.again) + len(new) <= KEEP else self.again & parts
+            self.known, self.again = {p: self.known[p] for p in stay}, set()
         if not new:
             return
-        marks = [len(p) - len(p.lstrip(MARK)) for p in new]
-        words = ["" if m == len(p) else p[m - 1 :] if m else p for p, m in zip(new, marks, strict=True)]
+        if self.pairs is None or max(map(len, new)) > 2 * self.longest:
+            for p in new:
+                if self.pairs is None or len(p) > 2 * self.longest:
+                    self.known[p] = Stream(self).packed(p)
+            new = [p for p in new if p not in self.known]
+            if not new:
+                return
+        runs = {i: len(p) - len(p.lstrip(MARK)) for i, p in enumerate(new) if p.startswith(MARK * 2) or p == MARK}
+        words = new
+        if runs:
+            words = list(new)
+            for i, m in runs.items():
+                words[i] = new[i][m - 1 :] if m < len(new[i]) else ""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         flat = self.code_rank[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         counts, ranks = self.pairs.encode_words(flat, sizes)
         ids = np.where(ranks == bpe.OUTSIDE, -1, self.rank_ids[ranks]).astype(np.int32)
         end = np.cumsum(counts)
+        begin = end - counts
+        raw = ids.tobytes()
+        self.known.update(zip(new, [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)], strict=True))
         outside = np.zeros(len(ids) + 1, np.int64)
         np.cumsum(ids < 0, out=outside[1:])
-        plain = (outside[end] == outside[end - counts]).tolist()
-        raw, mark = ids.tobytes(), self.symbols.get(MARK, bpe.OUTSIDE)
-        first = np.append(ranks, 0)[end - counts].tolist()
-        for p, w, m, ok, f, a, b in zip(new, words, marks, plain, first, (end - counts).tolist(), end.tolist(), strict=True):
-            if m <= 1 and ok and w:
-                self.known[p] = raw[4 * a : 4 * b]
-                continue
+        mark = self.symbols.get(MARK, bpe.OUTSIDE)
+        for i in runs.keys() | set(np.flatnonzero(outside[end] != outside[begin]).tolist()):
+            a, b, w, m = int(begin[i]), int(end[i]), words[i], runs.get(i, 0)
             got = self._finish(w, ranks[a:b])
-            if not w:
+            if m and not w:
                 got = self.run_ids(m)
             elif m > 1:  # a last mark that stays alone is part of the run
-                got = self.run_ids(m) + got[1:] if f == mark else self.run_ids(m - 1) + got
-            self.known[p] = np.array(got, np.int32).tobytes()
+                got = self.run_ids(m) + got[1:] if ranks[a] == mark else self.run_ids(m - 1) + got
+            self.known[new[i]] = np.array(got, np.int32).tobytes()
 
     def encode(self, text: str) -> list[int]:
         parts = self.parts(self.normalise(text))
@@ -231,6 +242,19 @@ class Codec:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
+    def spelled(self, ids: np.ndarray) -> bytes:
+        """The bytes of the ids' pieces, before they are read as text."""
+        n = self.raw_size[ids]
+        shift = self.raw_start[ids] - (np.cumsum(n) - n)
+        at = np.arange(int(n.sum()))
+        return self.raw_bytes[at + np.repeat(shift, n)].tobytes()
+
+    def gives(self, ids: np.ndarray, text: str, normal: str) -> bool:
+        """Whether the ids decode to the text; where they spell its normal form and it holds no mark, they do."""
+        if MARK not in text and self.spelled(ids) == normal.encode("utf-8", "surrogatepass"):
+            return True
+        return self.decode(ids.tolist()) == text
+
 
 class Stream:
     """Encode a text that arrives in parts, in memory bounded by the longest piece.
@@ -351,13 +375,14 @@ def _encoder(codec: Callable[[], Codec]):
         parts, counts, same = [np.zeros(0, np.int32)], [], []
         for k in words.chunks(text):  # a run of texts at a time
             held = text.slice(k.first, len(k)).to_pylist()
-            rows = [c.parts(c.normalise(t or "")) for t in held]
-            c.learn({p for row in rows for p in row})
-            for t, row in zip(held, rows, strict=True):
+            normal = [c.normalise(t or "") for t in held]
+            rows = [c.parts(t) for t in normal]
+            c.learn(set().union(*rows))
+            for t, n, row in zip(held, normal, rows, strict=True):
                 ids = np.frombuffer(b"".join(map(c.known.__getitem__, row)), np.int32)
                 parts.append(ids)
                 counts.append(len(ids))
-                same.append(None if t is None else c.decode(ids.tolist()) == t)
+                same.append(None if t is None else c.gives(ids, t, n))
         off = np.zeros(len(text) + 1, np.int32)
         np.cumsum(counts, out=off[1:])
         ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)), mask=text.is_null())

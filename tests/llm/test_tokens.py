@@ -136,3 +136,25 @@ def test_unigram_models(tmp_path):
         for ch in c.normalise(t):
             out += s.push(ch)
         assert out + s.close() == ids and c.decode(ids) == t
+
+
+def test_parts_that_come_again_stay_known(monkeypatch):
+    monkeypatch.setattr(codec, "KEEP", 6)
+    c = codec.Codec(P.path("piece_bpe_32k.model"))
+    want = codec.Codec(P.path("piece_bpe_32k.model"))
+    learned = []
+    encode_words = c.pairs.encode_words
+    monkeypatch.setattr(c.pairs, "encode_words", lambda flat, sizes: learned.append(len(sizes)) or encode_words(flat, sizes))
+    texts = [f"the same words {a} {b}" for a, b in (("new", "ones"), ("other", "ones"), ("again", "others"), ("quite", "different"))]
+    assert [c.encode(t) for t in texts] == [want.encode(t) for t in texts]
+    assert learned == [5, 1, 2, 2] and len(c.known) <= 6
+
+
+def test_round_trip_by_spelling():
+    import numpy as np
+
+    c = codec.Codec(P.path("piece_bpe_32k.model"))
+    for t in ("", " ", "a", "two  words\n", "é漢 \U0001f600", "a▁b", "▁", "x" * 100):
+        ids = c.encode(t)
+        assert c.gives(np.array(ids, np.int32), t, c.normalise(t)) == (c.decode(ids) == t), t
+        assert not c.gives(np.array([*ids, 300], np.int32), t, c.normalise(t))
