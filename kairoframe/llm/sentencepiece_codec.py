@@ -6,8 +6,9 @@ path whose neighbouring pieces are compatible (see ``bpe``), which is what mergi
 library's. ``Stream`` keeps a window of positions bounded by the longest piece; whenever the backpointer paths of all
 positions that a later piece can still start from meet in one boundary, the ids up to it are final and are given out.
 
-Over a table, ``encode`` cuts texts where every path must meet (before a word-start mark that follows something else,
-and around line ends if no longer piece holds one) and looks known parts up. New parts of more than two times the longest
+Over a table, ``encode`` cuts texts where every path must meet (between two characters that no piece holds side by side,
+so before a word-start mark that follows something else, and mostly around line ends and punctuation) and looks known
+parts up, by 64-bit hashes whose hits are compared with the parts themselves. New parts of more than two times the longest
 piece go through ``Stream``; shorter ones are a window each, final at its end, and run through the same recurrence together. A run of word-start marks has its own rule, as its pieces all have the same score.
 
 Defined results: a null text gives null ids, an empty one no ids; characters outside the vocabulary become byte pieces;
@@ -17,12 +18,12 @@ their own result; very long texts are encoded whole.
 
 from __future__ import annotations
 
-import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -140,21 +141,24 @@ class Codec:
         self._compile()
 
     def _compile(self) -> None:
-        inside = any("\n" in t for t in self.ids if len(t) > 1)
-        crosses = any(MARK in t.lstrip(MARK) for t in self.ids)
-        if self.kind == _BPE and not crosses:
-            self.parts = re.compile(rf"{MARK}*[^{MARK}]+|{MARK}+" if inside else rf"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
-        else:
-            self.parts = lambda s: [s] if s else []
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()  # known parts that have come again
+        self.cuts = self.kind == _BPE and not any(MARK in t.lstrip(MARK) for t in self.ids)
+        if self.cuts:
+            beside = sorted({t[i : i + 2] for t in self.ids for i in range(len(t) - 1)} | {MARK * 2})
+            self.first, self.second = np.zeros(0x110000, np.uint16), np.zeros(0x110000, np.uint16)
+            for classes, k in ((self.first, 0), (self.second, 1)):
+                chars = sorted({ord(x[k]) for x in beside})
+                classes[chars] = np.arange(1, len(chars) + 1)
+            self.beside = np.zeros((int(self.first.max()) + 1, int(self.second.max()) + 1), bool)
+            for x, y in beside:
+                self.beside[self.first[ord(x)], self.second[ord(y)]] = True
+        self.known = Known()
         self.raw = [bytes([int(t[1:-1], 16)]) if k == _BYTE else t.encode() if k in (_NORMAL, _USER) else b"" for t, k in zip(self.pieces, self.types, strict=True)]
         self.raw_size = np.fromiter(map(len, self.raw), np.int64, len(self.raw))
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
         self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("parts", "known", "again") and not k.startswith("raw")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("known", "first", "second", "beside") and not k.startswith("raw")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -188,52 +192,89 @@ class Codec:
             at += n
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Encode the parts that aren't known yet. Beyond ``KEEP``, parts that have not come again are forgotten."""
-        new = list(parts - self.known.keys())
-        self.again |= parts & self.known.keys()
-        if len(self.known) + len(new) > KEEP:
-            stay = self.again if len(self.again) + len(new) <= KEEP else self.again & parts
-            self.known, self.again = {p: self.known[p] for p in stay}, set()
-        if not new:
-            return
-        if self.pairs is None or max(map(len, new)) > 2 * self.longest:
-            for p in new:
-                if self.pairs is None or len(p) > 2 * self.longest:
-                    self.known[p] = Stream(self).packed(p)
-            new = [p for p in new if p not in self.known]
-            if not new:
-                return
-        runs = {i: len(p) - len(p.lstrip(MARK)) for i, p in enumerate(new) if p.startswith(MARK * 2) or p == MARK}
-        words = new
-        if runs:
-            words = list(new)
-            for i, m in runs.items():
-                words[i] = new[i][m - 1 :] if m < len(new[i]) else ""
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat = self.code_rank[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
-        counts, ranks = self.pairs.encode_words(flat, sizes)
-        ids = np.where(ranks == bpe.OUTSIDE, -1, self.rank_ids[ranks]).astype(np.int32)
+    def cut(self, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where the parts of some normalised texts begin; ``starts`` are those of the texts that aren't empty."""
+        edge = np.zeros(len(codes), bool)
+        if self.cuts:
+            edge[1:] = ~self.beside[self.first[codes[:-1]], self.second[codes[1:]]]
+        edge[starts] = True
+        return np.flatnonzero(edge)
+
+    def learn(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of some parts of a text: of all parts in turn, how many each has, and where each part's begin."""
+        limit = 2 * self.longest
+        long = np.flatnonzero(size > (limit if self.pairs is not None else 0)).tolist()
+        own = {i: Stream(self).packed(_string(codes[begin[i] : begin[i] + size[i]])) for i in long}  # parts with ids of their own
+        begin, size = begin.copy(), size.copy()
+        size[long] = 0
+        counts, ids = np.zeros(len(size), np.int64), np.zeros(0, np.int32)
+        if len(own) < len(size):
+            mark, last = ord(MARK), len(codes) - 1
+            runs = {}
+            for i in np.flatnonzero((size > 0) & (codes[begin] == mark) & ((size == 1) | (codes[np.minimum(begin + 1, last)] == mark))).tolist():
+                part = codes[begin[i] : begin[i] + size[i]]
+                runs[i] = m = int(np.argmax(part != mark)) or len(part)
+                begin[i] += m - 1
+                size[i] = size[i] - m + 1 if m < len(part) else 0
+            flat = self.code_rank[codes[ragged(begin, size)]].astype(np.int64)
+            counts, ranks = self.pairs.encode_words(flat, size)
+            ids = np.where(ranks == bpe.OUTSIDE, -1, self.rank_ids[ranks]).astype(np.int32)
+            end = np.cumsum(counts)
+            outside = np.zeros(len(ids) + 1, np.int64)
+            np.cumsum(ids < 0, out=outside[1:])
+            alone = self.symbols.get(MARK, bpe.OUTSIDE)
+            for i in runs.keys() | set(np.flatnonzero(outside[end] != outside[end - counts]).tolist()):
+                a, b, m = int(end[i] - counts[i]), int(end[i]), runs.get(i, 0)
+                got = self._finish(_string(codes[begin[i] : begin[i] + size[i]]), ranks[a:b])
+                if m and a == b:
+                    got = self.run_ids(m)
+                elif m > 1:  # a last mark that stays alone is part of the run
+                    got = self.run_ids(m) + got[1:] if ranks[a] == alone else self.run_ids(m - 1) + got
+                own[i] = np.array(got, np.int32).tobytes()
+        at = np.cumsum(counts) - counts
+        if own:
+            which = np.fromiter(own, np.int64, len(own))
+            counts[which] = [len(x) // 4 for x in own.values()]
+            at[which] = len(ids) + np.cumsum(counts[which]) - counts[which]
+            ids = np.concatenate([ids, np.frombuffer(b"".join(own.values()), np.int32)])
+        return ids, counts, at
+
+    def _plain(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, counts: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """For some parts, whether the bytes of their pieces are theirs."""
+        ids = ids[ragged(at, counts)]
+        got, want = self.spelled(ids), _string(codes[ragged(begin, size)]).encode("utf-8", "surrogatepass")
+        width = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.raw_size[ids], out=width[1:])
         end = np.cumsum(counts)
-        begin = end - counts
-        raw = ids.tobytes()
-        self.known.update(zip(new, [raw[a:b] for a, b in zip((4 * begin).tolist(), (4 * end).tolist(), strict=True)], strict=True))
-        outside = np.zeros(len(ids) + 1, np.int64)
-        np.cumsum(ids < 0, out=outside[1:])
-        mark = self.symbols.get(MARK, bpe.OUTSIDE)
-        for i in runs.keys() | set(np.flatnonzero(outside[end] != outside[begin]).tolist()):
-            a, b, w, m = int(begin[i]), int(end[i]), words[i], runs.get(i, 0)
-            got = self._finish(w, ranks[a:b])
-            if m and not w:
-                got = self.run_ids(m)
-            elif m > 1:  # a last mark that stays alone is part of the run
-                got = self.run_ids(m) + got[1:] if ranks[a] == mark else self.run_ids(m - 1) + got
-            self.known[new[i]] = np.array(got, np.int32).tobytes()
+        n_got, n_want = width[end] - width[end - counts], np.add.reduceat(_width(codes[ragged(begin, size)]), np.cumsum(size) - size)
+        if got == want and (n_got == n_want).all():
+            return np.ones(len(size), bool)
+        a, b = np.cumsum(n_got), np.cumsum(n_want)
+        return np.array([got[i - m : i] == want[j - n : j] for i, m, j, n in zip(a.tolist(), n_got.tolist(), b.tolist(), n_want.tolist(), strict=True)], bool)
+
+    def ids_of(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of some normalised texts, the end of each text's ids, and whether its ids' pieces spell it.
+
+        ``starts`` has where each text begins in ``codes``, and the end.
+        """
+        if not len(codes):
+            return np.zeros(0, np.int32), np.zeros(len(starts) - 1, np.int64), np.ones(len(starts) - 1, bool)
+        begin = self.cut(codes, starts[:-1][starts[1:] > starts[:-1]])
+        size = np.diff(begin, append=len(codes))
+        keys = hashes(codes, begin, size)
+        first, number = distinct(codes, begin, size, keys)
+        ids, counts, at, plain = self.known.look_up(self, codes, begin[first], size[first], keys[first])
+        n = counts[number]
+        upto = np.zeros(len(begin) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        odd = np.zeros(len(begin) + 1, np.int64)
+        np.cumsum(~plain[number], out=odd[1:])
+        text = np.searchsorted(begin, starts)  # each text's first part
+        return ids[ragged(at[number], n)], upto[text[1:]], odd[text[1:]] == odd[text[:-1]]
 
     def encode(self, text: str) -> list[int]:
-        parts = self.parts(self.normalise(text))
-        self.learn(set(parts))
-        return np.frombuffer(b"".join(map(self.known.__getitem__, parts)), np.int32).tolist()
+        codes = _codes(self.normalise(text))
+        return self.ids_of(codes, np.array([0, len(codes)]))[0].tolist()
 
     # -- decoding --
 
@@ -256,6 +297,114 @@ class Codec:
         return self.decode(ids.tolist()) == text
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _string(codes: np.ndarray) -> str:
+    return codes.tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _width(codes: np.ndarray) -> np.ndarray:
+    """Bytes of each code point in UTF-8."""
+    return 1 + (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at ``begin``, one run after the other."""
+    at = np.repeat(begin - (np.cumsum(size) - size), size)
+    at += np.arange(len(at))
+    return at
+
+
+def hashes(codes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each part."""
+    return words.range_hashes(codes, begin, begin + size)
+
+
+def distinct(codes: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each different part, and for each part the number of its own among these; the parts fill ``codes``."""
+    o = np.argsort(keys)
+    new = np.ones(len(keys), bool)
+    np.not_equal(keys[o[1:]], keys[o[:-1]], out=new[1:])
+    first, number = o[new], np.empty(len(keys), np.int64)
+    number[o] = np.cumsum(new) - 1
+    like = first[number]
+    if (size[like] == size).all() and (codes[ragged(begin[like], size)] == codes).all():
+        return first, number
+    seen: dict[bytes, int] = {}  # two parts have one hash
+    for i, (b, n) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
+        number[i] = seen.setdefault(codes[b : b + n].tobytes(), len(seen))
+    return np.unique(number, return_index=True)[1], number
+
+
+class Known:
+    """Parts with their ids, by hash. Beyond ``KEEP`` parts, those that have not come again are forgotten."""
+
+    def __init__(self):
+        self.keys, self.codes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
+        self.begin, self.size, self.at, self.counts = (np.zeros(0, np.int64) for _ in range(4))
+        self.plain, self.again = np.zeros(0, bool), np.zeros(0, bool)
+
+    def __len__(self) -> int:
+        return len(self.keys)
+
+    def _find(self, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which parts are known, and as which."""
+        if not len(self):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        k = np.searchsorted(self.keys, keys)
+        k[k == len(self)] = 0
+        i = np.flatnonzero((self.keys[k] == keys) & (self.size[k] == size))
+        k = k[i]
+        if len(i):
+            same = codes[ragged(begin[i], size[i])] == self.codes[ragged(self.begin[k], size[i])]
+            if not same.all():
+                same = np.logical_and.reduceat(same, np.cumsum(size[i]) - size[i])
+                i, k = i[same], k[same]
+        return i, k
+
+    def look_up(self, codec: Codec, codes: np.ndarray, begin: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, the number of each part's, where they begin, and whether they spell the part; new parts are learned."""
+        i, k = self._find(codes, begin, size, keys)
+        new = np.ones(len(keys), bool)
+        new[i] = False
+        new = np.flatnonzero(new)
+        counts, at, plain = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64), np.empty(len(keys), bool)
+        counts[i], at[i], plain[i] = self.counts[k], self.at[k], self.plain[k]
+        ids = self.ids
+        self.again[k] = True
+        full = len(self) + len(new) > KEEP
+        if len(new):
+            fresh, n, a = codec.learn(codes, begin[new], size[new])
+            counts[new], at[new] = n, a + len(ids)
+            plain[new] = codec._plain(codes, begin[new], size[new], fresh, n, a)
+            ids = np.concatenate([ids, fresh])
+        if full:
+            stay = self.again
+            if np.count_nonzero(stay) + len(new) > KEEP:
+                stay = np.zeros(len(self), bool)
+                stay[k] = True
+            stay = np.flatnonzero(stay)
+        else:
+            stay = np.arange(len(self))
+        if full or len(new):
+            self._take(stay, self.again if not full else np.zeros(len(self), bool), codes, ids, keys[new], begin[new], size[new], counts[new], at[new], plain[new])
+        return ids, counts, at, plain
+
+    def _take(self, stay, again, codes, ids, keys, begin, size, counts, at, plain) -> None:
+        """Hold the parts of before that stay, and new ones; of two with one hash the first."""
+        held = np.concatenate([self.codes[ragged(self.begin[stay], self.size[stay])], codes[ragged(begin, size)]])
+        size, counts, at = (np.concatenate([x[stay], y]) for x, y in ((self.size, size), (self.counts, counts), (self.at, at)))
+        begin = np.cumsum(size) - size
+        keys, first = np.unique(np.concatenate([self.keys[stay], keys]), return_index=True)
+        plain, again = np.concatenate([self.plain[stay], plain])[first], np.concatenate([again[stay], np.zeros(len(plain), bool)])[first]
+        self.codes, self.ids = held[ragged(begin[first], size[first])], ids[ragged(at[first], counts[first])]
+        self.keys, self.plain, self.again = keys, plain, again
+        self.size, self.counts = size[first], counts[first]
+        self.begin, self.at = np.cumsum(self.size) - self.size, np.cumsum(self.counts) - self.counts
+
+
 class Stream:
     """Encode a text that arrives in parts, in memory bounded by the longest piece.
 
@@ -369,24 +518,40 @@ class Stream:
 _KIND = "struct<ids:array<int>,round_trip:boolean>"
 
 
+def _normal(codec: Codec, chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a chunk's texts in normal form, where each begins (and the end), and which texts hold a mark."""
+    codes = np.frombuffer(chunk.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    upto = np.zeros(len(chunk.data) + 1, np.int64)
+    np.cumsum((chunk.data & 0xC0) != 0x80, out=upto[1:])
+    starts = upto[chunk.offsets]
+    mark = ord(MARK)
+    marked = np.zeros(len(chunk), bool)
+    marked[np.searchsorted(starts, np.flatnonzero(codes == mark), side="right") - 1] = True
+    codes = np.where(codes == 0x20, np.uint32(mark), codes)
+    if codec.prefix:
+        filled = starts[1:] > starts[:-1]
+        codes = np.insert(codes, starts[:-1][filled], mark)
+        starts = starts + np.concatenate([[0], np.cumsum(filled)])
+    return codes, starts, marked
+
+
 def _encoder(codec: Callable[[], Codec]):
     def encode(text: pa.Array) -> pa.Array:
         c = codec()
-        parts, counts, same = [np.zeros(0, np.int32)], [], []
+        parts, ends, same, n = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [np.zeros(0, bool)], 0
         for k in words.chunks(text):  # a run of texts at a time
-            held = text.slice(k.first, len(k)).to_pylist()
-            normal = [c.normalise(t or "") for t in held]
-            rows = [c.parts(t) for t in normal]
-            c.learn(set().union(*rows))
-            for t, n, row in zip(held, normal, rows, strict=True):
-                ids = np.frombuffer(b"".join(map(c.known.__getitem__, row)), np.int32)
-                parts.append(ids)
-                counts.append(len(ids))
-                same.append(None if t is None else c.gives(ids, t, n))
-        off = np.zeros(len(text) + 1, np.int32)
-        np.cumsum(counts, out=off[1:])
-        ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)), mask=text.is_null())
-        return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+            codes, starts, marked = _normal(c, k)
+            ids, upto, spelled = c.ids_of(codes, starts)
+            good = spelled & ~marked
+            for i in np.flatnonzero(~good).tolist():
+                good[i] = c.decode(ids[upto[i - 1] if i else 0 : upto[i]].tolist()) == (text[k.first + i].as_py() or "")
+            parts.append(ids)
+            ends.append(upto + n)
+            same.append(good)
+            n += len(ids)
+        off, empty = np.concatenate(ends).astype(np.int32), text.is_null()
+        ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts)), mask=empty)
+        return pa.StructArray.from_arrays([ids, pc.if_else(empty, None, pa.array(np.concatenate(same)))], ["ids", "round_trip"])
 
     return encode
 

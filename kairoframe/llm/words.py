@@ -162,11 +162,17 @@ def split(chunk: Chunk, mask: np.ndarray, fold: np.ndarray = LOWER, hashed: bool
     doc = np.searchsorted(offsets, starts, side="right") - 1
     if not hashed:
         return Words(data, starts, ends, doc, len(chunk), np.zeros(0, U64))
+    return Words(data, starts, ends, doc, len(chunk), range_hashes(data, starts, ends))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each range of ``data``."""
+    n = len(data)
     pw, inv = _powers(n + 1)
     sums = np.empty(n + 1, U64)
     sums[0] = 0
     np.cumsum((data.astype(U64) + U64(1)) * pw[:n], out=sums[1:])
-    return Words(data, starts, ends, doc, len(chunk), mix((sums[ends] - sums[starts]) * inv[starts]))
+    return mix((sums[ends] - sums[starts]) * inv[starts])
 
 
 _STEP = [U64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(64)]

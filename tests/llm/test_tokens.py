@@ -158,3 +158,46 @@ def test_round_trip_by_spelling():
         ids = c.encode(t)
         assert c.gives(np.array(ids, np.int32), t, c.normalise(t)) == (c.decode(ids) == t), t
         assert not c.gives(np.array([*ids, 300], np.int32), t, c.normalise(t))
+
+
+def test_parts_end_where_no_piece_goes_on(monkeypatch):
+    """A word is learned once, whatever stands behind it; before, each word with its punctuation was a part."""
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=path), codec.Codec(path)
+    learned = []
+    encode_words = c.pairs.encode_words
+    monkeypatch.setattr(c.pairs, "encode_words", lambda flat, sizes: learned.append(len(sizes)) or encode_words(flat, sizes))
+    pairs = {t[i : i + 2] for t in c.ids for i in range(len(t) - 1)}
+    ends = [x for x in ",;#%&" if "e" + x not in pairs and x + "▁" not in pairs]
+    assert len(ends) > 2
+    text = " ".join(f"stone{x}" for x in ["", *ends])
+    assert c.encode(text) == lib.encode(text) and sum(learned) == 1 + len(ends)
+    rng = random.Random(5)
+    for _ in range(300):
+        t = "".join(rng.choice(ALPHABET + "the and") for _ in range(rng.randint(0, 60)))
+        assert c.encode(t) == lib.encode(t), t
+
+
+@pytest.mark.parametrize("keep", [5, 60_000])
+@pytest.mark.parametrize("clash", [0, 1, 3])
+def test_parts_of_one_hash_are_told_apart(monkeypatch, clash, keep):
+    import numpy as np
+    import pyarrow as pa
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=path), codec.Codec(path)
+    hashes = codec.hashes
+    monkeypatch.setattr(codec, "KEEP", keep)
+    if clash:
+        monkeypatch.setattr(codec, "hashes", lambda *a: hashes(*a) % np.uint64(clash))
+    encode = codec._encoder(lambda: c)
+    for seed in range(4):
+        texts = [None, "", *odd_texts(40, seed), "a▁b", "▁", "", *ODD, "stone, stone; stones", None]
+        got = encode(pa.array(["left out", *texts]).slice(1))
+        for t, r in zip(texts, got.to_pylist(), strict=True):
+            assert r["ids"] == (None if t is None else lib.encode(t)), t
+            assert r["round_trip"] == (None if t is None else lib.decode(lib.encode(t)) == t), t
+    assert encode(pa.array([], pa.string())).to_pylist() == [] and encode(pa.array([None, ""])).to_pylist() == [{"ids": None, "round_trip": None}, {"ids": [], "round_trip": True}]
