@@ -34,6 +34,8 @@ from . import bpe, words
 MARK = "▁"
 #: Parts that a worker remembers at most.
 KEEP = 60_000
+#: Code points that are cut and looked up at once, so that a very long text takes little more than its own size.
+BLOCK = 1 << 21
 _NORMAL, _USER, _BYTE = 1, 4, 6
 _UNIGRAM, _BPE = 1, 2
 
@@ -196,7 +198,9 @@ class Codec:
         """Where the parts of some normalised texts begin; ``starts`` are those of the texts that aren't empty."""
         edge = np.zeros(len(codes), bool)
         if self.cuts:
-            edge[1:] = ~self.beside[self.first[codes[:-1]], self.second[codes[1:]]]
+            for i in range(0, len(codes) - 1, BLOCK):
+                near = codes[i : i + BLOCK + 1]
+                edge[i + 1 : i + len(near)] = ~self.beside[self.first[near[:-1]], self.second[near[1:]]]
         edge[starts] = True
         return np.flatnonzero(edge)
 
@@ -259,18 +263,21 @@ class Codec:
         """
         if not len(codes):
             return np.zeros(0, np.int32), np.zeros(len(starts) - 1, np.int64), np.ones(len(starts) - 1, bool)
-        begin = self.cut(codes, starts[:-1][starts[1:] > starts[:-1]])
-        size = np.diff(begin, append=len(codes))
-        keys = hashes(codes, begin, size)
-        first, number = distinct(codes, begin, size, keys)
-        ids, counts, at, plain = self.known.look_up(self, codes, begin[first], size[first], keys[first])
-        n = counts[number]
-        upto = np.zeros(len(begin) + 1, np.int64)
-        np.cumsum(n, out=upto[1:])
-        odd = np.zeros(len(begin) + 1, np.int64)
-        np.cumsum(~plain[number], out=odd[1:])
-        text = np.searchsorted(begin, starts)  # each text's first part
-        return ids[ragged(at[number], n)], upto[text[1:]], odd[text[1:]] == odd[text[:-1]]
+        edges = np.append(self.cut(codes, starts[:-1][starts[1:] > starts[:-1]]), len(codes))
+        got, upto, odd, i = [], np.zeros(len(edges), np.int64), np.zeros(len(edges), np.int32), 0
+        while i < len(edges) - 1:
+            j = max(i + 1, int(np.searchsorted(edges, edges[i] + BLOCK, side="right")) - 1)
+            block, begin, size = codes[edges[i] : edges[j]], edges[i:j] - edges[i], np.diff(edges[i : j + 1])
+            keys = hashes(block, begin, size)
+            first, number = distinct(block, begin, size, keys)
+            ids, counts, at, plain = self.known.look_up(self, block, begin[first], size[first], keys[first])
+            upto[i + 1 : j + 1], odd[i + 1 : j + 1] = counts[number], ~plain[number]
+            got.append(ids[ragged(at[number], counts[number])])
+            i = j
+        np.cumsum(upto, out=upto)
+        np.cumsum(odd, out=odd)
+        text = np.searchsorted(edges, starts)  # each text's first part
+        return np.concatenate(got), upto[text[1:]], odd[text[1:]] == odd[text[:-1]]
 
     def encode(self, text: str) -> list[int]:
         codes = _codes(self.normalise(text))
@@ -521,9 +528,11 @@ _KIND = "struct<ids:array<int>,round_trip:boolean>"
 def _normal(codec: Codec, chunk: words.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The code points of a chunk's texts in normal form, where each begins (and the end), and which texts hold a mark."""
     codes = np.frombuffer(chunk.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    upto = np.zeros(len(chunk.data) + 1, np.int64)
-    np.cumsum((chunk.data & 0xC0) != 0x80, out=upto[1:])
-    starts = upto[chunk.offsets]
+    starts = chunk.offsets
+    if len(codes) < len(chunk.data):
+        upto = np.zeros(len(chunk.data) + 1, np.int32)
+        np.cumsum((chunk.data & 0xC0) != 0x80, out=upto[1:], dtype=np.int32)
+        starts = upto[chunk.offsets].astype(np.int64)
     mark = ord(MARK)
     marked = np.zeros(len(chunk), bool)
     marked[np.searchsorted(starts, np.flatnonzero(codes == mark), side="right") - 1] = True

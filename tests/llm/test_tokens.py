@@ -201,3 +201,19 @@ def test_parts_of_one_hash_are_told_apart(monkeypatch, clash, keep):
             assert r["ids"] == (None if t is None else lib.encode(t)), t
             assert r["round_trip"] == (None if t is None else lib.decode(lib.encode(t)) == t), t
     assert encode(pa.array([], pa.string())).to_pylist() == [] and encode(pa.array([None, ""])).to_pylist() == [{"ids": None, "round_trip": None}, {"ids": [], "round_trip": True}]
+
+
+def test_texts_longer_than_a_block(monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    path = P.path("piece_bpe_32k.model")
+    lib, c = sentencepiece.SentencePieceProcessor(model_file=path), codec.Codec(path)
+    monkeypatch.setattr(codec, "BLOCK", 20)
+    sizes = []
+    distinct = codec.distinct
+    monkeypatch.setattr(codec, "distinct", lambda codes, *a: sizes.append((len(codes), len(a[0]))) or distinct(codes, *a))
+    texts = [None, *ODD[1:], *odd_texts(60, 9), prose(3, 60), "a▁b " * 9]
+    for t, r in zip(texts, codec._encoder(lambda: c)(pa.array(texts)).to_pylist(), strict=True):
+        assert r["ids"] == (None if t is None else lib.encode(t)) and r["round_trip"] == (None if t is None else lib.decode(lib.encode(t)) == t)
+    assert len(sizes) > 100 and all(n <= 20 or parts == 1 for n, parts in sizes)
